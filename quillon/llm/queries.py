@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from quillon.llm.bestfit_packing import op5_best_fit_packing
+from quillon.llm.ngram_overlap_join import op9_ngram_overlap_join
 from quillon.llm.substring_sketch import op3_substring_sketch
 from quillon.llm.warc_dictionary import op2_dictionary_warc
 
-QUERIES = {f.__name__: f for f in (op2_dictionary_warc, op3_substring_sketch, op5_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_dictionary_warc, op3_substring_sketch, op5_best_fit_packing, op9_ngram_overlap_join)}
 
 SQL: dict[str, str] = {}
