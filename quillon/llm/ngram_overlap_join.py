@@ -1,7 +1,8 @@
 """Exact Jaccard join of documents on word n-grams by T-occurrence search.
 
 1. Every document posts its least n-gram hashes; a document of which too few are posted by others has no partner.
-2. The others, with equal sets taken as one, fall into families that share a prefix hash.
+2. The others, with equal sets taken as one, fall into families that share a prefix hash. A prefix has the rarest
+   hashes, by a table of merged counts, so that a passage that many documents share does not tie them together.
 3. In a family, inverted lists are searched document by document with DivideSkip: the short lists are merged and
    what they yield is looked up in the long lists by binary search.
 4. The links, of which only those that join two components are needed, give the components.
@@ -23,6 +24,7 @@ from quillon.llm.components import components
 from quillon.llm.wordnum import Words
 
 BLOCK_CLASSES = 8192  # classes of a family that meet in one task; larger families are searched block against block
+BLOCK, MOST_BITS = 20, 26  # cells of a block and of the whole table of counts, as powers of two: 64 MB at most
 _SKIP = 0.0085  # weight of a binary probe against a merge step, in the choice of the number of long lists
 
 
@@ -36,6 +38,59 @@ def overlap(a: int | np.ndarray, b: int | np.ndarray, percent: int) -> int | np.
     return -(-(a + b) * percent // (100 + percent))
 
 
+def frequencies(spark: SparkSession, classes: DataFrame, bits: int) -> np.ndarray:
+    """2**bits cells: how often hashes that fall into each occur, on a logarithmic scale of 16 steps an octave."""
+    block = min(BLOCK, bits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            own, times = np.unique(np.concatenate(held), return_counts=True)
+            edges = np.searchsorted(own, np.arange(0, (1 << bits) + 1, 1 << block))
+            for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+                if hi > lo:
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([(own[lo:hi] - (b << block)).astype(np.uint32).tobytes()], pa.binary()), pa.array([times[lo:hi].astype(np.uint32).tobytes()], pa.binary())], names=["block", "cells", "times"])
+
+        for batch in batches:
+            for x in batch.column(0):
+                held.append(cell(np.frombuffer(x.as_buffer(), np.uint64), bits))
+                size += len(held[-1])
+                if size >= 4 << 20:
+                    yield from out()
+                    held, size = [], 0
+        if held:
+            yield from out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(1 << block, dtype=np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.minimum(255, 16 * np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()], pa.binary())], names=["block", "levels"])
+
+        for batch in batches:
+            for b, own, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != at:
+                    if at is not None:
+                        yield out()
+                    at = b
+                    total[:] = 0
+                total[np.frombuffer(own, np.uint32)] += np.frombuffer(times, np.uint32)
+        if at is not None:
+            yield out()
+
+    parts = classes.select("hashes").mapInArrow(count, "block int, cells binary, times binary").repartition("block").sortWithinPartitions("block")
+    levels = np.zeros(1 << bits, dtype=np.uint8)
+    for r in parts.mapInArrow(merge, "block int, levels binary").toLocalIterator():  # 2**bits bytes in all
+        levels[r["block"] << block : (r["block"] + 1) << block] = np.frombuffer(r["levels"], np.uint8)
+    return levels
+
+
+def cell(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return ((hashes * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class Shingles:
     """Distinct n-gram hashes of each text of a slice: ``value`` ascending within ``first``[i]:``first``[i + 1]."""
 
@@ -182,13 +237,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent
     some = sets.where("print is not null")
     classes = scratch.written(spark, some.groupBy("print").agg(F.min("key").alias("node"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("hashes").alias("hashes")), "classes")
 
+    total = classes.agg(F.sum("n")).head()[0] or 0
+    bits = int(min(MOST_BITS, max(12, np.ceil(np.log2(max(1, total))))))
+    levels = spark.sparkContext.broadcast(frequencies(spark, classes, bits))
+
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = levels.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 nodes = part.column(0).to_numpy()
                 own = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
-                own = [x[: len(x) - needed(len(x), percent) + 1] for x in own]
+                own = [x[np.lexsort((x, table[cell(x, bits)]))][: len(x) - needed(len(x), percent) + 1] for x in own]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(np.repeat(nodes, [len(x) for x in own]))], names=["token", "node"])
 
     tokens = classes.select("node", "hashes").mapInArrow(prefix, "token long, node long")
