@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from quillon.llm.bestfit_packing import op5_best_fit_packing
+from quillon.llm.mil_quality import op7_mil_quality
 from quillon.llm.ngram_overlap_join import op9_ngram_overlap_join
+from quillon.llm.robust_outliers import op10_robust_outliers
 from quillon.llm.substring_sketch import op3_substring_sketch
+from quillon.llm.toxicity_lexicon import op4_toxicity_lexicon
 from quillon.llm.warc_dictionary import op2_dictionary_warc
 
-QUERIES = {f.__name__: f for f in (op2_dictionary_warc, op3_substring_sketch, op5_best_fit_packing, op9_ngram_overlap_join)}
+QUERIES = {f.__name__: f for f in (op2_dictionary_warc, op3_substring_sketch, op4_toxicity_lexicon, op5_best_fit_packing, op7_mil_quality, op9_ngram_overlap_join, op10_robust_outliers)}
 
 SQL: dict[str, str] = {}
