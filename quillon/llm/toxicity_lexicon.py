@@ -116,13 +116,29 @@ def entries_of(folded: str) -> set[str]:
 
 
 def choose(rows: list, toxic: int, harmless: int, most: int) -> dict[str, float]:
-    """Weights of the entries that mark toxic texts; longer entries that a chosen beginning covers are left out."""
+    """Weights of the entries that mark toxic texts.
+
+    A beginning is taken only where many words share it: neither one word nor a longer beginning has nearly all of its
+    occurrences. Entries that a chosen beginning covers are left out.
+    """
+    words: dict[str, int] = {}
+    longer: dict[str, int] = {}
+    for r in rows:
+        entry = r["entry"]
+        for n in STEM:
+            if len(entry.strip()) > n:
+                best = words if entry[-1] == " " else longer
+                best[entry[: n + 1]] = max(best.get(entry[: n + 1], 0), r["toxic"])
     chosen: dict[str, float] = {}
-    for r in sorted(rows, key=lambda r: (len(r["entry"].rstrip()), r["entry"])):
-        weight = np.log((r["toxic"] + 0.5) / (toxic + 1)) - np.log((r["harmless"] + 0.5) / (harmless + 1))
-        precise = r["toxic"] >= (0.97 if r["entry"][-1] != " " else 0.7) * (r["toxic"] + r["harmless"])
-        if precise and weight > 1.5 and not any(r["entry"][:k] in chosen for k in range(2, len(r["entry"]))):
-            chosen[r["entry"]] = float(weight)
+    for r in sorted(rows, key=lambda r: (r["entry"][-1] == " ", len(r["entry"]), r["entry"])):
+        entry, times = r["entry"], r["toxic"]
+        weight = np.log((times + 0.5) / (toxic + 1)) - np.log((r["harmless"] + 0.5) / (harmless + 1))
+        beginning = entry[-1] != " "
+        if beginning and (words.get(entry, 0) >= 0.6 * times or longer.get(entry, 0) >= 0.95 * times):
+            continue
+        precise = times >= (0.97 if beginning else 0.7) * (times + r["harmless"])
+        if precise and weight > 1.5 and not any(entry[: n + 1] in chosen for n in STEM if n + 1 < len(entry)):
+            chosen[entry] = float(weight)
     return dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:most])
 
 
