@@ -7,9 +7,11 @@ from quillon.llm.mil_quality import op7_mil_quality
 from quillon.llm.ngram_overlap_join import op9_ngram_overlap_join
 from quillon.llm.robust_outliers import op10_robust_outliers
 from quillon.llm.substring_sketch import op3_substring_sketch
+from quillon.llm.template_decontamination import op6_template_decontamination
+from quillon.llm.template_extraction import OP8_SQL, op8_template_extraction
 from quillon.llm.toxicity_lexicon import op4_toxicity_lexicon
 from quillon.llm.warc_dictionary import op2_dictionary_warc
 
-QUERIES = {f.__name__: f for f in (op2_dictionary_warc, op3_substring_sketch, op4_toxicity_lexicon, op5_best_fit_packing, op7_mil_quality, op9_ngram_overlap_join, op10_robust_outliers)}
+QUERIES = {f.__name__: f for f in (op2_dictionary_warc, op3_substring_sketch, op4_toxicity_lexicon, op5_best_fit_packing, op6_template_decontamination, op7_mil_quality, op8_template_extraction, op9_ngram_overlap_join, op10_robust_outliers)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_template_extraction": OP8_SQL}
