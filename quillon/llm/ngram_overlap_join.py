@@ -25,6 +25,7 @@ from quillon.llm.wordnum import Words
 
 BLOCK_CLASSES = 8192  # classes of a family that meet in one task; larger families are searched block against block
 BLOCK, MOST_BITS = 20, 26  # cells of a block and of the whole table of counts, as powers of two: 64 MB at most
+MOST_BROADCAST = 1_000_000  # keys of removed rows that are sent to every executor; more are joined by a shuffle
 _SKIP = 0.0085  # weight of a binary probe against a merge step, in the choice of the number of long lists
 
 
@@ -185,15 +186,17 @@ def search(sizes: np.ndarray, sets: list[np.ndarray], percent: int, old: np.ndar
     return found
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", table: DataFrame | None = None) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame | None, *, n: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", table: DataFrame | None = None) -> DataFrame:
     """Components of documents whose n-gram sets have a Jaccard similarity of at least ``percent`` %.
 
     A-Z are lower-cased; a text with fewer than n words is one n-gram; one without words, or null, links with nothing.
-    Returns key, doc_id, n_shingles and component_id, the least doc_id reachable by links, itself included. Rows are
+    Returns key, doc_id, n_shingles, component_id, the least doc_id reachable by links, itself included, and kept: true
+    for one row of each component. Rows are
     linked, not ids: rows that share an id are told apart by key, and null ids never are a component's id unless it has
     no other. Similarities of exactly ``percent`` % link. An empty table gives no rows; other columns are not read.
     """
-    table = table if table is not None else exchange.keyed(spark, docs, id_column, text_column)
+    own = table is None
+    table = exchange.keyed(spark, docs, id_column, text_column) if own else table
     size = table.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = int(max(1, size // 12 // exchange.BUCKET_HASHES))
     kind = table.schema["doc_id"].dataType
@@ -234,8 +237,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent
     sent = table.select("key", "chunk", "text").mapInArrow(send, exchange.BLOBS)
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
     sets = scratch.written(spark, exchange.with_verdicts(table, exchange.verdicts(spark, sent), sift, schema, ["doc_id"]), "sets")
+    if own:
+        scratch.forget(spark, table)
     some = sets.where("print is not null")
-    classes = scratch.written(spark, some.groupBy("print").agg(F.min("key").alias("node"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("hashes").alias("hashes")), "classes")
+    classes = scratch.written(spark, some.groupBy("print").agg(F.min("key").alias("node"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "key")).alias("keeper"), F.first("n_shingles").alias("n"), F.first("hashes").alias("hashes")), "classes")
 
     total = classes.agg(F.sum("n")).head()[0] or 0
     bits = int(min(MOST_BITS, max(12, np.ceil(np.log2(max(1, total))))))
@@ -282,11 +287,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent
             yield links()
 
     joined = components(spark, met.mapInArrow(link, "u long, v long"))
-    known = classes.select("print", "node", "least_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = known.join(least, "component").select("print", "component_id")
+    known = classes.select("print", "node", "least_id", "keeper").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = known.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min("keeper").alias("keeper"))
+    named = known.drop("keeper").join(least, "component").select("print", "component_id", "keeper.key")
+    named = named.withColumnRenamed("key", "keeper")
     every = sets.select("key", "doc_id", "n_shingles", "print").join(named, "print", "left")
-    return every.select("key", "doc_id", "n_shingles", F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    alone = F.col("print").isNull()
+    return every.select("key", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("key") == F.col("keeper"))).alias("kept"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that with the least id and of those the first; all columns stay."""
+    table = exchange.keyed(spark, docs, id_column, text_column, whole_rows=True)
+    found = near_duplicates(spark, docs, n=n, percent=percent, table=table)
+    gone = scratch.written(spark, found.where("not kept").select("key"), "gone")
+    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
+    left = table.join(gone, "key", "left_anti")
+    return left.select(*[F.col("text").alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_ngram_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:

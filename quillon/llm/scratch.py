@@ -39,7 +39,16 @@ def written(spark: SparkSession, frame: DataFrame, tag: str, codec: str = "zstd"
     """Write ``frame`` to the shared folder and read it back: lineage ends at the files."""
     path = folder(spark, tag)
     frame.write.option("compression", codec).parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    back = spark.read.schema(frame.schema).parquet(path)
+    back._quillon_path = path
+    return back
+
+
+def forget(spark: SparkSession, frame: DataFrame) -> None:
+    """Delete the table that ``written`` gave as ``frame``; nothing may read it any more."""
+    path = frame._quillon_path
+    drop(spark, path)
+    _made.remove(path)
 
 
 def drop(spark: SparkSession, path: str) -> None:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.llm import scratch
+
 NUMBER, UNIT, NAME = "⟨n⟩", "⟨u⟩", "⟨p⟩"
 #: Words for units, after a number.
 UNITS = "mm|cm|m|km|inch|inches|in|ft|feet|foot|yards?|miles?|mg|g|kg|lbs?|pounds?|ounces?|oz|tons?|ml|l|litres?|liters?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|percent|%|dollars?|euros?|cents?|kmh|km/h|mph|degrees?|volts?|watts?|amps?|joules?|hz|kb|mb|gb|tb"
@@ -97,7 +99,8 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, size:
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, size: int = 13, text_column: str = "text", **names: str) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item; all columns stay as they are."""
-    found = matches(spark, docs, benchmark, size=size, text_column=text_column, **names).select("text_key").distinct()
+    found = scratch.written(spark, matches(spark, docs, benchmark, size=size, text_column=text_column, **names).select("text_key").distinct(), "contaminated")
+    found = F.broadcast(found) if found.count() <= MOST_WINDOWS else found
     key = F.sha1(F.col(text_column).cast("string").cast("binary"))
     held = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), key.alias("text_key"))
     return held.join(found, "text_key", "left_anti").select("row.*")
