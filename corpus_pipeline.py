@@ -6,6 +6,8 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    own = uuid.uuid4().hex[:12]
     for name, stage in STAGES[:-1]:
         done = stage(spark, docs, sf_dir)
-        path = f"{scratch.base(spark)}/quillon-pipeline-{name}-{id(done)}"
-        done.write.mode("overwrite").parquet(path)
+        path = f"{scratch.base(spark)}/quillon-pipeline-{own}-{name}"
+        done.write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
