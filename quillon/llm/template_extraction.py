@@ -37,6 +37,9 @@ _closes = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _scopes = frozenset("ul ol dl table select article section div main body nav aside".split())
 
 
+MOST_BROADCAST = 64 << 20  # characters of host names and paths that are sent to every executor; more are joined by a shuffle
+
+
 @dataclass
 class Page:
     """slots: (path, text, skipped, main). tokens: path -> times; chars: path -> characters of text in it that aren't skipped."""
@@ -190,7 +193,9 @@ def extract(spark: SparkSession, pages: DataFrame, *, id_column: str = "page_id"
             found = [deduce(r, n)["article"] for n, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["host", "article"])
 
-    article = hosts.mapInArrow(templates, "host string, article string")
+    article = scratch.written(spark, hosts.mapInArrow(templates, "host string, article string"), "templates")
+    size = article.agg(F.sum(F.length("host") + F.length("article") + 32)).head()[0] or 0
+    article = F.broadcast(article) if size <= MOST_BROADCAST else article
     both = parsed.select("page_id", "url", "host", "slots").join(article, "host", "left")
     inside = F.filter("slots", lambda s: ~s["skipped"] & ((s["path"] == F.col("article")) | s["path"].startswith(F.concat("article", F.lit("/")))))
     named = F.filter("slots", lambda s: ~s["skipped"] & s["main"])
