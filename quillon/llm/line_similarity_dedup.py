@@ -1,98 +1,422 @@
-"""Removal of lines that are similar to an earlier line: an exact set-similarity join in DataFrame functions only.
+"""Removal of lines that are similar to an earlier line, by an exact set-similarity join.
 
-A line is the set of its words. Words are put in order of rarity: by bands of their frequency in the corpus, then the
-longest first. Sets of a Jaccard similarity of t share a word among their first n - ceil(t n) + 1, which are joined;
-length, the words' positions and 128-bit parity sketches, which bound the symmetric difference from below, rule out
-nearly all pairs within the join; the rest are verified on the words themselves.
+A line is the set of its words, put in order of rarity by a table of merged counts. Sets of a Jaccard similarity of t
+share a word among their first n - ceil(t n) + 1; postings of those words are dealt out by word, and length, the
+words' positions and 128-bit parity sketches, which bound the symmetric difference from below, rule out nearly all
+pairs there. What is left ties lines into families, each kept together by a forest of as many links as it has lines;
+in a family each line is verified, on its whole set, against earlier ones until one is similar.
+
+The form in DataFrame functions only, which this replaces, is described in the README with its figures.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillon.llm import exchange, scratch, wordnum
+from quillon.llm.components import components
+from quillon.llm.ngram_overlap_join import cell, frequencies, needed, overlap
+from quillon.llm.wordnum import Words
+
+MOST_BITS = 26  # cells of the table of counts, as a power of two: 64 MB at most
+MOST_ASKED = 8_000_000  # class ids that are sent to every executor; more are joined by a shuffle
+BUCKET_POSTINGS = 1 << 18
+SMALL_GROUP = 64  # postings of a word up to which all pairs are filtered at once
+BLOCK_CLASSES = 8192
+_POSTING = np.dtype([("token", "<u8"), ("id", "<i8"), ("n", "<u4"), ("i", "<u2"), ("lo", "<u8"), ("hi", "<u8")])
+_PLACE = np.dtype([("id", "<i8"), ("order", "<i8"), ("text", "<u8"), ("line", "<i8")])
+
 
-from quillon.llm import scratch
+class Lines:
+    """Lines of the texts of a slice: doc, start, end, number; of each line's set: n, id (0 without words), and the words as ``token`` in ``first``[i]:``first``[i + 1]."""
 
-BANDS = (10_000, 1_000, 100)  # a word that makes up a share of 1/10 000 of all words is listed: 10 000 words at most
-MOST_BROADCAST = 1_000_000  # rows of (document, line) that are sent to every executor; more are joined by a shuffle
+    def __init__(self, buf: np.ndarray, off: np.ndarray):
+        self.buf, self.off = buf, off
+        breaks = np.flatnonzero(buf == 10)
+        of = np.searchsorted(off, breaks, "right") - 1
+        doc = np.concatenate([np.arange(len(off) - 1), of])
+        start = np.concatenate([off[:-1], breaks + 1])
+        order = np.lexsort((start, doc))
+        self.doc, self.start = doc[order], start[order]
+        last = np.append(self.doc[1:] != self.doc[:-1], True)
+        self.end = np.where(last, off[self.doc + 1], np.append(self.start[1:] - 1, 0))
+        at = np.searchsorted(self.doc, np.arange(len(off)))
+        self.number = np.arange(len(self.doc)) - at[self.doc]
+        self.count = np.diff(at)
+        words = Words(buf, off)
+        h = words.hashes()
+        line = np.searchsorted(self.start, words.start, "right") - 1
+        shift = np.uint64(max(1, int(len(self.doc)).bit_length()))
+        by = np.argsort((line.astype(np.uint64) << (np.uint64(64) - shift)) | (h >> shift))
+        h, line = h[by], line[by]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        self.token, self.line = h[new], line[new]
+        self.first = np.searchsorted(self.line, np.arange(len(self.doc) + 1))
+        self.n = np.diff(self.first)
+        total = np.append(np.uint64(0), np.cumsum(wordnum.mix(self.token, 11)))
+        self.id = np.where(self.n > 0, wordnum.mix((total[self.first[1:]] - total[self.first[:-1]]) ^ self.n.astype(np.uint64), 12), 0).astype(np.uint64).view(np.int64)
 
+    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of each set's parity sketch."""
+        bit = np.uint64(1) << (self.token & np.uint64(63))
+        low = self.token & np.uint64(64) == 0
+        out = []
+        for half in (np.where(low, bit, 0), np.where(low, 0, bit)):
+            total = np.append(np.bitwise_xor.accumulate(half.astype(np.uint64)), np.uint64(0)) if len(half) else np.zeros(1, np.uint64)
+            before = np.append(np.uint64(0), total[:-1])
+            out.append(before[self.first[1:]] ^ before[self.first[:-1]])
+        return out[0], out[1]
 
-def _tokens(line: str) -> str:
-    return f"array_distinct(array_remove(split({line}, '[ \\\\x09-\\\\x0D]+'), ''))"
+    def places(self, order: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Where each set with words first stands in the unit's slice."""
+        has = np.flatnonzero(self.n > 0)
+        out = np.empty(len(has), dtype=_PLACE)
+        out["id"], out["order"], out["text"], out["line"] = self.id[has], order[self.doc[has]], text[self.doc[has]], self.number[has]
+        return out
 
 
-def _listed(spark: SparkSession, docs: DataFrame) -> list[list[int]]:
-    """Hashes of the words that make up at least 1/BANDS of the corpus, for each band."""
-    words = docs.select(F.explode(F.split("text", "[ \\x09-\\x0D]+")).alias("w")).select(F.xxhash64("w").alias("h"))
-    counts = words.groupBy("h").agg(F.count("*").alias("times"))
-    total = docs.select(F.sum(F.size(F.split("text", "[ \\x09-\\x0D]+")))).head()[0] or 0
-    often = counts.where(F.col("times") >= max(2, total / BANDS[0])).collect()  # BANDS[0] rows at most, as their shares add up to 1
-    return [[r["h"] for r in often if r["times"] >= max(2, total / b)] for b in BANDS]
+def first_places(places: np.ndarray) -> np.ndarray:
+    """Of each id the earliest place, ids ascending."""
+    places = places[np.lexsort((places["line"], places["text"], places["order"], places["id"]))]
+    return places[np.append(True, places["id"][1:] != places["id"][:-1])] if len(places) else places
 
 
-def _sets(docs: DataFrame, listed: list[list[int]], percent: int) -> DataFrame:
-    """doc_id, text_hash, line_no and each line's set: id, n, prefix (rarest first) and two halves of its parity sketch."""
-    band = " ".join(f"WHEN s.h IN ({', '.join(f'{h}L' if h != -(2**63) else '(-9223372036854775807L - 1L)' for h in hs)}) THEN {len(BANDS) - i}" for i, hs in reversed(list(enumerate(listed))) if hs)
-    band = f"CASE {band} ELSE 0 END" if band else "0"
-    lines = docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("words", F.expr(_tokens("line"))).drop("line").where("size(words) > 0")
-    lines = lines.withColumn("hashed", F.expr("transform(words, w -> named_struct('h', xxhash64(w), 'l', least(length(w), 63)))")).drop("words")
-    lines = lines.withColumn("keys", F.sort_array(F.expr(f"transform(hashed, s -> shiftleft(cast({band} as bigint), 60) | shiftleft(cast(63 - s.l as bigint), 54) | (s.h & 18014398509481983L))"))).drop("hashed")
-    half = "aggregate(keys, 0L, (a, k) -> a ^ if((k & 64) {} 0, shiftleft(1L, cast(k & 63 as int)), 0L))"
-    return lines.select("doc_id", "text_hash", "line_no", F.xxhash64("keys", F.size("keys")).alias("id"), F.size("keys").alias("n"), F.expr(half.format("=")).alias("b1"), F.expr(half.format("<>")).alias("b2"), F.expr(f"slice(keys, 1, cast(size(keys) - ceil(size(keys) * {percent} / 100) + 1 as int))").alias("prefix"))
+def near(p: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether postings a and b of one word may belong to similar sets."""
+    na, nb = p["n"][a].astype(np.int64), p["n"][b].astype(np.int64)
+    ok = np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent
+    a, b, na, nb = a[ok], b[ok], na[ok], nb[ok]
+    least = overlap(na, nb, percent)
+    ia, ib = p["i"][a].astype(np.int64), p["i"][b].astype(np.int64)
+    sure = (np.minimum(na - ia, nb - ib) + np.minimum(ia, ib) >= least) | (np.maximum(ia, ib) == 65535)
+    apart = np.bitwise_count(p["lo"][a] ^ p["lo"][b]).astype(np.int64) + np.bitwise_count(p["hi"][a] ^ p["hi"][b])
+    ok[ok] = sure & (apart <= na + nb - 2 * least)
+    return ok
 
 
-def _near(percent: int) -> Column:
-    """Filters of a pair that shares the i-th word of a and the j-th of b."""
-    a, b = F.col("a.n"), F.col("b.n")
-    least = F.ceil((a + b) * percent / (100 + percent))
-    return (
-        (F.col("a.id") < F.col("b.id"))
-        & (100 * F.least(a, b) >= percent * F.greatest(a, b))
-        & (F.least(a - F.col("a.i"), b - F.col("b.i")) + F.least(F.col("a.i"), F.col("b.i")) >= least)
-        & (F.bit_count(F.col("a.b1").bitwiseXOR(F.col("b.b1"))) + F.bit_count(F.col("a.b2").bitwiseXOR(F.col("b.b2"))) <= a + b - 2 * least)
-    )
+def forest(p: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (id, id) that tie together all ids of which some postings of one word are near: fewer than there are ids."""
+    p = p[np.lexsort((p["id"], p["token"]))]
+    p = p[np.append(True, (p["token"][1:] != p["token"][:-1]) | (p["id"][1:] != p["id"][:-1]))]
+    edge = np.flatnonzero(np.append(True, p["token"][1:] != p["token"][:-1]))
+    size = np.diff(np.append(edge, len(p)))
+    us, vs = [], []
+    big = size > SMALL_GROUP
+    group = np.repeat(np.arange(len(edge)), size)
+    left = np.repeat(edge + size, size) - np.arange(len(p)) - 1  # postings of the same word that follow
+    left[big[group]] = 0
+    here = np.flatnonzero(left)
+    step = 1
+    while len(here):
+        ok = near(p, here, here + step, percent)
+        us.append(p["id"][here[ok]])
+        vs.append(p["id"][here[ok] + step])
+        step += 1
+        here = here[left[here] >= step]
+    for g in np.flatnonzero(big):  # each posting found is asked once for those not found yet
+        rest = np.arange(edge[g], edge[g] + size[g])
+        while len(rest):
+            todo, rest = [rest[0]], rest[1:]
+            while todo and len(rest):
+                x = todo.pop()
+                ok = near(p, np.full(len(rest), x), rest, percent)
+                hit, rest = rest[ok], rest[~ok]
+                us.append(np.full(len(hit), p["id"][x]))
+                vs.append(p["id"][hit])
+                todo.extend(hit)
+    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+    names, both = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = both[: len(u)], both[len(u) :]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    moved = label != np.arange(len(names))
+    return names[moved], names[label[moved]]
+
+
+def later_ones(places: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None) -> np.ndarray:
+    """Ids of the sets of a family that are similar to an earlier one; side: blocks, of which only pairs across count."""
+    order = np.lexsort((places["id"], places["line"], places["text"], places["order"]))
+    size = np.array([len(sets[i]) for i in order])
+    owner = np.repeat(np.arange(len(order)), size)
+    _, which, count = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    lists = owner[np.argsort(which, kind="stable")]
+    ends = np.cumsum(count)
+    at = np.append(0, np.cumsum(size))
+    side = side[order] if side is not None else None
+    gone = []
+    for x in range(1, len(order)):
+        own = which[at[x] : at[x + 1]]
+        short = own[np.argsort(count[own], kind="stable")][: len(own) - int(needed(len(own), percent)) + 1]
+        seen = np.concatenate([lists[ends[t] - count[t] : ends[t]] for t in short])
+        seen = seen[seen < x]
+        seen = seen[np.minimum(size[seen], size[x]) * 100 >= np.maximum(size[seen], size[x]) * percent]
+        if side is not None:
+            seen = seen[side[seen] != side[x]]
+        if len(seen):
+            candidate, times = np.unique(seen, return_counts=True)
+            for y in candidate[np.argsort(-times, kind="stable")]:
+                if len(np.intersect1d(own, which[at[y] : at[y + 1]], assume_unique=True)) >= overlap(int(size[x]), int(size[y]), percent):
+                    gone.append(places["id"][order[x]])
+                    break
+    return np.array(gone, dtype=np.int64)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with those lines removed that are similar to an earlier one, and n_lines and n_removed.
 
     Lines are what lies between "\\n"; two are similar if the Jaccard similarity of their sets of words is at least
-    ``percent`` %. Earlier is by id, then text, then line; lines are judged on the input, not on what is left. Lines
-    without words are kept. A null text stays null, with no lines; an empty one has one line. Null ids come first. Rows
-    with the same id and text are one document: they come back alike. Columns named n_lines or n_removed are replaced;
-    other columns stay; an empty table stays empty.
+    ``percent`` %. Earlier is by id where ids are integers and else by input order, then by text, then by line; lines
+    are judged on the input, not on what is left. Lines without words are kept. A null text stays null, with no lines;
+    an empty one has one line. Null ids come first. Rows with the same id and text are one document: they come back
+    alike. Columns named n_lines or n_removed are replaced; other columns stay; an empty table stays empty.
     """
-    hashed = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    named = hashed.where("text is not null")
-    sets = scratch.written(spark, _sets(named, _listed(spark, named), percent), "line-sets")
-    firsts = scratch.written(spark, sets.groupBy("id").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first")), "line-firsts")
-    longer = sets.where(f"n * (100 - {percent}) >= 100 - {percent} and n > 1").groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "b1", "b2", "prefix")])
-    postings = longer.select("id", "n", "b1", "b2", F.posexplode("prefix").alias("i", "token"))
-    pairs = postings.alias("a").join(postings.alias("b"), (F.col("a.token") == F.col("b.token")) & _near(percent))
-    pairs = scratch.written(spark, pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "line-pairs")
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(firsts, "id").select("id", "first.*")
-    asked = scratch.written(spark, asked, "line-asked")
-    small = asked.count() <= MOST_BROADCAST
-    lines = named.distinct().select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line")) if not small else named.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    where = lines["doc_id"].eqNullSafe(asked["doc_id"]) & (lines["text_hash"] == asked["text_hash"]) & (lines["line_no"] == asked["line_no"])
-    told = lines.join(F.broadcast(asked) if small else asked, where).select("id", F.expr(_tokens("line")).alias("words"), F.struct(asked["doc_id"], asked["text_hash"], asked["line_no"]).alias("first"))
-    told = scratch.written(spark, told.dropDuplicates(["id"]), "line-words")
-    both = pairs.join(told.select(F.col("id").alias("a"), F.col("words").alias("aw"), F.col("first").alias("af")), "a").join(told.select(F.col("id").alias("b"), F.col("words").alias("bw"), F.col("first").alias("bf")), "b")
-    shared = F.size(F.array_intersect("aw", "bw"))
-    similar = both.where(100 * shared >= percent * (F.size("aw") + F.size("bw") - shared))
-    dropped = similar.select(F.when(F.col("af") < F.col("bf"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
-    verdict = firsts.join(dropped.withColumn("later", F.lit(True)), "id", "left")
-    judged = sets.select("id", "doc_id", "text_hash", "line_no").join(verdict, "id")
-    gone = judged.where(F.col("later").isNotNull() | (F.struct("doc_id", "text_hash", "line_no") != F.col("first")))
-    gone = scratch.written(spark, gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "line-gone")
-    few = gone.count() <= MOST_BROADCAST
-    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(id_column).alias("doc_id"), F.xxhash64(F.col(text_column).cast("string")).alias("text_hash"))
-    met = row.join(F.broadcast(gone) if few else gone, row["doc_id"].eqNullSafe(gone["doc_id"]) & (row["text_hash"] == gone["text_hash"]), "left").select("row", "gone")
-    split = F.split(F.col("row").getField(text_column).cast("string"), "\n")
-    kept = F.when(F.col("gone").isNull(), F.col("row").getField(text_column)).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
-    out = [kept.alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return met.select(*out, F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    docs = docs.drop("n_lines", "n_removed")
+    table = exchange.keyed(spark, docs, id_column, text_column, whole_rows=True)
+    whole = isinstance(table.schema["doc_id"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) if whole else F.col("key")
+    ordered = table.withColumn("place", place)
+    bytes_in = table.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    bits = int(min(MOST_BITS, max(12, np.ceil(np.log2(max(1, bytes_in) / 50)))))
+    buckets = int(max(1, bytes_in // 36 // BUCKET_POSTINGS))
+
+    def cut(texts: pa.Array) -> Iterator[tuple[int, int, Lines]]:
+        buf, off = wordnum.flat(texts)
+        for lo, hi in wordnum.slices(off):
+            yield lo, hi, Lines(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+
+    def words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        buf, off = wordnum.flat(batch.column(0))
+        for lo, hi in wordnum.slices(off):
+            yield Words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]).hashes()
+
+    levels = spark.sparkContext.broadcast(frequencies(spark, table.select("text"), bits, words))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for _, _, s in cut(batch.column(0)):
+                level = levels.value[cell(s.token, bits)]
+                shift = np.uint64(max(1, int(len(s.doc)).bit_length()))
+                by = np.argsort((s.line.astype(np.uint64) << (np.uint64(64) - shift)) | (((level.astype(np.uint64) << np.uint64(56)) | (s.token >> np.uint64(8))) >> shift))
+                rank = np.arange(len(by)) - s.first[s.line[by]]
+                own = s.n[s.line[by]]
+                use = rank < own - needed(own, percent) + 1
+                use &= level[by] > 0  # a word that occurs once is in no other line
+                by, rank = by[use], rank[use]
+                low, high = s.sketches()
+                out = np.empty(len(by), dtype=_POSTING)
+                line = s.line[by]
+                out["token"], out["id"], out["n"], out["i"], out["lo"], out["hi"] = s.token[by], s.id[line], s.n[line], np.minimum(rank, 65535), low[line], high[line]
+                held.append(out)
+            if sum(map(len, held)) > 1 << 20:
+                yield from dealt(held)
+                held = []
+        if held:
+            yield from dealt(held)
+
+    def dealt(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        p = np.concatenate(parts)
+        p = p[np.lexsort((p["id"], p["token"]))]
+        p = p[np.append(True, (p["token"][1:] != p["token"][:-1]) | (p["id"][1:] != p["id"][:-1]))] if len(p) else p
+        edges = np.append(np.searchsorted(p["token"], exchange.bucket_starts(buckets)), len(p))
+        full = np.flatnonzero(np.diff(edges))
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([p[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "postings"])
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and b != bucket:
+                    yield links(held)
+                    held = []
+                bucket = b
+                held.append(np.frombuffer(x, _POSTING))
+        if held:
+            yield links(held)
+
+    def links(held: list[np.ndarray]) -> pa.RecordBatch:
+        u, v = forest(np.concatenate(held), percent)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    postings = table.select("text").mapInArrow(post, "bucket int, postings binary")
+    families = components(spark, postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tie, "u long, v long"))
+    families = scratch.written(spark, families, "line-families")
+    few = families.count() <= MOST_ASKED
+    asked = spark.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in families.select("node").toLocalIterator()), np.int64)) if few else None)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each unit: its sets' first places by bucket, and the sets that are asked for."""
+        for unit in exchange.units(without_place(batches, places := {})):
+            order = places_of(unit, places)
+            found, sets = [], {}
+            text = wordnum.spans(unit.buf, unit.off[:-1], unit.off[1:])
+            for lo, hi in wordnum.slices(unit.off):
+                s = Lines(unit.buf[unit.off[lo] : unit.off[hi]], unit.off[lo : hi + 1] - unit.off[lo])
+                found.append(s.places(order[lo:hi], text[lo:hi]))
+                wanted = asked.value
+                at = np.flatnonzero(s.n > 0)
+                if wanted is not None:
+                    k = np.searchsorted(wanted, s.id[at])
+                    at = at[(k < len(wanted)) & (wanted[np.minimum(k, len(wanted) - 1)] == s.id[at])] if len(wanted) else at[:0]
+                for i in at:
+                    sets.setdefault(int(s.id[i]), s.token[s.first[i] : s.first[i + 1]].tobytes())
+            first = first_places(np.concatenate(found)) if found else np.zeros(0, _PLACE)
+            if not len(first):
+                continue
+            mine = first["id"].view(np.uint64)
+            by = np.argsort(mine)
+            edges = np.append(np.searchsorted(mine[by], exchange.bucket_starts(few_buckets)), len(by))
+            for b in np.flatnonzero(np.diff(edges)):
+                yield row(int(b), unit, first[by[edges[b] : edges[b + 1]]].tobytes(), None, None)
+            has = [p for p in first if int(p["id"]) in sets]
+            for lo in range(0, len(has), 512):
+                part = has[lo : lo + 512]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.array([p.tobytes() for p in part], pa.binary()), pa.array([int(p["id"]) for p in part], pa.int64()), pa.array([sets[int(p["id"])] for p in part], pa.binary())], names=names)
+
+    names = ["bucket", "chunk", "lo", "hi", "places", "id", "words"]
+    few_buckets = int(max(1, bytes_in // 300 // BUCKET_POSTINGS))
+
+    def row(bucket: int, unit: exchange.Unit, places: bytes, id_: int | None, words_: bytes | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([unit.chunk], pa.int64()), pa.array([int(unit.keys[0])], pa.int64()), pa.array([int(unit.keys[-1])], pa.int64()), pa.array([places], pa.binary()), pa.array([id_], pa.int64()), pa.array([words_], pa.binary())], names=names)
+
+    gathered = scratch.written(spark, ordered.select("key", "chunk", "text", "place").mapInArrow(gather, "bucket int, chunk long, lo long, hi long, places binary, id long, words binary"), "line-places")
+    counted = families.groupBy("component").agg(F.count("*").alias("members"))
+    member = families.join(counted, "component").withColumn("blocks", F.ceil(F.col("members") / BLOCK_CLASSES).cast("int"))
+    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    member = member.select(F.col("node").alias("id"), "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    met = member.join(gathered.where("words is not null").select("id", "places", "words"), "id").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, {}
+
+        def judged() -> pa.RecordBatch:
+            places = np.array([r[0] for r in rows.values()], dtype=_PLACE)
+            side = np.array([r[2] for r in rows.values()]) if group[1] != group[2] else None
+            return pa.RecordBatch.from_arrays([pa.array(later_ones(places, [r[1] for r in rows.values()], percent, side))], names=["id"])
+
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j", "id", "places", "words", "block")), strict=True):
+                if group != r[:3]:
+                    if rows:
+                        yield judged()
+                    group, rows = r[:3], {}
+                at = np.frombuffer(r[4], _PLACE)[0]
+                old = rows.get(r[3])
+                if old is None or tuple(at)[1:] < tuple(old[0])[1:]:
+                    rows[r[3]] = (at, np.frombuffer(r[5], np.uint64), r[6])
+        if rows:
+            yield judged()
+
+    later = met.mapInArrow(verify, "id long").distinct()
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.sort(batch.column(0).to_numpy().view(np.uint64))
+            edges = np.append(np.searchsorted(own, exchange.bucket_starts(few_buckets)), len(own))
+            for b in np.flatnonzero(np.diff(edges)):
+                yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([own[edges[b] : edges[b + 1]].tobytes()], pa.binary())], names=names[:5])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, units, gone = None, [], []
+
+        def bits_of() -> pa.RecordBatch:
+            parts = [np.frombuffer(u[4], _PLACE) for u in units]
+            every = np.concatenate(parts)
+            first = first_places(every)
+            best = first[np.searchsorted(first["id"], every["id"])]
+            stays = (best["order"] == every["order"]) & (best["text"] == every["text"]) & (best["line"] == every["line"])
+            if gone:
+                stays &= ~np.isin(every["id"], np.concatenate(gone))
+            ends = np.cumsum([len(p) for p in parts])
+            return pa.RecordBatch.from_arrays([*[pa.array([u[i] for u in units], pa.int64()) for i in (1, 2, 3)], pa.array([bucket] * len(units), pa.int32()), pa.array([np.packbits(stays[e - len(p) : e]).tobytes() for p, e in zip(parts, ends, strict=True)], pa.binary())], names=["chunk", "lo", "hi", "bucket", "bits"])
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[0] != bucket:
+                    if units:
+                        yield bits_of()
+                    bucket, units, gone = r[0], [], []
+                if r[1] is None:
+                    gone.append(np.frombuffer(r[4], np.int64))
+                else:
+                    units.append(r)
+        if units:
+            yield bits_of()
+
+    rows = gathered.where("bucket is not null").select(*names[:5]).unionByName(later.mapInArrow(told, "bucket int, chunk long, lo long, hi long, places binary"))
+    masks = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge, "chunk long, lo long, hi long, bucket int, bits binary")
+
+    def strike(unit: exchange.Unit, bits: list[bytes], columns: list[pa.ChunkedArray]) -> Iterator[pa.RecordBatch]:
+        row, order, nulls = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns)
+        order = order.to_numpy()
+        text = wordnum.spans(unit.buf, unit.off[:-1], unit.off[1:])
+        parts = [(lo, hi, Lines(unit.buf[unit.off[lo] : unit.off[hi]], unit.off[lo : hi + 1] - unit.off[lo])) for lo, hi in wordnum.slices(unit.off)]
+        first = first_places(np.concatenate([s.places(order[lo:hi], text[lo:hi]) for lo, hi, s in parts])) if parts else np.zeros(0, _PLACE)
+        first = first[np.argsort(first["id"].view(np.uint64))]
+        edges = np.append(np.searchsorted(first["id"].view(np.uint64), exchange.bucket_starts(few_buckets)), len(first))
+        sizes = [int(n) for n in np.diff(edges) if n]
+        if len(sizes) != len(bits):
+            raise RuntimeError("a unit's verdicts do not fit its lines")
+        stays = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(bits, sizes, strict=True)]).astype(bool) if sizes else np.zeros(0, bool)
+        for lo, hi, s in parts:
+            kept = np.ones(len(s.doc), dtype=bool)
+            has = np.flatnonzero(s.n > 0)
+            if len(has):
+                k = np.searchsorted(first["id"].view(np.uint64), s.id[has].view(np.uint64))
+                at = first[k]
+                kept[has] = stays[k] & (at["order"] == order[lo:hi][s.doc[has]]) & (at["text"] == text[lo:hi][s.doc[has]]) & (at["line"] == s.number[has])
+            count, removed = s.count.astype(np.int64), np.bincount(s.doc[~kept], minlength=hi - lo).astype(np.int64)
+            gone = nulls.slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
+            texts = kept_lines(s, kept).cast(pa.string())
+            texts = pa.compute.if_else(pa.array(gone), pa.scalar(None, pa.string()), texts)
+            yield pa.RecordBatch.from_arrays([row.slice(lo, hi - lo), texts, pa.array(np.where(gone, 0, count)), pa.array(removed)], names=["row", "text", "n_lines", "n_removed"])
+
+    source = ordered.withColumn("no_text", F.col("text").isNull())
+    schema = T.StructType([table.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    done = exchange.with_verdicts(source, masks, strike, schema, ["row", "place", "no_text"])
+    return done.select(*[F.col("text").alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns], "n_lines", "n_removed")
+
+
+def without_place(batches: Iterator[pa.RecordBatch], places: dict) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, chunk, text); the fourth column goes to ``places`` by key, until its unit takes it."""
+    for batch in batches:
+        places.update(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True))
+        yield batch.select([0, 1, 2])
+
+
+def places_of(unit: exchange.Unit, places: dict) -> np.ndarray:
+    return np.array([places.pop(int(k)) for k in unit.keys], dtype=np.int64)
+
+
+def kept_lines(s: Lines, kept: np.ndarray) -> pa.Array:
+    """Kept lines of each text joined by one line break."""
+    depth = np.zeros(len(s.buf) + 1, dtype=np.int32)
+    np.add.at(depth, s.start[kept], 1)
+    np.add.at(depth, s.end[kept], -1)
+    keep = np.cumsum(depth[:-1]) > 0
+    out = s.buf.copy()
+    doc, end = s.doc[kept], s.end[kept]
+    glue = end[:-1][doc[1:] == doc[:-1]]  # the break after each kept line that another one follows
+    keep[glue] = True
+    out[glue] = 10
+    sizes = np.append(0, np.cumsum(keep))
+    return wordnum.strings(out[keep], sizes[s.off])
 
 
 def op1_line_similarity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,16 @@ def overlap(a: int | np.ndarray, b: int | np.ndarray, percent: int) -> int | np.
     return -(-(a + b) * percent // (100 + percent))
 
 
-def frequencies(spark: SparkSession, classes: DataFrame, bits: int) -> np.ndarray:
-    """2**bits cells: how often hashes that fall into each occur, on a logarithmic scale of 16 steps an octave."""
+def packed(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for x in batch.column(0):
+        yield np.frombuffer(x.as_buffer(), np.uint64)
+
+
+def frequencies(spark: SparkSession, frame: DataFrame, bits: int, hashes: Callable = packed) -> np.ndarray:
+    """2**bits cells: how often hashes that fall into each occur, on a logarithmic scale of 16 steps an octave; 0 is once.
+
+    ``hashes`` takes the batches of ``frame`` and gives arrays.
+    """
     block = min(BLOCK, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,8 +63,8 @@ def frequencies(spark: SparkSession, classes: DataFrame, bits: int) -> np.ndarra
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([(own[lo:hi] - (b << block)).astype(np.uint32).tobytes()], pa.binary()), pa.array([times[lo:hi].astype(np.uint32).tobytes()], pa.binary())], names=["block", "cells", "times"])
 
         for batch in batches:
-            for x in batch.column(0):
-                held.append(cell(np.frombuffer(x.as_buffer(), np.uint64), bits))
+            for x in hashes(batch):
+                held.append(cell(x, bits))
                 size += len(held[-1])
                 if size >= 4 << 20:
                     yield from out()
@@ -81,7 +89,7 @@ def frequencies(spark: SparkSession, classes: DataFrame, bits: int) -> np.ndarra
         if at is not None:
             yield out()
 
-    parts = classes.select("hashes").mapInArrow(count, "block int, cells binary, times binary").repartition("block").sortWithinPartitions("block")
+    parts = frame.mapInArrow(count, "block int, cells binary, times binary").repartition("block").sortWithinPartitions("block")
     levels = np.zeros(1 << bits, dtype=np.uint8)
     for r in parts.mapInArrow(merge, "block int, levels binary").toLocalIterator():  # 2**bits bytes in all
         levels[r["block"] << block : (r["block"] + 1) << block] = np.frombuffer(r["levels"], np.uint8)
@@ -244,7 +252,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame | None, *, n: int = 5,
 
     total = classes.agg(F.sum("n")).head()[0] or 0
     bits = int(min(MOST_BITS, max(12, np.ceil(np.log2(max(1, total))))))
-    levels = spark.sparkContext.broadcast(frequencies(spark, classes, bits))
+    levels = spark.sparkContext.broadcast(frequencies(spark, classes.select("hashes"), bits))
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
