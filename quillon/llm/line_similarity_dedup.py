@@ -31,7 +31,7 @@ BUCKET_POSTINGS = 1 << 18
 SMALL_GROUP = 64  # postings of a word up to which all pairs are filtered at once
 BLOCK_CLASSES = 8192
 _POSTING = np.dtype([("token", "<u8"), ("id", "<i8"), ("n", "<u4"), ("i", "<u2"), ("lo", "<u8"), ("hi", "<u8")])
-_PLACE = np.dtype([("id", "<i8"), ("order", "<i8"), ("text", "<u8"), ("line", "<i8")])
+_PLACE = np.dtype([("id", "<i8"), ("order", "<i8"), ("key", "<i8"), ("line", "<i8")])
 
 
 class Lines:
@@ -75,62 +75,77 @@ class Lines:
             out.append(before[self.first[1:]] ^ before[self.first[:-1]])
         return out[0], out[1]
 
-    def places(self, order: np.ndarray, text: np.ndarray) -> np.ndarray:
+    def places(self, order: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Where each set with words first stands in the unit's slice."""
         has = np.flatnonzero(self.n > 0)
         out = np.empty(len(has), dtype=_PLACE)
-        out["id"], out["order"], out["text"], out["line"] = self.id[has], order[self.doc[has]], text[self.doc[has]], self.number[has]
+        out["id"], out["order"], out["key"], out["line"] = self.id[has], order[self.doc[has]], keys[self.doc[has]], self.number[has]
         return out
 
 
 def first_places(places: np.ndarray) -> np.ndarray:
     """Of each id the earliest place, ids ascending."""
-    places = places[np.lexsort((places["line"], places["text"], places["order"], places["id"]))]
+    places = places[np.lexsort((places["line"], places["key"], places["order"], places["id"]))]
     return places[np.append(True, places["id"][1:] != places["id"][:-1])] if len(places) else places
 
 
-def near(p: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether postings a and b of one word may belong to similar sets."""
-    na, nb = p["n"][a].astype(np.int64), p["n"][b].astype(np.int64)
-    ok = np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent
-    a, b, na, nb = a[ok], b[ok], na[ok], nb[ok]
-    least = overlap(na, nb, percent)
-    ia, ib = p["i"][a].astype(np.int64), p["i"][b].astype(np.int64)
-    sure = (np.minimum(na - ia, nb - ib) + np.minimum(ia, ib) >= least) | (np.maximum(ia, ib) == 65535)
-    apart = np.bitwise_count(p["lo"][a] ^ p["lo"][b]).astype(np.int64) + np.bitwise_count(p["hi"][a] ^ p["hi"][b])
-    ok[ok] = sure & (apart <= na + nb - 2 * least)
-    return ok
-
-
-def forest(p: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+class Group:
+    """Postings sorted by word, then by size of set: plain arrays, and for each where those of its word end that may be as large."""
+
+    def __init__(self, p: np.ndarray, percent: int):
+        p = p[np.lexsort((p["id"], p["n"], p["token"]))]
+        p = p[np.append(True, (p["token"][1:] != p["token"][:-1]) | (p["id"][1:] != p["id"][:-1]))]
+        self.id, self.n, self.i, self.lo, self.hi = (np.ascontiguousarray(p[c]) for c in ("id", "n", "i", "lo", "hi"))
+        self.edge = np.flatnonzero(np.append(True, p["token"][1:] != p["token"][:-1]))
+        self.size = np.diff(np.append(self.edge, len(p)))
+        self.of = np.repeat(np.arange(len(self.edge)), self.size)
+        most = self.n.astype(np.int64) * 100 // percent
+        self.end = np.searchsorted((self.of << 32) | self.n, (self.of << 32) | np.minimum(most, 2**32 - 1), "right")
+        self.percent = percent
+        sums = np.arange(2 * int(self.n.max()) + 1) if len(p) and int(self.n.max()) < 1 << 22 else None
+        self.apart = None if sums is None else (sums - 2 * overlap(sums, 0, percent)).astype(np.int16 if len(sums) < 1 << 15 else np.int32)
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether postings a and b of one word, with sizes within bounds, may belong to similar sets."""
+        total = self.n[a] + self.n[b]
+        most = self.apart[total] if self.apart is not None else total.astype(np.int64) - 2 * overlap(total.astype(np.int64), 0, self.percent)
+        ok = np.bitwise_count(self.lo[a] ^ self.lo[b]).astype(np.int16) + np.bitwise_count(self.hi[a] ^ self.hi[b]) <= most
+        hit = np.flatnonzero(ok)
+        if len(hit):
+            a, b = a[hit], b[hit]
+            na, nb, ia, ib = (x.astype(np.int64) for x in (self.n[a], self.n[b], self.i[a], self.i[b]))
+            sure = (np.minimum(na - ia, nb - ib) + np.minimum(ia, ib) >= overlap(na, nb, self.percent)) | (np.maximum(ia, ib) == 65535)
+            ok[hit] = sure & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * self.percent)
+        return ok
+
+
+def forest(postings: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (id, id) that tie together all ids of which some postings of one word are near: fewer than there are ids."""
-    p = p[np.lexsort((p["id"], p["token"]))]
-    p = p[np.append(True, (p["token"][1:] != p["token"][:-1]) | (p["id"][1:] != p["id"][:-1]))]
-    edge = np.flatnonzero(np.append(True, p["token"][1:] != p["token"][:-1]))
-    size = np.diff(np.append(edge, len(p)))
+    p = Group(postings, percent)
     us, vs = [], []
-    big = size > SMALL_GROUP
-    group = np.repeat(np.arange(len(edge)), size)
-    left = np.repeat(edge + size, size) - np.arange(len(p)) - 1  # postings of the same word that follow
-    left[big[group]] = 0
-    here = np.flatnonzero(left)
+    big = p.size > SMALL_GROUP
+    left = p.end - np.arange(len(p.id)) - 1  # postings of the same word that follow, none too large
+    left[big[p.of]] = 0
+    here = np.flatnonzero(left > 0)
     step = 1
     while len(here):
-        ok = near(p, here, here + step, percent)
-        us.append(p["id"][here[ok]])
-        vs.append(p["id"][here[ok] + step])
+        hit = here[p.near(here, here + step)]
+        us.append(p.id[hit])
+        vs.append(p.id[hit + step])
         step += 1
         here = here[left[here] >= step]
     for g in np.flatnonzero(big):  # each posting found is asked once for those not found yet
-        rest = np.arange(edge[g], edge[g] + size[g])
+        rest = np.arange(p.edge[g], p.edge[g] + p.size[g])
         while len(rest):
             todo, rest = [rest[0]], rest[1:]
             while todo and len(rest):
                 x = todo.pop()
-                ok = near(p, np.full(len(rest), x), rest, percent)
+                a, b = np.searchsorted(p.n[rest], [-(-int(p.n[x]) * percent // 100), int(p.n[x]) * 100 // percent + 1])
+                ok = np.zeros(len(rest), dtype=bool)
+                ok[a:b] = p.near(np.full(b - a, x), rest[a:b])
                 hit, rest = rest[ok], rest[~ok]
-                us.append(np.full(len(hit), p["id"][x]))
-                vs.append(p["id"][hit])
+                us.append(np.full(len(hit), p.id[x]))
+                vs.append(p.id[hit])
                 todo.extend(hit)
     u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
     names, both = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -151,7 +166,7 @@ def forest(p: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 def later_ones(places: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None) -> np.ndarray:
     """Ids of the sets of a family that are similar to an earlier one; side: blocks, of which only pairs across count."""
-    order = np.lexsort((places["id"], places["line"], places["text"], places["order"]))
+    order = np.lexsort((places["id"], places["line"], places["key"], places["order"]))
     size = np.array([len(sets[i]) for i in order])
     owner = np.repeat(np.arange(len(order)), size)
     _, which, count = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
@@ -181,10 +196,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_c
     """``docs`` with those lines removed that are similar to an earlier one, and n_lines and n_removed.
 
     Lines are what lies between "\\n"; two are similar if the Jaccard similarity of their sets of words is at least
-    ``percent`` %. Earlier is by id where ids are integers and else by input order, then by text, then by line; lines
-    are judged on the input, not on what is left. Lines without words are kept. A null text stays null, with no lines;
-    an empty one has one line. Null ids come first. Rows with the same id and text are one document: they come back
-    alike. Columns named n_lines or n_removed are replaced; other columns stay; an empty table stays empty.
+    ``percent`` %. Earlier is by id where ids are integers, null first, then by input order, then by line; lines are
+    judged on the input, not on what is left. Lines without words are kept. A null text stays null, with no lines; an
+    empty one has one line. Of rows that repeat only the first keeps its lines. Columns named n_lines or n_removed are
+    replaced; other columns stay; an empty table stays empty.
     """
     docs = docs.drop("n_lines", "n_removed")
     table = exchange.keyed(spark, docs, id_column, text_column, whole_rows=True)
@@ -265,10 +280,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_c
         for unit in exchange.units(without_place(batches, places := {})):
             order = places_of(unit, places)
             found, sets = [], {}
-            text = wordnum.spans(unit.buf, unit.off[:-1], unit.off[1:])
             for lo, hi in wordnum.slices(unit.off):
                 s = Lines(unit.buf[unit.off[lo] : unit.off[hi]], unit.off[lo : hi + 1] - unit.off[lo])
-                found.append(s.places(order[lo:hi], text[lo:hi]))
+                found.append(s.places(order[lo:hi], unit.keys[lo:hi]))
                 wanted = asked.value
                 at = np.flatnonzero(s.n > 0)
                 if wanted is not None:
@@ -340,7 +354,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_c
             every = np.concatenate(parts)
             first = first_places(every)
             best = first[np.searchsorted(first["id"], every["id"])]
-            stays = (best["order"] == every["order"]) & (best["text"] == every["text"]) & (best["line"] == every["line"])
+            stays = (best["order"] == every["order"]) & (best["key"] == every["key"]) & (best["line"] == every["line"])
             if gone:
                 stays &= ~np.isin(every["id"], np.concatenate(gone))
             ends = np.cumsum([len(p) for p in parts])
@@ -365,9 +379,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_c
     def strike(unit: exchange.Unit, bits: list[bytes], columns: list[pa.ChunkedArray]) -> Iterator[pa.RecordBatch]:
         row, order, nulls = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns)
         order = order.to_numpy()
-        text = wordnum.spans(unit.buf, unit.off[:-1], unit.off[1:])
         parts = [(lo, hi, Lines(unit.buf[unit.off[lo] : unit.off[hi]], unit.off[lo : hi + 1] - unit.off[lo])) for lo, hi in wordnum.slices(unit.off)]
-        first = first_places(np.concatenate([s.places(order[lo:hi], text[lo:hi]) for lo, hi, s in parts])) if parts else np.zeros(0, _PLACE)
+        first = first_places(np.concatenate([s.places(order[lo:hi], unit.keys[lo:hi]) for lo, hi, s in parts])) if parts else np.zeros(0, _PLACE)
         first = first[np.argsort(first["id"].view(np.uint64))]
         edges = np.append(np.searchsorted(first["id"].view(np.uint64), exchange.bucket_starts(few_buckets)), len(first))
         sizes = [int(n) for n in np.diff(edges) if n]
@@ -380,7 +393,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_c
             if len(has):
                 k = np.searchsorted(first["id"].view(np.uint64), s.id[has].view(np.uint64))
                 at = first[k]
-                kept[has] = stays[k] & (at["order"] == order[lo:hi][s.doc[has]]) & (at["text"] == text[lo:hi][s.doc[has]]) & (at["line"] == s.number[has])
+                kept[has] = stays[k] & (at["order"] == order[lo:hi][s.doc[has]]) & (at["key"] == unit.keys[lo:hi][s.doc[has]]) & (at["line"] == s.number[has])
             count, removed = s.count.astype(np.int64), np.bincount(s.doc[~kept], minlength=hi - lo).astype(np.int64)
             gone = nulls.slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
             texts = kept_lines(s, kept).cast(pa.string())
