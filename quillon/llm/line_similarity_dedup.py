@@ -28,7 +28,7 @@ from quillon.llm.wordnum import Words
 MOST_BITS = 26  # cells of the table of counts, as a power of two: 64 MB at most
 MOST_ASKED = 8_000_000  # class ids that are sent to every executor; more are joined by a shuffle
 BUCKET_POSTINGS = 1 << 18
-SMALL_GROUP = 64  # postings of a word up to which all pairs are filtered at once
+SMALL_GROUP = 4096  # postings of a word up to which each is filtered against all that follow; in larger groups each is asked once
 BLOCK_CLASSES = 8192
 _POSTING = np.dtype([("token", "<u8"), ("id", "<i8"), ("n", "<u4"), ("i", "<u2"), ("lo", "<u8"), ("hi", "<u8")])
 _PLACE = np.dtype([("id", "<i8"), ("order", "<i8"), ("key", "<i8"), ("line", "<i8")])
@@ -127,11 +127,15 @@ def forest(postings: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     left = p.end - np.arange(len(p.id)) - 1  # postings of the same word that follow, none too large
     left[big[p.of]] = 0
     here = np.flatnonzero(left > 0)
-    step = 1
+    step, held = 1, 0
     while len(here):
         hit = here[p.near(here, here + step)]
         us.append(p.id[hit])
         vs.append(p.id[hit + step])
+        held += len(hit)
+        if held > 1 << 20:  # a forest is never larger than the ids
+            u, v = tied(np.concatenate(us), np.concatenate(vs))
+            us, vs, held = [u], [v], 0
         step += 1
         here = here[left[here] >= step]
     for g in np.flatnonzero(big):  # each posting found is asked once for those not found yet
@@ -147,7 +151,11 @@ def forest(postings: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
                 us.append(np.full(len(hit), p.id[x]))
                 vs.append(p.id[hit])
                 todo.extend(hit)
-    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+    return tied(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs)))
+
+
+def tied(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of every id to the least of its component, for the links u to v."""
     names, both = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = both[: len(u)], both[len(u) :]
     label = np.arange(len(names))
