@@ -64,6 +64,11 @@ class Lines:
         total = np.append(np.uint64(0), np.cumsum(wordnum.mix(self.token, 11)))
         self.id = np.where(self.n > 0, wordnum.mix((total[self.first[1:]] - total[self.first[:-1]]) ^ self.n.astype(np.uint64), 12), 0).astype(np.uint64).view(np.int64)
 
+    def without_words(self) -> Lines:
+        """The lines alone: the words of a unit take most of its memory."""
+        del self.token, self.line, self.first
+        return self
+
     def sketches(self) -> tuple[np.ndarray, np.ndarray]:
         """Both halves of each set's parity sketch."""
         bit = np.uint64(1) << (self.token & np.uint64(63))
@@ -133,7 +138,7 @@ def forest(postings: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         us.append(p.id[hit])
         vs.append(p.id[hit + step])
         held += len(hit)
-        if held > 1 << 20:  # a forest is never larger than the ids
+        if held > 1 << 19:  # a forest is never larger than the ids
             u, v = tied(np.concatenate(us), np.concatenate(vs))
             us, vs, held = [u], [v], 0
         step += 1
@@ -247,7 +252,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_c
                 line = s.line[by]
                 out["token"], out["id"], out["n"], out["i"], out["lo"], out["hi"] = s.token[by], s.id[line], s.n[line], np.minimum(rank, 65535), low[line], high[line]
                 held.append(out)
-            if sum(map(len, held)) > 1 << 20:
+            if sum(map(len, held)) > 1 << 19:
                 yield from dealt(held)
                 held = []
         if held:
@@ -387,7 +392,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_c
     def strike(unit: exchange.Unit, bits: list[bytes], columns: list[pa.ChunkedArray]) -> Iterator[pa.RecordBatch]:
         row, order, nulls = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns)
         order = order.to_numpy()
-        parts = [(lo, hi, Lines(unit.buf[unit.off[lo] : unit.off[hi]], unit.off[lo : hi + 1] - unit.off[lo])) for lo, hi in wordnum.slices(unit.off)]
+        parts = [(lo, hi, Lines(unit.buf[unit.off[lo] : unit.off[hi]], unit.off[lo : hi + 1] - unit.off[lo]).without_words()) for lo, hi in wordnum.slices(unit.off)]
         first = first_places(np.concatenate([s.places(order[lo:hi], unit.keys[lo:hi]) for lo, hi, s in parts])) if parts else np.zeros(0, _PLACE)
         first = first[np.argsort(first["id"].view(np.uint64))]
         edges = np.append(np.searchsorted(first["id"].view(np.uint64), exchange.bucket_starts(few_buckets)), len(first))
