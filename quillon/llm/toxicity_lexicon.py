@@ -42,7 +42,8 @@ def _folding() -> dict[int, str]:
 
 
 _fold = _folding()
-_within = re.compile(r"(?<=[a-z])[013457@$!|]+(?=[a-z])|(?<![^\W_])[013457@$]+(?=[a-z][a-z])")
+_within = re.compile(r"(?<=[a-z])[013457@$!|]+(?=[a-z])")
+_before = re.compile(r"(?<![^\W_])[013457@$]+(?=[a-z][a-z])")
 _gaps = re.compile(r"[\W_]+")
 
 
@@ -51,7 +52,7 @@ def fold(text: str) -> str:
     text = text.lower()
     if not text.isascii():
         text = text.translate(_fold)
-    text = _within.sub(lambda m: m[0].translate(LEET), text)
+    text = _before.sub(lambda m: m[0].translate(LEET), _within.sub(lambda m: m[0].translate(LEET), text))
     return " " + _gaps.sub(" ", text).strip() + " "
 
 

@@ -85,7 +85,7 @@ class Words:
         edge[1:-1] = inside[1:] != inside[:-1]
         if len(buf):
             edge[0], edge[-1] = inside[0], inside[-1]
-            cuts = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(buf))]
+            cuts = np.unique(off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(buf))])
             both = cuts[inside[cuts] & inside[cuts - 1]]  # a word ends and another starts where texts meet
         else:
             both = np.zeros(0, np.int64)
