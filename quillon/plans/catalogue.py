@@ -457,7 +457,7 @@ def prior_entries(spark: SparkSession, sf: str) -> DataFrame:
     return linking.prior_entry(nation.select(F.col("n_nationkey").alias("name_id"), F.col("n_name").alias("name")), history)
 
 
-@query("WITH r AS (SELECT c_custkey AS item, 'f' || (c_custkey % 20) AS field, CASE WHEN c_custkey % 3 <> 0 THEN 'v' || (c_custkey % 40) END AS given FROM customer), x AS (SELECT 'f' || s_suppkey % 20 AS field, 'v' || (s_suppkey % 20) AS value, s_suppkey % 9 <> 0 AS found FROM supplier), g AS (SELECT item, max(given) AS given, count_if(found) AS nf, count_if(found AND value <> given) AS nd FROM r LEFT JOIN x USING (field) GROUP BY ALL) SELECT item, CASE WHEN given IS NULL THEN 'manual' WHEN nf = 0 THEN 'unreviewed' WHEN nd > 0 THEN 'flagged' ELSE 'clean' END AS status FROM g")
+@query("WITH r AS (SELECT c_custkey AS item, 'f' || (c_custkey % 20) AS field, CASE WHEN c_custkey % 3 <> 0 THEN 'v' || (c_custkey % 40) END AS given FROM customer), x AS (SELECT 'f' || s_suppkey % 20 AS field, 'v' || (s_suppkey % 20) AS value, s_suppkey % 9 <> 0 AS found FROM supplier), g AS (SELECT item, max(given) AS given, count(*) FILTER (found) AS nf, count(*) FILTER (found AND value <> given) AS nd FROM r LEFT JOIN x USING (field) GROUP BY ALL) SELECT item, CASE WHEN given IS NULL THEN 'manual' WHEN nf = 0 THEN 'unreviewed' WHEN nd > 0 THEN 'flagged' ELSE 'clean' END AS status FROM g")
 def manual_review(spark: SparkSession, sf: str) -> DataFrame:
     c, k = read(spark, sf, "customer"), F.col("c_custkey")
     wanted = c.select(k.alias("item"), F.concat(F.lit("f"), k % 20).alias("field"))
