@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ def components(spark: SparkSession, edges: DataFrame, most: int = 60) -> DataFra
     gathered, only their minimum. Rounds are logarithmic in the number of nodes.
     """
     stars = scratch.written(spark, edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    before = signature(stars)  # links that are stars already settle in one round
     for _ in range(most):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -23,10 +24,32 @@ def components(spark: SparkSession, edges: DataFrame, most: int = 60) -> DataFra
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = scratch.written(spark, low.select("u", F.col("m").alias("v")).unionByName(linked).distinct(), "stars")
-        now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
+        now = signature(stars)
         if now == before:
             break
         before = now
     else:
         raise RuntimeError("the components did not settle")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def signature(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
+
+
+def tied(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of every id to the least of its component, for the links u to v."""
+    names, both = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = both[: len(u)], both[len(u) :]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    moved = label != np.arange(len(names))
+    return names[moved], names[label[moved]]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm import exchange, scratch, wordnum
-from quillon.llm.components import components
+from quillon.llm.components import components, tied
 from quillon.llm.ngram_overlap_join import cell, frequencies, needed, overlap
 from quillon.llm.wordnum import Words
 
@@ -159,24 +159,6 @@ def forest(postings: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return tied(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs)))
 
 
-def tied(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of every id to the least of its component, for the links u to v."""
-    names, both = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = both[: len(u)], both[len(u) :]
-    label = np.arange(len(names))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    moved = label != np.arange(len(names))
-    return names[moved], names[label[moved]]
-
-
 def later_ones(places: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None) -> np.ndarray:
     """Ids of the sets of a family that are similar to an earlier one; side: blocks, of which only pairs across count."""
     order = np.lexsort((places["id"], places["line"], places["key"], places["order"]))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm import exchange, scratch, wordnum
-from quillon.llm.components import components
+from quillon.llm.components import components, tied
 from quillon.llm.wordnum import Words
 
 BLOCK_CLASSES = 8192  # classes of a family that meet in one task; larger families are searched block against block
@@ -266,7 +266,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame | None, *, n: int = 5,
 
     tokens = classes.select("node", "hashes").mapInArrow(prefix, "token long, node long")
     heads = tokens.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("times")).where("times > 1")
-    near = tokens.join(heads, "token").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    near = tokens.join(heads, "token").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = tied(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    near = near.mapInArrow(contract, "u long, v long")
     families = components(spark, near)
     counted = families.groupBy("component").agg(F.count("*").alias("members"))
     families = families.join(counted, "component").withColumn("blocks", F.ceil(F.col("members") / BLOCK_CLASSES).cast("int"))
@@ -282,7 +289,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame | None, *, n: int = 5,
             nodes = [r[0] for r in rows]
             across = np.array([r[4] for r in rows]) if group[1] != group[2] else None
             pairs = search(np.array([r[5] for r in rows], dtype=np.int64), [np.frombuffer(r[6], np.uint64) for r in rows], percent, across)
-            return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in pairs], pa.int64()), pa.array([nodes[y] for _, y in pairs], pa.int64())], names=["u", "v"])
+            u, v = tied(np.array([nodes[x] for x, _ in pairs], dtype=np.int64), np.array([nodes[y] for _, y in pairs], dtype=np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for batch in batches:
             for r in zip(*(batch.column(c).to_pylist() for c in ("node", "component", "i", "j", "block", "n", "hashes")), strict=True):
