@@ -31,13 +31,13 @@ BUCKET_POSTINGS = 1 << 18
 SMALL_GROUP = 4096  # postings of a word up to which each is filtered against all that follow; in larger groups each is asked once
 BLOCK_CLASSES = 8192
 _POSTING = np.dtype([("token", "<u8"), ("id", "<i8"), ("n", "<u4"), ("i", "<u2"), ("lo", "<u8"), ("hi", "<u8")])
-_PLACE = np.dtype([("id", "<i8"), ("order", "<i8"), ("key", "<i8"), ("line", "<i8")])
+_PLACE = np.dtype([("id", "<i8"), ("order", "<i8"), ("key", "<i8"), ("line", "<i8"), ("at", "<u4")])
 
 
 class Lines:
     """Lines of the texts of a slice: doc, start, end, number; of each line's set: n, id (0 without words), and the words as ``token`` in ``first``[i]:``first``[i + 1]."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, sets: bool = True):
         self.buf, self.off = buf, off
         breaks = np.flatnonzero(buf == 10)
         of = np.searchsorted(off, breaks, "right") - 1
@@ -50,6 +50,8 @@ class Lines:
         at = np.searchsorted(self.doc, np.arange(len(off)))
         self.number = np.arange(len(self.doc)) - at[self.doc]
         self.count = np.diff(at)
+        if not sets:
+            return
         words = Words(buf, off)
         h = words.hashes()
         line = np.searchsorted(self.start, words.start, "right") - 1
@@ -64,11 +66,6 @@ class Lines:
         total = np.append(np.uint64(0), np.cumsum(wordnum.mix(self.token, 11)))
         self.id = np.where(self.n > 0, wordnum.mix((total[self.first[1:]] - total[self.first[:-1]]) ^ self.n.astype(np.uint64), 12), 0).astype(np.uint64).view(np.int64)
 
-    def without_words(self) -> Lines:
-        """The lines alone: the words of a unit take most of its memory."""
-        del self.token, self.line, self.first
-        return self
-
     def sketches(self) -> tuple[np.ndarray, np.ndarray]:
         """Both halves of each set's parity sketch."""
         bit = np.uint64(1) << (self.token & np.uint64(63))
@@ -80,11 +77,11 @@ class Lines:
             out.append(before[self.first[1:]] ^ before[self.first[:-1]])
         return out[0], out[1]
 
-    def places(self, order: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Where each set with words first stands in the unit's slice."""
+    def places(self, order: np.ndarray, keys: np.ndarray, before: int) -> np.ndarray:
+        """Where the sets with words stand; at: the line's number in its unit, ``before`` lines of which come first."""
         has = np.flatnonzero(self.n > 0)
         out = np.empty(len(has), dtype=_PLACE)
-        out["id"], out["order"], out["key"], out["line"] = self.id[has], order[self.doc[has]], keys[self.doc[has]], self.number[has]
+        out["id"], out["order"], out["key"], out["line"], out["at"] = self.id[has], order[self.doc[has]], keys[self.doc[has]], self.number[has], before + has
         return out
 
 
@@ -271,13 +268,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_c
     asked = spark.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in families.select("node").toLocalIterator()), np.int64)) if few else None)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each unit: its sets' first places by bucket, and the sets that are asked for."""
+        """For each unit: its sets' first places by bucket, its lines that repeat one of its sets (bucket -1), and the sets that are asked for."""
         for unit in exchange.units(without_place(batches, places := {})):
             order = places_of(unit, places)
-            found, sets = [], {}
+            found, sets, before = [], {}, 0
             for lo, hi in wordnum.slices(unit.off):
                 s = Lines(unit.buf[unit.off[lo] : unit.off[hi]], unit.off[lo : hi + 1] - unit.off[lo])
-                found.append(s.places(order[lo:hi], unit.keys[lo:hi]))
+                found.append(s.places(order[lo:hi], unit.keys[lo:hi], before))
+                before += len(s.doc)
                 wanted = asked.value
                 at = np.flatnonzero(s.n > 0)
                 if wanted is not None:
@@ -285,15 +283,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_c
                     at = at[(k < len(wanted)) & (wanted[np.minimum(k, len(wanted) - 1)] == s.id[at])] if len(wanted) else at[:0]
                 for i in at:
                     sets.setdefault(int(s.id[i]), s.token[s.first[i] : s.first[i + 1]].tobytes())
-            first = first_places(np.concatenate(found)) if found else np.zeros(0, _PLACE)
+            every = np.concatenate(found) if found else np.zeros(0, _PLACE)
+            first = first_places(every)
             if not len(first):
                 continue
+            if len(first) < len(every):
+                yield row(-1, unit, np.setdiff1d(every["at"], first["at"], assume_unique=True).tobytes(), None, None)
             mine = first["id"].view(np.uint64)
             by = np.argsort(mine)
             edges = np.append(np.searchsorted(mine[by], exchange.bucket_starts(few_buckets)), len(by))
             for b in np.flatnonzero(np.diff(edges)):
                 yield row(int(b), unit, first[by[edges[b] : edges[b + 1]]].tobytes(), None, None)
-            has = [p for p in first if int(p["id"]) in sets]
+            has = first[np.isin(first["id"], np.fromiter(sets, np.int64, len(sets)))]
             for lo in range(0, len(has), 512):
                 part = has[lo : lo + 512]
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.array([p.tobytes() for p in part], pa.binary()), pa.array([int(p["id"]) for p in part], pa.int64()), pa.array([sets[int(p["id"])] for p in part], pa.binary())], names=names)
@@ -344,7 +345,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_c
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, units, gone = None, [], []
 
-        def bits_of() -> pa.RecordBatch:
+        def removed() -> pa.RecordBatch:
             parts = [np.frombuffer(u[4], _PLACE) for u in units]
             every = np.concatenate(parts)
             first = first_places(every)
@@ -353,42 +354,38 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_c
             if gone:
                 stays &= ~np.isin(every["id"], np.concatenate(gone))
             ends = np.cumsum([len(p) for p in parts])
-            return pa.RecordBatch.from_arrays([*[pa.array([u[i] for u in units], pa.int64()) for i in (1, 2, 3)], pa.array([bucket] * len(units), pa.int32()), pa.array([np.packbits(stays[e - len(p) : e]).tobytes() for p, e in zip(parts, ends, strict=True)], pa.binary())], names=["chunk", "lo", "hi", "bucket", "bits"])
+            lost = [p["at"][~stays[e - len(p) : e]].tobytes() for p, e in zip(parts, ends, strict=True)]
+            some = [k for k, x in enumerate(lost) if x]
+            return pa.RecordBatch.from_arrays([*[pa.array([units[k][i] for k in some], pa.int64()) for i in (1, 2, 3)], pa.array([bucket] * len(some), pa.int32()), pa.array([lost[k] for k in some], pa.binary())], names=["chunk", "lo", "hi", "bucket", "bits"])
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r[0] != bucket:
                     if units:
-                        yield bits_of()
+                        yield removed()
                     bucket, units, gone = r[0], [], []
                 if r[1] is None:
                     gone.append(np.frombuffer(r[4], np.int64))
                 else:
                     units.append(r)
         if units:
-            yield bits_of()
+            yield removed()
 
-    rows = gathered.where("bucket is not null").select(*names[:5]).unionByName(later.mapInArrow(told, "bucket int, chunk long, lo long, hi long, places binary"))
+    rows = gathered.where("bucket >= 0").select(*names[:5]).unionByName(later.mapInArrow(told, "bucket int, chunk long, lo long, hi long, places binary"))
     masks = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge, "chunk long, lo long, hi long, bucket int, bits binary")
+    masks = masks.unionByName(gathered.where("bucket = -1").select("chunk", "lo", "hi", "bucket", F.col("places").alias("bits")))
 
     def strike(unit: exchange.Unit, bits: list[bytes], columns: list[pa.ChunkedArray]) -> Iterator[pa.RecordBatch]:
-        row, order, nulls = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns)
-        order = order.to_numpy()
-        parts = [(lo, hi, Lines(unit.buf[unit.off[lo] : unit.off[hi]], unit.off[lo : hi + 1] - unit.off[lo]).without_words()) for lo, hi in wordnum.slices(unit.off)]
-        first = first_places(np.concatenate([s.places(order[lo:hi], unit.keys[lo:hi]) for lo, hi, s in parts])) if parts else np.zeros(0, _PLACE)
-        first = first[np.argsort(first["id"].view(np.uint64))]
-        edges = np.append(np.searchsorted(first["id"].view(np.uint64), exchange.bucket_starts(few_buckets)), len(first))
-        sizes = [int(n) for n in np.diff(edges) if n]
-        if len(sizes) != len(bits):
-            raise RuntimeError("a unit's verdicts do not fit its lines")
-        stays = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(bits, sizes, strict=True)]).astype(bool) if sizes else np.zeros(0, bool)
+        """A unit's texts without the lines whose numbers ``bits`` hold; units without such lines may come together."""
+        row, nulls = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns)
+        parts = [(lo, hi, Lines(unit.buf[unit.off[lo] : unit.off[hi]], unit.off[lo : hi + 1] - unit.off[lo], sets=False)) for lo, hi in wordnum.slices(unit.off)]
+        stays = np.ones(sum(len(s.doc) for _, _, s in parts), dtype=bool)
+        for b in bits:
+            stays[np.frombuffer(b, np.uint32)] = False
+        before = 0
         for lo, hi, s in parts:
-            kept = np.ones(len(s.doc), dtype=bool)
-            has = np.flatnonzero(s.n > 0)
-            if len(has):
-                k = np.searchsorted(first["id"].view(np.uint64), s.id[has].view(np.uint64))
-                at = first[k]
-                kept[has] = stays[k] & (at["order"] == order[lo:hi][s.doc[has]]) & (at["key"] == unit.keys[lo:hi][s.doc[has]]) & (at["line"] == s.number[has])
+            kept = stays[before : before + len(s.doc)]
+            before += len(s.doc)
             count, removed = s.count.astype(np.int64), np.bincount(s.doc[~kept], minlength=hi - lo).astype(np.int64)
             gone = nulls.slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
             texts = kept_lines(s, kept).cast(pa.string())
@@ -397,7 +394,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_c
 
     source = ordered.withColumn("no_text", F.col("text").isNull())
     schema = T.StructType([table.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    done = exchange.with_verdicts(source, masks, strike, schema, ["row", "place", "no_text"])
+    done = exchange.with_verdicts(source, masks, strike, schema, ["row", "no_text"])
     return done.select(*[F.col("text").alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns], "n_lines", "n_removed")
 
 
