@@ -427,3 +427,20 @@ def kept_lines(s: Lines, kept: np.ndarray) -> pa.Array:
 def op1_line_similarity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), percent=80)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH whole AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, file_row) AS k, doc_id, text FROM (SELECT doc_id, text, row_number() OVER () AS file_row FROM documents)),
+line AS (SELECT k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM whole WHERE text IS NOT NULL),
+words AS MATERIALIZED (SELECT k, i, line, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words FROM line),
+sets AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min((k, i))) AS id, words, len(words) AS n FROM words WHERE len(words) > 0 GROUP BY words),
+token AS MATERIALIZED (SELECT id, n, unnest(words) AS t FROM sets),
+ranked AS (SELECT id, n, t, row_number() OVER (PARTITION BY id ORDER BY often, t) AS i FROM token JOIN (SELECT t, count(*) AS often FROM token GROUP BY t) USING (t)),
+prefix AS MATERIALIZED (SELECT id, n, t FROM ranked WHERE i <= n - (80 * n + 99) // 100 + 1),
+pair AS (SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b USING (t) WHERE a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+shared AS (SELECT b, p.n + q.n AS total, len(list_intersect(p.words, q.words)) AS c FROM pair JOIN sets p ON p.id = a JOIN sets q ON q.id = b),
+later AS (SELECT DISTINCT b AS id FROM shared WHERE 100 * c >= 80 * (total - c)),
+judged AS (SELECT w.k, w.i, w.line, len(w.words) > 0 AND (l.id IS NOT NULL OR row_number() OVER (PARTITION BY w.words ORDER BY w.k, w.i) > 1) AS gone FROM words w LEFT JOIN sets s ON s.words = w.words LEFT JOIN later l ON l.id = s.id),
+kept AS (SELECT k, count(*) AS n_lines, count_if(gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text FROM judged GROUP BY k)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, CASE WHEN whole.text IS NOT NULL THEN sha256(kept.text) END AS kept_sha256 FROM whole LEFT JOIN kept USING (k)
+"""

@@ -325,3 +325,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent: in
 def op9_ngram_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(spark, docs, n=5, percent=80).select("doc_id", "n_shingles", "component_id")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE whole AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+word AS (SELECT k, len(words) AS total, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM whole),
+windowed AS (SELECT k, i, total, string_agg(w, ' ') OVER f AS x, count(*) OVER f AS n FROM word WINDOW f AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+shingle AS MATERIALIZED (SELECT DISTINCT k, x FROM windowed WHERE n = 5 OR (total < 5 AND i = 1)),
+size AS MATERIALIZED (SELECT k, count(*) AS n FROM shingle GROUP BY k),
+shared AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.x = b.x AND a.k <> b.k GROUP BY a.k, b.k),
+link AS MATERIALIZED (SELECT a, b FROM shared JOIN size p ON p.k = a JOIN size q ON q.k = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (SELECT k, doc_id AS least FROM whole UNION SELECT link.b, reach.least FROM reach JOIN link ON link.a = reach.k)
+SELECT doc_id, coalesce(any_value(size.n), 0)::BIGINT AS n_shingles, min(least) AS component_id FROM whole JOIN reach USING (k) LEFT JOIN size USING (k) GROUP BY whole.k, doc_id
+"""

@@ -186,3 +186,14 @@ def kept_text(words: Words, kept: np.ndarray) -> pa.Array:
 def op3_substring_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), window=35)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH whole AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+word AS (SELECT k, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM whole),
+windowed AS (SELECT k, i, w, string_agg(w, ' ') OVER f AS x, count(*) OVER f AS n FROM word WINDOW f AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+counted AS (SELECT k, i, w, (n = 35 AND count(*) OVER (PARTITION BY n, x) > 1)::INT AS again FROM windowed),
+covered AS (SELECT k, i, w, max(again) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM counted),
+kept AS (SELECT k, sum(gone)::BIGINT AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (gone = 0) AS text FROM covered GROUP BY k)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM whole LEFT JOIN kept USING (k)
+"""

@@ -163,3 +163,12 @@ def op2_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_archives(spark, folder)
     checked = back.withColumn("payload_digest", F.when(F.coalesce("digest_ok", F.lit(True)), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload read back differs from its digest"))))
     return checked.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
+OP2_SQL = r"""
+WITH payload AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+owner AS (SELECT hex, max(page_id) AS owner FROM payload GROUP BY hex)
+SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (5 * (i // 4) + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM payload JOIN owner USING (hex)
+"""

@@ -8,12 +8,13 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import bestfit_packing, line_similarity_dedup, mil_quality, ngram_overlap_join, robust_outliers, substring_sketch, template_decontamination, template_extraction, toxicity_lexicon, warc_dictionary, wordnum
+from quillon.llm import bestfit_packing, line_similarity_dedup, mil_quality, ngram_overlap_join, queries, robust_outliers, substring_sketch, template_decontamination, template_extraction, toxicity_lexicon, warc_dictionary, wordnum
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, n_words long, chunk string"
@@ -417,3 +418,14 @@ def test_pipeline_stages(spark, tmp_path):
 def test_ids_crc(spark):
     got = bestfit_packing.op5_best_fit_packing(spark, SF).limit(1).count()
     assert got == 1 and zlib.crc32(np.array([2], "<u4").tobytes()) == spark.createDataFrame([(bytearray(np.array([2], "<u4").tobytes()),)], "ids binary").select(F.crc32("ids")).head()[0]
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    want, got = con.sql(queries.SQL[name]), queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(want.columns)
+    columns = sorted(want.columns)
+    assert collections.Counter(tuple(r) for r in got.select(columns).collect()) == collections.Counter(want.select(*columns).fetchall())
