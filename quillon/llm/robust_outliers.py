@@ -24,6 +24,8 @@ from quillon.llm.wordnum import Words
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 #: Least standard deviation of each statistic; most texts have no symbols or repeats at all.
 FLOORS = {"log_words": 0.3, "log_word_length": 0.06, "symbols": 0.12, "dup_lines": 0.25, "repeats": 0.25, "upper": 0.08}
+MOST_GROUPS = 100_000  # groups whose estimates, of some 300 bytes each, are sent to every executor
+GROUP_ROWS = 1_000_000  # rows of a group that may meet in one task where there are more groups
 _symbol = np.zeros(256, dtype=bool)
 _symbol[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -98,6 +100,19 @@ def quantile(d: int, z: float) -> float:
     return d * (1 - 2 / (9 * d) + z * (2 / (9 * d)) ** 0.5) ** 3
 
 
+def beside(rows: DataFrame, groups: DataFrame, sizes: DataFrame, few: bool) -> DataFrame:
+    """``rows`` joined with the row of their group; a group's rows never meet in one task unless they are few.
+
+    With ``few`` groups, MOST_GROUPS at most, all go to every executor. Otherwise only those of more than GROUP_ROWS rows
+    do, of which there is one for GROUP_ROWS rows at most, and the others are joined by a shuffle.
+    """
+    if few:
+        return rows.join(F.broadcast(groups), "in_group")
+    large = F.broadcast(sizes.where(F.col("size") > GROUP_ROWS).select("in_group"))
+    hot = rows.join(large, "in_group", "left_semi").join(F.broadcast(groups.join(large, "in_group", "left_semi")), "in_group")
+    return hot.unionByName(rows.join(large, "in_group", "left_anti").join(groups, "in_group"))
+
+
 def outlier_distances(spark: SparkSession, table: DataFrame, keys: list[str], floors: dict[str, float], *, steps: int = 4, least: int = 60) -> DataFrame:
     """``table`` (keys and the statistics named in ``floors``) with distance2: squared robust distance within its group.
 
@@ -106,9 +121,11 @@ def outlier_distances(spark: SparkSession, table: DataFrame, keys: list[str], fl
     names, d = list(floors), len(floors)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     table = table.withColumn("in_group", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
-    small = table.groupBy("in_group").agg(F.count("*").alias("size"))
+    sizes = scratch.written(spark, table.groupBy("in_group").agg(F.count("*").alias("size")), "group-sizes")
+    few = sizes.count() <= MOST_GROUPS
     pooled = F.when(F.col("size") >= least, F.col("in_group")).otherwise(F.to_json(F.struct(keys[0]), {"ignoreNullFields": "false"}))
-    table = scratch.written(spark, table.join(small, "in_group").withColumn("in_group", pooled).drop("size"), "statistics")
+    table = scratch.written(spark, beside(table, sizes, sizes, few).withColumn("in_group", pooled).drop("size"), "statistics")
+    sizes = sizes if few else scratch.written(spark, table.groupBy("in_group").agg(F.count("*").alias("size")), "group-sizes")
 
     def estimate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -136,26 +153,26 @@ def outlier_distances(spark: SparkSession, table: DataFrame, keys: list[str], fl
         total = terms[0]
         for t in terms[1:]:
             total = total + t
-        return table.join(estimates, "in_group").withColumn("distance2", total).select(*table.columns, "distance2")
+        return beside(table, estimates, sizes, few).withColumn("distance2", total).select(*table.columns, "distance2")
 
     def half(frame: DataFrame) -> DataFrame:
         return frame.groupBy("in_group").agg(F.percentile_approx("distance2", 0.5, 1000).alias("middle"), F.count("*").alias("rows"))
 
     middle = table.groupBy("in_group").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"c{i}") for i, c in enumerate(names)])
-    off = table.join(middle, "in_group")
+    off = beside(table, middle, sizes, few)
     spread = off.groupBy("in_group").agg(*[F.first(f"c{i}").alias(f"m{i}") for i in range(d)], *[F.percentile_approx(F.abs(F.col(c) - F.col(f"c{i}")), 0.5, 1000).alias(f"a{i}") for i, c in enumerate(names)])
     start = spread.select("in_group", *[f"m{i}" for i in range(d)], *[(1 / (F.pow(1.4826 * F.col(f"a{i}"), F.lit(2)) + floors[names[i]] ** 2) if i == j else F.lit(0.0)).alias(f"q{i}_{j}") for i, j in pairs])
     estimates = scratch.written(spark, start, "estimates")
     for _ in range(steps):
         far = measured(estimates)
-        estimates = scratch.written(spark, fitted(far.join(half(far), "in_group").where("distance2 <= middle")), "estimates")
+        estimates = scratch.written(spark, fitted(beside(far, half(far), sizes, few).where("distance2 <= middle")), "estimates")
     scale = quantile(d, 0.0)
     far = measured(estimates)
-    near = far.join(half(far), "in_group").where(F.col("distance2") * scale <= F.greatest("middle", F.lit(1e-9)) * quantile(d, 1.96))
+    near = beside(far, half(far), sizes, few).where(F.col("distance2") * scale <= F.greatest("middle", F.lit(1e-9)) * quantile(d, 1.96))
     estimates = scratch.written(spark, fitted(near), "estimates")
     last = measured(estimates)
     middle = half(last).withColumn("by", F.when(F.col("rows") >= least, scale / F.greatest("middle", F.lit(scale))))
-    return last.join(middle, "in_group").withColumn("distance2", F.col("distance2") * F.col("by")).drop("in_group", "middle", "rows", "by")
+    return beside(last, middle, sizes, few).withColumn("distance2", F.col("distance2") * F.col("by")).drop("in_group", "middle", "rows", "by")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, *, z: float = 5.0, least: int = 60, least_words: int = 50, most_repeats: int = 50, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source") -> DataFrame:

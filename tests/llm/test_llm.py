@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import bestfit_packing, line_similarity_dedup, mil_quality, ngram_overlap_join, queries, robust_outliers, substring_sketch, template_decontamination, template_extraction, toxicity_lexicon, warc_dictionary, wordnum
+from quillon.llm import bestfit_packing, components, line_similarity_dedup, mil_quality, ngram_overlap_join, queries, robust_outliers, substring_sketch, template_decontamination, template_extraction, toxicity_lexicon, warc_dictionary, wordnum
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, n_words long, chunk string"
@@ -119,6 +119,18 @@ def test_near_duplicates(spark, docs, none):
     assert ngram_overlap_join.near_duplicates(spark, none).count() == 0
 
 
+def test_blocks_meet_pairwise(spark):
+    families = spark.createDataFrame([(i, i // 50 * 50) for i in range(75)], "node long, component long")
+    rows = components.blocks(families, 20).collect()
+    met = collections.defaultdict(set)
+    for r in rows:
+        met[r["component"], r["i"], r["j"]].add(r["node"])
+    together = {(a, b) for nodes in met.values() for a in nodes for b in nodes}
+    assert together >= {(a, b) for a in range(75) for b in range(75) if a // 50 == b // 50}
+    assert len([r for r in rows if r["component"] == 0]) == 150
+    assert components.blocks(families, 20, few=0).count() == len(rows)
+
+
 def test_divide_skip_in_blocks_loses_no_link():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
@@ -339,12 +351,17 @@ def test_rules_counts(spark, docs, none):
     assert robust_outliers.quality_rules(spark, none.withColumn("source", F.lit("s"))).count() == 0
 
 
-def test_outliers_are_found_though_they_spread_the_group(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_outliers_are_found_though_they_spread_the_group(spark, monkeypatch, most):
+    monkeypatch.setattr(robust_outliers, "MOST_GROUPS", most)
+    monkeypatch.setattr(robust_outliers, "GROUP_ROWS", 300)
     rng = np.random.default_rng(2)
     x = rng.multivariate_normal([0, 0], [[1, 0.9], [0.9, 1]], 600)
     x[:100] = rng.normal([3, -3], 0.3, (100, 2))
-    frame = spark.createDataFrame([(i, "en", None, float(a), float(b)) for i, (a, b) in enumerate(x)], "doc_id int, lang string, source string, a double, b double")
+    frame = spark.createDataFrame([(i, "en", None, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(1000 + i, "fr", "x", float(i % 7), float(i % 5)) for i in range(100)], "doc_id int, lang string, source string, a double, b double")
     got = robust_outliers.outlier_distances(spark, frame, ["lang", "source"], {"a": 0.01, "b": 0.01}).toPandas()
+    assert len(got) == 700
+    got = got[got.doc_id < 1000]
     far = got.distance2 > robust_outliers.quantile(2, 3.5)
     assert far[got.doc_id < 100].all() and far[got.doc_id >= 100].mean() < 0.02
 
