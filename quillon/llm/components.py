@@ -33,6 +33,19 @@ def components(spark: SparkSession, edges: DataFrame, most: int = 60) -> DataFra
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def blocks(families: DataFrame, most: int, few: int = 1_000_000) -> DataFrame:
+    """Each node of ``families`` once for every pair of blocks that its block is in: node, component, i, j, block.
+
+    A family of at most ``most`` nodes is one block. Only the sizes of larger ones are looked up, one for ``most`` nodes
+    at most; up to ``few`` of them are sent to every executor, so that no family has to meet in one task.
+    """
+    large = families.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") > most)
+    large = F.broadcast(large) if large.count() <= few else large
+    placed = families.join(large, "component", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("members") / most), F.lit(1)).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return placed.select("node", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+
+
 def signature(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
 

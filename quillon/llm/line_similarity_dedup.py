@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm import exchange, scratch, wordnum
-from quillon.llm.components import components, tied
+from quillon.llm.components import blocks, components, tied
 from quillon.llm.ngram_overlap_join import cell, frequencies, needed, overlap
 from quillon.llm.wordnum import Words
 
@@ -306,10 +306,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_c
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([unit.chunk], pa.int64()), pa.array([int(unit.keys[0])], pa.int64()), pa.array([int(unit.keys[-1])], pa.int64()), pa.array([places], pa.binary()), pa.array([id_], pa.int64()), pa.array([words_], pa.binary())], names=names)
 
     gathered = scratch.written(spark, ordered.select("key", "chunk", "text", "place").mapInArrow(gather, "bucket int, chunk long, lo long, hi long, places binary, id long, words binary"), "line-places")
-    counted = families.groupBy("component").agg(F.count("*").alias("members"))
-    member = families.join(counted, "component").withColumn("blocks", F.ceil(F.col("members") / BLOCK_CLASSES).cast("int"))
-    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    member = member.select(F.col("node").alias("id"), "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    member = blocks(families, BLOCK_CLASSES).withColumnRenamed("node", "id")
     met = member.join(gathered.where("words is not null").select("id", "places", "words"), "id").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm import exchange, scratch, wordnum
-from quillon.llm.components import components, tied
+from quillon.llm.components import blocks, components, tied
 from quillon.llm.wordnum import Words
 
 BLOCK_CLASSES = 8192  # classes of a family that meet in one task; larger families are searched block against block
@@ -275,11 +275,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame | None, *, n: int = 5,
 
     near = near.mapInArrow(contract, "u long, v long")
     families = components(spark, near)
-    counted = families.groupBy("component").agg(F.count("*").alias("members"))
-    families = families.join(counted, "component").withColumn("blocks", F.ceil(F.col("members") / BLOCK_CLASSES).cast("int"))
-    placed = families.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    placed = placed.select("node", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    placed = blocks(families, BLOCK_CLASSES)
     met = placed.join(classes.select("node", "n", "hashes"), "node").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
