@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-SLICE_BYTES = 2 << 20  # text handled at once; temporary arrays take about 40 times as much
+SLICE_BYTES = 1 << 19  # text handled at once; temporary arrays take about 40 times as much
 
 _space = np.zeros(256, dtype=bool)
 _space[[0x20, 9, 10, 11, 12, 13]] = True
