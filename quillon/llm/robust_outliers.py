@@ -3,8 +3,8 @@
 Each document's counts become a vector of transformed statistics. For each language and source the minimum covariance
 determinant is approached by concentration steps from a deterministic start (medians and absolute deviations): each
 step takes the mean and covariance of the half of the group that lies nearest to the last estimate. All groups step
-together, as aggregations; no group is gathered into one task. Distances are scaled by their median, the estimate is
-reweighted once, and vectors beyond a high quantile are rejected.
+together, as aggregations; no group is gathered into one task. Distances are scaled, up or down, to the median that
+they should have, the estimate is reweighted once, and vectors beyond a high quantile are rejected.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from quillon.llm import scratch, wordnum
 from quillon.llm.wordnum import Words
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
-#: Least standard deviation of each statistic; most texts have no symbols or repeats at all.
-FLOORS = {"log_words": 0.3, "log_word_length": 0.06, "symbols": 0.12, "dup_lines": 0.25, "repeats": 0.25, "upper": 0.08}
+#: Added to each standard deviation. Most texts have no symbols or repeats at all, so half of a group may not vary there;
+#: each floor is small enough that a text can be rejected for any one of the statistics.
+FLOORS = {"log_words": 0.01, "log_word_length": 0.01, "symbols": 0.05, "dup_lines": 0.05, "repeats": 0.05, "upper": 0.01}
 MOST_GROUPS = 100_000  # groups whose estimates, of some 300 bytes each, are sent to every executor
 GROUP_ROWS = 1_000_000  # rows of a group that may meet in one task where there are more groups
 _symbol = np.zeros(256, dtype=bool)
@@ -171,7 +172,7 @@ def outlier_distances(spark: SparkSession, table: DataFrame, keys: list[str], fl
     near = beside(far, half(far), sizes, few).where(F.col("distance2") * scale <= F.greatest("middle", F.lit(1e-9)) * quantile(d, 1.96))
     estimates = scratch.written(spark, fitted(near), "estimates")
     last = measured(estimates)
-    middle = half(last).withColumn("by", F.when(F.col("rows") >= least, scale / F.greatest("middle", F.lit(scale))))
+    middle = half(last).withColumn("by", F.when(F.col("rows") >= least, scale / F.greatest("middle", F.lit(quantile(1, 0.0)))))  # at least as if one statistic varied: a group of copies has no scale
     return beside(last, middle, sizes, few).withColumn("distance2", F.col("distance2") * F.col("by")).drop("in_group", "middle", "rows", "by")
 
 

@@ -366,6 +366,18 @@ def test_outliers_are_found_though_they_spread_the_group(spark, monkeypatch, mos
     assert far[got.doc_id < 100].all() and far[got.doc_id >= 100].mean() < 0.02
 
 
+def test_one_statistic_alone_rejects(spark):
+    rng = np.random.default_rng(4)
+    names, n = list(robust_outliers.FLOORS), 400
+    x = np.stack([rng.normal(5.6, 0.8, n), rng.normal(1.62, 0.04, n), np.zeros(n), np.zeros(n), np.where(rng.random(n) < 0.15, rng.uniform(0, 0.15, n), 0), rng.normal(0.13, 0.013, n)], 1)
+    x = np.concatenate([x, [[5.6, 1.62, 0, 0.9**0.5, 0, 0.13], [5.6, 1.62, 0, 0, 0.45**0.5, 0.13], [5.6, 1.62, 0.1**0.5, 0, 0, 0.13]]])
+    copies = [(1000 + i, "en", "copies", 5.0, 1.6, 0.0, 0.0, 0.0, 0.13 + (i >= 100) * i / 1e5) for i in range(130)]
+    frame = spark.createDataFrame([(i, "en", "web", *map(float, r)) for i, r in enumerate(x)] + copies, "doc_id int, lang string, source string, " + ", ".join(f"{c} double" for c in names))
+    got = robust_outliers.outlier_distances(spark, frame, ["lang", "source"], robust_outliers.FLOORS).toPandas()
+    out = set(got[got.distance2 > robust_outliers.quantile(6, 5.0)].doc_id)
+    assert {n, n + 1, n + 2} <= out and len(out) <= 6 and max(out) < 1000
+
+
 def test_decontamination(spark, none):
     item = "A train travels 120 km in 2 hours, then John rests for 15 minutes before the train goes on for 120 km more to the coast."
     changed = item.replace("120", "75").replace("John", "Mary").replace("15", "20")
