@@ -418,6 +418,23 @@ def test_pages(spark):
     assert (got[9]["text"], got[10]["text"], got[11]["text"]) == ("", "", "alone page")
 
 
+NEUTRAL = """<body><div class=c7>Free shipping on all orders</div><div class=c1><ul><li>Home<li>About us</ul></div>
+<div class=c2><h2>Title {0}</h2><p>Body text {0} of {0}</p><div class=c8>Read this too</div><p>and all the same end</p></div><div class=c9>Made by us</div></body>"""
+
+
+def test_constant_text_is_template_whatever_its_names(spark):
+    rows = [(i, f"http://n.example/{i}", NEUTRAL.format(f"w{i % 5}")) for i in range(8)]  # three pages are copies
+    got = {r["page_id"]: r["text"] for r in template_extraction.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title w{i % 5} Body text w{i % 5} of w{i % 5} and all the same end" for i in range(8)}
+
+
+def test_vectors_decide():
+    roles = [{"path": p, "vector": v, "pages": 4, "chars": c, "own": o, "letters": o} for p, v, c, o in (("b", "1", 100, 0), ("b/d.c1", "1", 60, 60), ("b/d.c2", "1", 40, 40))]
+    word = [{"path": "b/d.c1", "vector": v, "chars": 60} for v in ("1", "2")]
+    assert template_extraction.deduce(roles, 4, word[:1])["constant"] == ["b/d.c1"] and template_extraction.deduce(roles, 4, word[:1])["article"] == "b/d.c2"
+    assert template_extraction.deduce(roles, 4, word[1:])["constant"] == [] and template_extraction.deduce(roles, 4, word[1:])["article"] == "b"
+
+
 def test_template_classes_nest():
     roles = [{"path": p, "vector": v, "pages": 4, "chars": c} for p, v, c in (("html", 1, 100), ("html/body", 1, 100), ("html/body/article", 1, 90), ("html/body/article/p", 2, 80), ("html/body/x", 3, 5))]
     got = template_extraction.deduce(roles, 4)
