@@ -1,9 +1,10 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
 Numbers, names and units become typed placeholders. Windows of the benchmark's templates are hash-joined with those
-windows of the documents that hold a window's rarest word at its place. The values that stand in the placeholders of
-one alignment must agree: each benchmark value has one value in the document, and no two share one. So a question is
-found again with other numbers or names in it, but not a text that merely has numbers in the same places.
+windows of the documents that hold a window's rarest word at its place. Of one alignment those windows count whose
+placeholders' values agree: each benchmark value has one value in the document, and no two share one. So a question is
+found again with other numbers or names in it, but not a text that merely has numbers in the same places. Windows with
+the same raw words always agree, so that one changed value doesn't hide what is copied before and after it.
 """
 
 from __future__ import annotations
@@ -36,8 +37,41 @@ def _slot(word: Column) -> Column:
     return word.contains("⟨")
 
 
-def _values(side: str) -> Column:
-    return F.size(F.array_distinct(F.transform("pairs", lambda s: F.struct(s["kind"], s[side]))))
+def _agree(pairs: Column) -> Column:
+    """Whether each value of a kind has one value on the other side; ``pairs`` are distinct."""
+    return (F.size(pairs) == _values(pairs, "a")) & (F.size(pairs) == _values(pairs, "b"))
+
+
+def _values(pairs: Column, side: str) -> Column:
+    return F.size(F.array_distinct(F.transform(pairs, lambda s: F.struct(s["kind"], s[side]))))
+
+
+def _changed(pairs: Column) -> Column:
+    return F.exists(pairs, lambda s: s["a"] != s["b"])
+
+
+def _largest(found: Column) -> Column:
+    """Size of a set of windows (start, pairs) that agree, and whether it changes nothing.
+
+    If not all agree, sets are grown from the windows with the same raw words and from each window that agrees with itself,
+    by adding every further one, in the text's order, that agrees with the set; the largest is taken.
+    """
+
+    def grown(first: Column, rest: Column) -> Column:
+        start = F.struct(F.array_distinct(F.transform(first, lambda w: w["start"])).alias("starts"), F.array_distinct(F.flatten(F.transform(first, lambda w: w["pairs"]))).alias("pairs"))
+
+        def add(own: Column, w: Column) -> Column:
+            both = F.array_union(own["pairs"], w["pairs"])
+            return F.when(_agree(both), F.struct(F.array_union(own["starts"], F.array(w["start"])).alias("starts"), both.alias("pairs"))).otherwise(own)
+
+        return F.aggregate(rest, start, add, lambda own: F.struct(F.size(own["starts"]).alias("n"), (~_changed(own["pairs"])).alias("same")))
+
+    every = F.array_distinct(F.flatten(F.transform(found, lambda w: w["pairs"])))
+    whole = F.struct(F.size(F.array_distinct(F.transform(found, lambda w: w["start"]))).alias("n"), (~_changed(every)).alias("same"))
+    single = F.array_sort(F.filter(found, lambda w: _agree(F.array_distinct(w["pairs"]))))
+    equal = F.filter(single, lambda w: ~_changed(w["pairs"]))
+    sets = F.concat(F.array(grown(equal, single)), F.transform(single, lambda w: grown(F.array(w), single)))
+    return F.when(_agree(every), whole).otherwise(F.array_max(sets))
 
 
 def windows(benchmark: DataFrame, size: int, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
@@ -64,8 +98,8 @@ def windows(benchmark: DataFrame, size: int, id_column: str = "item_id", text_co
 def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, size: int = 13, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """Which documents hold which items: doc_id, text_key (SHA-1 of the text), item_id, n_windows, item_windows, reparameterised.
 
-    n_windows: of the item's ``item_windows`` windows those found in the best alignment whose placeholders agree;
-    reparameterised: a value differs there. Whole texts are searched; null and empty texts hold nothing, and neither do
+    n_windows: of the item's ``item_windows`` windows those found in the best alignment whose placeholders agree, which are
+    at least those copied word for word; reparameterised: a value differs there. Whole texts are searched; null and empty texts hold nothing, and neither do
     null or empty items. Rows with the same id and text count once; null ids are kept. Empty tables give no rows;
     other columns are not read.
     """
@@ -89,11 +123,10 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, size:
     met = met.withColumn("raw_there", F.slice("raw_near", F.greatest(F.lit(1), F.col("from") + 1), F.col("length"))).withColumn("shift", F.col("at") - F.col("offset") - F.col("start"))
     pairs = F.filter(F.arrays_zip("template", "raw", "raw_there"), lambda s: _slot(s["template"]))
     met = met.withColumn("pairs", F.transform(pairs, lambda s: F.struct(s["template"].alias("kind"), s["raw"].alias("a"), s["raw_there"].alias("b"))))
-    own = met.groupBy("doc_id", "text_key", "item_id", "shift").agg(F.count_distinct("start").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    agree = own.where((F.size("pairs") == _values("a")) & (F.size("pairs") == _values("b")))
-    agree = agree.withColumn("other", F.exists("pairs", lambda s: s["a"] != s["b"]))
+    own = met.groupBy("doc_id", "text_key", "item_id", "shift").agg(F.collect_set(F.struct("start", "pairs")).alias("found"))
+    agree = own.select("doc_id", "text_key", "item_id", _largest(F.col("found")).alias("best")).where("best.n > 0")
     total = table.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    best = agree.groupBy("doc_id", "text_key", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max_by("other", F.struct("n_windows", ~F.col("other"))).alias("reparameterised"))
+    best = agree.groupBy("doc_id", "text_key", "item_id").agg(F.max("best").alias("best")).select("doc_id", "text_key", "item_id", F.col("best.n").cast("long").alias("n_windows"), (~F.col("best.same")).alias("reparameterised"))
     return best.join(F.broadcast(total) if count <= MOST_WINDOWS else total, "item_id").select("doc_id", "text_key", "item_id", "n_windows", "item_windows", "reparameterised")
 
 

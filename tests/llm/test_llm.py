@@ -395,6 +395,15 @@ def test_decontamination(spark, none):
     assert template_decontamination.matches(spark, none, bench).count() == 0
 
 
+def test_one_changed_value_hides_no_copied_window(spark):
+    item = "A train travels 120 km in 2 hours, then John rests for 15 minutes before the train goes on for 120 km more to the coast."
+    docs = spark.createDataFrame([(1, item.replace("120 km more", "80 km more")), (2, item.replace("120", "75").replace("2 hours", "75 hours")), (3, item.replace("120 km in", "7 km in").replace("John", "Mary").replace("120 km more", "80 km more")), (4, "quite other words " * 30)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_windows"], r["item_windows"], r["reparameterised"]) for r in template_decontamination.matches(spark, docs, bench, size=13).collect()}
+    assert got == {1: (10, 11, True), 2: (7, 11, True), 3: (10, 11, True)}  # the windows without the first 120, or without the 2, agree
+    assert [r["doc_id"] for r in template_decontamination.clean(spark, docs, bench).collect()] == [4]
+
+
 def test_decontamination_equals_containment_and_both_ways_agree(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     flat = {r["item_id"]: " ".join(r["text"].split()) for r in bench.collect()}
