@@ -487,6 +487,27 @@ def item_status(spark: SparkSession, sf: str) -> DataFrame:
     return summary.item_status(attributed_of(spark, sf))
 
 
+#: All of part and events, with keys that a few findings share.
+ATTRIBUTED_ALL = FINDINGS + ", cr AS (SELECT p_partkey AS no, CASE WHEN p_partkey % 2 = 0 THEN 'model' ELSE 'rule' END AS mode, 's' || p_partkey AS rule_id, 'c' || p_partkey AS checker_key FROM part), fi AS (SELECT seq AS finding_id, 's' || (seq // 3) AS rule_id, 'c' || (seq // 4) AS checker, unreviewed FROM f), att AS (SELECT no, mode, cr.rule_id, checker_key, finding_id, unreviewed FROM cr LEFT JOIN fi ON fi.rule_id = cr.rule_id WHERE mode = 'model' UNION ALL SELECT no, mode, cr.rule_id, checker_key, finding_id, unreviewed FROM cr LEFT JOIN fi ON fi.checker = cr.checker_key WHERE mode <> 'model')"
+
+
+def attributed_all_of(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    criteria = read(spark, sf, "part").select(k.alias("no"), F.when(k % 2 == 0, "model").otherwise("rule").alias("mode"), F.concat(F.lit("s"), k).alias("rule_id"), F.concat(F.lit("c"), k).alias("checker_key"))
+    found = findings_of(spark, sf).select(F.col("seq").alias("finding_id"), F.expr("concat('s', seq div 3)").alias("rule_id"), F.expr("concat('c', seq div 4)").alias("checker"), "unreviewed")
+    return linking.attributed(criteria, found)
+
+
+@query(f"WITH {ATTRIBUTED_ALL} SELECT no, mode, rule_id, checker_key, finding_id, unreviewed FROM att")
+def attributed_criteria_all(spark: SparkSession, sf: str) -> DataFrame:
+    return attributed_all_of(spark, sf)
+
+
+@query(f"WITH {ATTRIBUTED_ALL} SELECT no, CASE WHEN count_if(finding_id IS NOT NULL AND NOT unreviewed) > 0 THEN 'flagged' WHEN count(finding_id) > 0 THEN 'unreviewed' ELSE 'clean' END AS status, count(finding_id) AS n_findings FROM att GROUP BY no")
+def item_status_all(spark: SparkSession, sf: str) -> DataFrame:
+    return summary.item_status(attributed_all_of(spark, sf))
+
+
 @query("WITH a AS (SELECT n_name AS field, list(DISTINCT c_mktsegment ORDER BY c_mktsegment) AS outputs FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey < 15 GROUP BY ALL), b AS (SELECT n_name AS field, list(DISTINCT r_name ORDER BY r_name) AS rules FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey >= 8 GROUP BY ALL) SELECT field, coalesce(outputs, []) AS outputs, coalesce(rules, []) AS rules FROM a FULL JOIN b USING (field)")
 def fields_by_name(spark: SparkSession, sf: str) -> DataFrame:
     nation = read(spark, sf, "nation")
