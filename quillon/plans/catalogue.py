@@ -115,6 +115,13 @@ def rescued_headings(spark: SparkSession, sf: str) -> DataFrame:
     return structure.rescued_headings(heads)
 
 
+@query("WITH g AS (SELECT conv_id AS doc_id, turn // 2 AS page, count_if(role = 'user') AS nu, count_if(role <> 'user') AS na, max(CASE WHEN role = 'user' THEN conv_id || '.' || turn END) AS number, max(CASE WHEN role <> 'user' THEN 'Title ' || conv_id END) AS title FROM conversations GROUP BY ALL) SELECT doc_id, page, number || ' ' || title AS heading FROM g WHERE nu = 1 AND na = 1")
+def rescued_headings_all(spark: SparkSession, sf: str) -> DataFrame:
+    user = F.col("role") == "user"
+    heads = read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.expr("turn div 2").alias("page"), F.when(user, "number").otherwise("title").alias("kind"), F.when(user, F.concat_ws(".", "conv_id", "turn")).otherwise(F.concat(F.lit("Title "), "conv_id")).alias("text"))
+    return structure.rescued_headings(heads)
+
+
 @query("WITH " + LINES + ", g AS (SELECT doc_id % 100 AS doc_id, doc_id AS page, trim(line) AS line FROM l), n AS (SELECT doc_id, count(DISTINCT page) AS all_pages FROM g GROUP BY ALL), s AS (SELECT doc_id, line, count(DISTINCT page) AS pages FROM g WHERE length(line) BETWEEN 2 AND 40 GROUP BY ALL) SELECT doc_id, line, pages FROM s JOIN n USING (doc_id) WHERE contains(lower(line), 'license') OR pages >= greatest(2, ceil(all_pages / 2.0))")
 def watermark_lines(spark: SparkSession, sf: str) -> DataFrame:
     paged = lines_of(spark, sf).select((F.col("doc_id") % 100).alias("doc_id"), F.col("doc_id").alias("page"), "line")
