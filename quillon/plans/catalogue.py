@@ -631,6 +631,12 @@ def text_functions(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", fn.clip(line, 24).alias("clipped"), fn.all_caps(line).alias("capitals"), fn.squash(line).alias("squashed"))
 
 
+@query("WITH " + LINES + r" SELECT doc_id, line_no::INT AS line_no, CASE WHEN length(line) > 24 THEN substring(line, 1, 23) || '…' ELSE line END AS clipped, regexp_matches(line, '\pL') AND NOT regexp_matches(line, '[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]') AS capitals, regexp_replace(line, '\s+', '', 'g') AS squashed FROM l")
+def text_functions_all(spark: SparkSession, sf: str) -> DataFrame:
+    line = F.col("line")
+    return lines_of(spark, sf).select("doc_id", F.col("line_no").cast("int").alias("line_no"), fn.clip(line, 24).alias("clipped"), fn.all_caps(line).alias("capitals"), fn.squash(line).alias("squashed"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{\"id\": ' || event_id || ', \"kind\": \"' || event_type || '\"}' END AS answer FROM events")
 def model_answers(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("event_id")
