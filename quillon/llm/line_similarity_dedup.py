@@ -1,426 +1,200 @@
-"""Removal of lines that are similar to an earlier line, by an exact set-similarity join.
+"""Removal of lines that are similar to an earlier line, by an exact set-similarity join in DataFrame functions only.
 
-A line is the set of its words, put in order of rarity by a table of merged counts. Sets of a Jaccard similarity of t
-share a word among their first n - ceil(t n) + 1; postings of those words are dealt out by word, and length, the
-words' positions and 128-bit parity sketches, which bound the symmetric difference from below, rule out nearly all
-pairs there. What is left ties lines into families, each kept together by a forest of as many links as it has lines;
-in a family each line is verified, on its whole set, against earlier ones until one is similar.
+A line is the set of its words. Words are put in order of rarity by a table of merged counts; sets of a Jaccard
+similarity of at least t share a word among their first n - ceil(t n) + 1. Postings of those words are joined on the
+word, under the length filter, the positional filter and a bound on the symmetric difference by parity sketches.
 
-The form in DataFrame functions only, which this replaces, is described in the README with its figures.
+One earlier line is enough to remove a line, so not all pairs are made. Postings of words that few lines hold are joined
+at once. Of a word that many hold, each posting first meets only the earliest one of about its length; what finds no
+similar set there, nor among the rarer words, meets all earlier ones. Candidates are verified on their words, the
+closest of each set first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from quillon.llm import exchange, scratch, wordnum
-from quillon.llm.components import blocks, components, tied
-from quillon.llm.ngram_overlap_join import cell, frequencies, needed, overlap
-from quillon.llm.wordnum import Words
-
-MOST_BITS = 26  # cells of the table of counts, as a power of two: 64 MB at most
-MOST_ASKED = 8_000_000  # class ids that are sent to every executor; more are joined by a shuffle
-BUCKET_POSTINGS = 1 << 18
-SMALL_GROUP = 4096  # postings of a word up to which each is filtered against all that follow; in larger groups each is asked once
-BLOCK_CLASSES = 8192
-_POSTING = np.dtype([("token", "<u8"), ("id", "<i8"), ("n", "<u4"), ("i", "<u2"), ("lo", "<u8"), ("hi", "<u8")])
-_PLACE = np.dtype([("id", "<i8"), ("order", "<i8"), ("key", "<i8"), ("line", "<i8"), ("at", "<u4")])
-
-
-class Lines:
-    """Lines of the texts of a slice: doc, start, end, number; of each line's set: n, id (0 without words), and the words as ``token`` in ``first``[i]:``first``[i + 1]."""
-
-    def __init__(self, buf: np.ndarray, off: np.ndarray, sets: bool = True):
-        self.buf, self.off = buf, off
-        breaks = np.flatnonzero(buf == 10)
-        of = np.searchsorted(off, breaks, "right") - 1
-        doc = np.concatenate([np.arange(len(off) - 1), of])
-        start = np.concatenate([off[:-1], breaks + 1])
-        order = np.lexsort((start, doc))
-        self.doc, self.start = doc[order], start[order]
-        last = np.append(self.doc[1:] != self.doc[:-1], True)
-        self.end = np.where(last, off[self.doc + 1], np.append(self.start[1:] - 1, 0))
-        at = np.searchsorted(self.doc, np.arange(len(off)))
-        self.number = np.arange(len(self.doc)) - at[self.doc]
-        self.count = np.diff(at)
-        if not sets:
-            return
-        words = Words(buf, off)
-        h = words.hashes()
-        line = np.searchsorted(self.start, words.start, "right") - 1
-        shift = np.uint64(max(1, int(len(self.doc)).bit_length()))
-        by = np.argsort((line.astype(np.uint64) << (np.uint64(64) - shift)) | (h >> shift))
-        h, line = h[by], line[by]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-        self.token, self.line = h[new], line[new]
-        self.first = np.searchsorted(self.line, np.arange(len(self.doc) + 1))
-        self.n = np.diff(self.first)
-        total = np.append(np.uint64(0), np.cumsum(wordnum.mix(self.token, 11)))
-        self.id = np.where(self.n > 0, wordnum.mix((total[self.first[1:]] - total[self.first[:-1]]) ^ self.n.astype(np.uint64), 12), 0).astype(np.uint64).view(np.int64)
-
-    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
-        """Both halves of each set's parity sketch."""
-        bit = np.uint64(1) << (self.token & np.uint64(63))
-        low = self.token & np.uint64(64) == 0
-        out = []
-        for half in (np.where(low, bit, 0), np.where(low, 0, bit)):
-            total = np.append(np.bitwise_xor.accumulate(half.astype(np.uint64)), np.uint64(0)) if len(half) else np.zeros(1, np.uint64)
-            before = np.append(np.uint64(0), total[:-1])
-            out.append(before[self.first[1:]] ^ before[self.first[:-1]])
-        return out[0], out[1]
-
-    def places(self, order: np.ndarray, keys: np.ndarray, before: int) -> np.ndarray:
-        """Where the sets with words stand; at: the line's number in its unit, ``before`` lines of which come first."""
-        has = np.flatnonzero(self.n > 0)
-        out = np.empty(len(has), dtype=_PLACE)
-        out["id"], out["order"], out["key"], out["line"], out["at"] = self.id[has], order[self.doc[has]], keys[self.doc[has]], self.number[has], before + has
-        return out
-
-
-def first_places(places: np.ndarray) -> np.ndarray:
-    """Of each id the earliest place, ids ascending."""
-    places = places[np.lexsort((places["line"], places["key"], places["order"], places["id"]))]
-    return places[np.append(True, places["id"][1:] != places["id"][:-1])] if len(places) else places
-
-
-class Group:
-    """Postings sorted by word, then by size of set: plain arrays, and for each where those of its word end that may be as large."""
-
-    def __init__(self, p: np.ndarray, percent: int):
-        p = p[np.lexsort((p["id"], p["n"], p["token"]))]
-        p = p[np.append(True, (p["token"][1:] != p["token"][:-1]) | (p["id"][1:] != p["id"][:-1]))]
-        self.id, self.n, self.i, self.lo, self.hi = (np.ascontiguousarray(p[c]) for c in ("id", "n", "i", "lo", "hi"))
-        self.edge = np.flatnonzero(np.append(True, p["token"][1:] != p["token"][:-1]))
-        self.size = np.diff(np.append(self.edge, len(p)))
-        self.of = np.repeat(np.arange(len(self.edge)), self.size)
-        most = self.n.astype(np.int64) * 100 // percent
-        self.end = np.searchsorted((self.of << 32) | self.n, (self.of << 32) | np.minimum(most, 2**32 - 1), "right")
-        self.percent = percent
-        sums = np.arange(2 * int(self.n.max()) + 1) if len(p) and int(self.n.max()) < 1 << 22 else None
-        self.apart = None if sums is None else (sums - 2 * overlap(sums, 0, percent)).astype(np.int16 if len(sums) < 1 << 15 else np.int32)
-
-    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether postings a and b of one word, with sizes within bounds, may belong to similar sets."""
-        total = self.n[a] + self.n[b]
-        most = self.apart[total] if self.apart is not None else total.astype(np.int64) - 2 * overlap(total.astype(np.int64), 0, self.percent)
-        ok = np.bitwise_count(self.lo[a] ^ self.lo[b]).astype(np.int16) + np.bitwise_count(self.hi[a] ^ self.hi[b]) <= most
-        hit = np.flatnonzero(ok)
-        if len(hit):
-            a, b = a[hit], b[hit]
-            na, nb, ia, ib = (x.astype(np.int64) for x in (self.n[a], self.n[b], self.i[a], self.i[b]))
-            sure = (np.minimum(na - ia, nb - ib) + np.minimum(ia, ib) >= overlap(na, nb, self.percent)) | (np.maximum(ia, ib) == 65535)
-            ok[hit] = sure & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * self.percent)
-        return ok
-
-
-def forest(postings: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (id, id) that tie together all ids of which some postings of one word are near: fewer than there are ids."""
-    p = Group(postings, percent)
-    us, vs = [], []
-    big = p.size > SMALL_GROUP
-    left = p.end - np.arange(len(p.id)) - 1  # postings of the same word that follow, none too large
-    left[big[p.of]] = 0
-    here = np.flatnonzero(left > 0)
-    step, held = 1, 0
-    while len(here):
-        hit = here[p.near(here, here + step)]
-        us.append(p.id[hit])
-        vs.append(p.id[hit + step])
-        held += len(hit)
-        if held > 1 << 19:  # a forest is never larger than the ids
-            u, v = tied(np.concatenate(us), np.concatenate(vs))
-            us, vs, held = [u], [v], 0
-        step += 1
-        here = here[left[here] >= step]
-    for g in np.flatnonzero(big):  # each posting found is asked once for those not found yet
-        rest = np.arange(p.edge[g], p.edge[g] + p.size[g])
-        while len(rest):
-            todo, rest = [rest[0]], rest[1:]
-            while todo and len(rest):
-                x = todo.pop()
-                a, b = np.searchsorted(p.n[rest], [-(-int(p.n[x]) * percent // 100), int(p.n[x]) * 100 // percent + 1])
-                ok = np.zeros(len(rest), dtype=bool)
-                ok[a:b] = p.near(np.full(b - a, x), rest[a:b])
-                hit, rest = rest[ok], rest[~ok]
-                us.append(np.full(len(hit), p.id[x]))
-                vs.append(p.id[hit])
-                todo.extend(hit)
-    return tied(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs)))
-
-
-def later_ones(places: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None) -> np.ndarray:
-    """Ids of the sets of a family that are similar to an earlier one; side: blocks, of which only pairs across count."""
-    order = np.lexsort((places["id"], places["line"], places["key"], places["order"]))
-    size = np.array([len(sets[i]) for i in order])
-    owner = np.repeat(np.arange(len(order)), size)
-    _, which, count = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
-    lists = owner[np.argsort(which, kind="stable")]
-    ends = np.cumsum(count)
-    at = np.append(0, np.cumsum(size))
-    side = side[order] if side is not None else None
-    gone = []
-    for x in range(1, len(order)):
-        own = which[at[x] : at[x + 1]]
-        short = own[np.argsort(count[own], kind="stable")][: len(own) - int(needed(len(own), percent)) + 1]
-        seen = np.concatenate([lists[ends[t] - count[t] : ends[t]] for t in short])
-        seen = seen[seen < x]
-        seen = seen[np.minimum(size[seen], size[x]) * 100 >= np.maximum(size[seen], size[x]) * percent]
-        if side is not None:
-            seen = seen[side[seen] != side[x]]
-        if len(seen):
-            candidate, times = np.unique(seen, return_counts=True)
-            for y in candidate[np.argsort(-times, kind="stable")]:
-                if len(np.intersect1d(own, which[at[y] : at[y + 1]], assume_unique=True)) >= overlap(int(size[x]), int(size[y]), percent):
-                    gone.append(places["id"][order[x]])
-                    break
-    return np.array(gone, dtype=np.int64)
+
+from quillon.llm import exchange, scratch
+
+MOST_BITS = 25  # cells of the table of counts, as a power of two, one byte each: 32 MB at most
+COMMON = 8  # level from which a word is common: more than 128 words fall into its cell
+ROUNDS = 3  # rounds, at most, in which a posting of a common word meets one earlier posting only
+DENSE = 16  # pairs for each posting of common words from which one more such round is made
+SPACE = r"[\x20\x09-\x0D]+"
+
+
+def levels(texts: DataFrame, bits: int) -> DataFrame:
+    """One row, ``levels``: of each of 2**bits cells the level of its count of words.
+
+    Level 0 is a word that occurs once; up to 128 a level is a power of two, beyond that a power of four.
+    """
+    words = texts.select(F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''")
+    counts = words.selectExpr(f"shiftrightunsigned(xxhash64(word), {64 - bits}) AS cell").groupBy("cell").agg(F.count("*").alias("n"))
+    level = "CASE WHEN n <= 128 THEN ceil(log2(n)) ELSE least(15, ceil(log2(n) / 2) + 4) END"
+    packed = counts.selectExpr("shiftright(cell, 4) AS at", f"shiftleft(CAST({level} AS bigint), CAST(4 * (cell & 15) AS int)) AS bits")
+    none = texts.sparkSession.range(1 << (bits - 4)).selectExpr("id AS at", "0L AS bits")  # so that no cell is missing
+    longs = packed.unionByName(none).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    parts = longs.groupBy(F.shiftright("at", 10).alias("part")).agg(F.sort_array(F.collect_list(F.struct("at", "bits")))["bits"].alias("longs"))
+    cells = "flatten(transform(longs, x -> transform(sequence(0, 15), k -> CAST(shiftright(x, 4 * k) & 15 AS tinyint)))) AS cells"
+    return parts.selectExpr("part", cells).agg(F.flatten(F.sort_array(F.collect_list(F.struct("part", "cells")))["cells"]).alias("levels"))
+
+
+def line_sets(table: DataFrame, levels: DataFrame, bits: int, percent: int) -> DataFrame:
+    """The set of each line with words: doc_id, key, line, sid (MD5 of its words), n, sketch, and its prefix.
+
+    ``prefix`` has tokens in order of rarity, four bits of level and 59 of hash, without those of words that occur once;
+    ``skip`` of these come before them. Sets to which none of another size can be similar have an empty prefix.
+    """
+    words = F.transform(F.split("text", "\n"), lambda x: F.array_remove(F.array_distinct(F.split(x, SPACE)), ""))
+    # words is a column that a generator makes, so the optimizer moves the look-up of levels into the lambda below
+    rows = table.select("doc_id", "key", F.posexplode(words).alias("line", "words")).where("size(words) > 0")
+    rows = rows.select("*", levels.scalar().alias("levels"))
+    token = f"shiftleft(CAST(levels[CAST(shiftrightunsigned(h, {64 - bits}) AS int)] AS bigint), 59) | (h & {(1 << 59) - 1})"
+    sets = rows.selectExpr(
+        "doc_id", "key", "line", "size(words) AS n",
+        "unhex(md5(array_join(sort_array(words), ' '))) AS sid",
+        f"sort_array(transform(transform(words, w -> xxhash64(w)), h -> {token})) AS tokens",
+    )
+    size = f"CASE WHEN 100 * n >= {percent} * (n + 1) THEN n - ({percent} * n + 99) div 100 + 1 ELSE 0 END"
+    parity = "aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, CAST(t & 63 AS int)))"
+    sets = sets.selectExpr("doc_id", "key", "line", "sid", "n", f"{parity} AS sketch", f"slice(tokens, 1, CAST({size} AS int)) AS every")
+    return sets.selectExpr("doc_id", "key", "line", "sid", "n", "sketch", f"filter(every, t -> t >= {1 << 59}) AS prefix", f"size(filter(every, t -> t < {1 << 59})) AS skip")
+
+
+def overlap(a: str, b: str, percent: int) -> str:
+    """SQL of the least overlap at which sets of a and b are similar."""
+    return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
+
+
+def near(percent: int) -> str:
+    """SQL of the filters on postings a and b of one word: lengths, positions, sketches."""
+    least = overlap("a.n", "b.n", percent)
+    return f"""100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+        AND least(a.n - a.i, b.n - b.i) + least(a.i, b.i) >= {least}
+        AND bit_count(a.sketch ^ b.sketch) <= a.n + b.n - 2 * {least}"""
+
+
+def postings(sets: DataFrame, common: bool, percent: int) -> DataFrame:
+    """token, id, n, i, sketch of each word in a prefix; of common words also the set's place and its band of sizes."""
+    rows = sets.select("id", "n", "sketch", "skip", "place", F.posexplode("prefix").alias("at", "token"))
+    if not common:
+        return rows.where(f"token < {COMMON << 59}").selectExpr("token", "id", "n", "skip + at AS i", "sketch")
+    band = f"CAST(floor(ln(n) / {math.log(100 / min(percent, 99))} + 1e-9) AS int)"  # of similar sets at most one apart
+    return rows.where(f"token >= {COMMON << 59}").selectExpr("token", "id", "n", "skip + at AS i", "sketch", "place", f"{band} AS band")
+
+
+def cold_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of sets that share a word of few postings and pass the filters."""
+    rows = postings(sets, False, percent)
+    both = rows.alias("a").join(rows.alias("b"), F.expr(f"a.token = b.token AND a.id < b.id AND {near(percent)}"))
+    return both.selectExpr("a.id AS a", "b.id AS b")
+
+
+def pivot_pairs(own: DataFrame, percent: int) -> DataFrame:
+    """Of each posting of a common word the pair with the earliest of its word and band, if it passes the filters."""
+    first = own.groupBy("token", "band").agg(F.expr("min(struct(place, id, n, i, sketch)) AS first"))
+    first = first.selectExpr("token", "band", "first.id AS id", "first.n AS n", "first.i AS i", "first.sketch AS sketch")
+    both = own.alias("a").join(first.alias("b"), F.expr(f"a.token = b.token AND a.band = b.band AND a.id <> b.id AND {near(percent)}"))
+    return both.selectExpr("least(a.id, b.id) AS a", "greatest(a.id, b.id) AS b")
+
+
+def earlier_pairs(open_: DataFrame, every: DataFrame, percent: int) -> DataFrame:
+    """Pairs of open postings of common words with all earlier ones that pass the filters."""
+    asking = open_.withColumn("band", F.expr("explode(array(band - 1, band, band + 1))"))
+    both = asking.alias("a").join(every.alias("b"), F.expr(f"a.token = b.token AND a.band = b.band AND b.place < a.place AND {near(percent)}"))
+    return both.selectExpr("least(a.id, b.id) AS a", "greatest(a.id, b.id) AS b")
+
+
+def lines_of(table: DataFrame) -> DataFrame:
+    """``table`` with the lines of its text; made by a generator, so that no lambda splits the text again for each line."""
+    return table.select("*", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
+
+
+def later_ones(spark: SparkSession, table: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """id of each set of ``pairs`` (a, b) that is similar to an earlier one that it is paired with."""
+    pairs = scratch.written(spark, pairs.distinct(), "line-pairs")
+    if pairs.isEmpty():
+        return pairs.select(F.col("a").alias("id"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    asked = sets.join(ids, "id").groupBy("place.key").agg(F.collect_list(F.struct("id", "n", "place")).alias("asked"))  # a document's lines
+    split = "array_remove(array_distinct(split(lines[x.place.line], '[\\\\x20\\\\x09-\\\\x0D]+')), '')"
+    found = lines_of(table.select("key", "text").join(asked, "key")).selectExpr(f"inline(transform(asked, x -> struct(x.id, x.n, x.place, {split} AS words)))")
+    bit = "CASE WHEN shiftright(h, 6) & 1 = k THEN a ^ shiftleft(1L, CAST(h & 63 AS int)) ELSE a END"
+    wide = f"transform(sequence(0, 1), k -> aggregate(transform(words, w -> xxhash64(w)), 0L, (a, h) -> {bit}))"
+    found = scratch.written(spark, found.selectExpr("id", "n", "place", "words", f"{wide} AS wide"), "line-words")
+
+    a, b = (found.selectExpr(f"id AS {x}", f"n AS n_{x}", f"place AS place_{x}", f"wide AS wide_{x}") for x in "ab")
+    differ = " + ".join(f"bit_count(wide_a[{k}] ^ wide_b[{k}])" for k in range(2))
+    close = pairs.join(a, "a").join(b, "b").withColumn("differ", F.expr(differ)).where(f"differ <= n_a + n_b - 2 * {overlap('n_a', 'n_b', percent)}")
+    later = "place_b < place_a"
+    close = scratch.written(spark, close.selectExpr(f"if({later}, a, b) AS later", f"if({later}, b, a) AS earlier", "differ"), "line-candidates")
+
+    def similar(candidates: DataFrame) -> DataFrame:
+        x, y = (found.selectExpr(f"id AS {c}", f"n AS n_{c}", f"words AS words_{c}") for c in ("later", "earlier"))
+        met = candidates.join(y, "earlier").join(x, "later")
+        least = overlap("n_later", "n_earlier", percent)
+        return met.where(f"size(array_intersect(words_later, words_earlier)) >= {least}").selectExpr("later AS id").distinct()
+
+    best = close.groupBy("later").agg(F.expr("min(struct(differ, earlier)).earlier AS earlier"))
+    first = scratch.written(spark, similar(best), "line-later")
+    rest = close.join(first.selectExpr("id AS later"), "later", "left_anti").select("later", "earlier")
+    both = scratch.written(spark, first.unionByName(similar(rest)).distinct(), "line-later")
+    for x in (pairs, found, close, first):
+        scratch.forget(spark, x)
+    return both
+
+
+def similar_to_earlier(spark: SparkSession, table: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """id of each set that is similar to an earlier one."""
+    every = scratch.written(spark, postings(sets, True, percent), "common-postings")
+    later = later_ones(spark, table, sets, cold_pairs(sets, percent).unionByName(pivot_pairs(every, percent)), percent)
+    for left in range(ROUNDS, -1, -1):
+        open_ = every.join(later, "id", "left_anti")
+        here = every.groupBy("token", "band").agg(F.count("*").alias("every")).join(open_.groupBy("token", "band").agg(F.count("*").alias("open")), ["token", "band"])
+        pairs, rows = here.agg(F.sum(F.col("every") * F.col("open")), F.sum("open")).head()
+        if not rows:
+            return later
+        dense = left and pairs > DENSE * rows
+        found = later_ones(spark, table, sets, pivot_pairs(open_, percent) if dense else earlier_pairs(open_, every, percent), percent)
+        later = scratch.written(spark, later.unionByName(found), "line-later")
+        if not dense:
+            return later
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with those lines removed that are similar to an earlier one, and n_lines and n_removed.
 
     Lines are what lies between "\\n"; two are similar if the Jaccard similarity of their sets of words is at least
-    ``percent`` %. Earlier is by id where ids are integers, null first, then by input order, then by line; lines are
-    judged on the input, not on what is left. Lines without words are kept. A null text stays null, with no lines; an
-    empty one has one line. Of rows that repeat only the first keeps its lines. Columns named n_lines or n_removed are
-    replaced; other columns stay; an empty table stays empty.
+    ``percent`` %. Earlier is by id, null first, then by input order, then by line; lines are judged on the input, not on
+    what is left. Lines without words are kept. A null text stays null, with no lines; an empty one has one line. Of rows
+    that repeat only the first keeps its lines. Columns named n_lines or n_removed are replaced; other columns stay; an
+    empty table stays empty.
     """
     docs = docs.drop("n_lines", "n_removed")
     table = exchange.keyed(spark, docs, id_column, text_column, whole_rows=True)
-    whole = isinstance(table.schema["doc_id"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) if whole else F.col("key")
-    ordered = table.withColumn("place", place)
     bytes_in = table.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    bits = int(min(MOST_BITS, max(12, np.ceil(np.log2(max(1, bytes_in) / 50)))))
-    buckets = int(max(1, bytes_in // 36 // BUCKET_POSTINGS))
-
-    def cut(texts: pa.Array) -> Iterator[tuple[int, int, Lines]]:
-        buf, off = wordnum.flat(texts)
-        for lo, hi in wordnum.slices(off):
-            yield lo, hi, Lines(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-
-    def words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        buf, off = wordnum.flat(batch.column(0))
-        for lo, hi in wordnum.slices(off):
-            yield Words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]).hashes()
-
-    levels = spark.sparkContext.broadcast(frequencies(spark, table.select("text"), bits, words))
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            for _, _, s in cut(batch.column(0)):
-                level = levels.value[cell(s.token, bits)]
-                shift = np.uint64(max(1, int(len(s.doc)).bit_length()))
-                by = np.argsort((s.line.astype(np.uint64) << (np.uint64(64) - shift)) | (((level.astype(np.uint64) << np.uint64(56)) | (s.token >> np.uint64(8))) >> shift))
-                rank = np.arange(len(by)) - s.first[s.line[by]]
-                own = s.n[s.line[by]]
-                use = rank < own - needed(own, percent) + 1
-                use &= level[by] > 0  # a word that occurs once is in no other line
-                by, rank = by[use], rank[use]
-                low, high = s.sketches()
-                out = np.empty(len(by), dtype=_POSTING)
-                line = s.line[by]
-                out["token"], out["id"], out["n"], out["i"], out["lo"], out["hi"] = s.token[by], s.id[line], s.n[line], np.minimum(rank, 65535), low[line], high[line]
-                held.append(out)
-            if sum(map(len, held)) > 1 << 19:
-                yield from dealt(held)
-                held = []
-        if held:
-            yield from dealt(held)
-
-    def dealt(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        p = np.concatenate(parts)
-        p = p[np.lexsort((p["id"], p["token"]))]
-        p = p[np.append(True, (p["token"][1:] != p["token"][:-1]) | (p["id"][1:] != p["id"][:-1]))] if len(p) else p
-        edges = np.append(np.searchsorted(p["token"], exchange.bucket_starts(buckets)), len(p))
-        full = np.flatnonzero(np.diff(edges))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([p[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "postings"])
-
-    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
-        for batch in batches:
-            for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held and b != bucket:
-                    yield links(held)
-                    held = []
-                bucket = b
-                held.append(np.frombuffer(x, _POSTING))
-        if held:
-            yield links(held)
-
-    def links(held: list[np.ndarray]) -> pa.RecordBatch:
-        u, v = forest(np.concatenate(held), percent)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    postings = table.select("text").mapInArrow(post, "bucket int, postings binary")
-    families = components(spark, postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tie, "u long, v long"))
-    families = scratch.written(spark, families, "line-families")
-    few = families.count() <= MOST_ASKED
-    asked = spark.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in families.select("node").toLocalIterator()), np.int64)) if few else None)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each unit: its sets' first places by bucket, its lines that repeat one of its sets (bucket -1), and the sets that are asked for."""
-        for unit in exchange.units(without_place(batches, places := {})):
-            order = places_of(unit, places)
-            found, sets, before = [], {}, 0
-            for lo, hi in wordnum.slices(unit.off):
-                s = Lines(unit.buf[unit.off[lo] : unit.off[hi]], unit.off[lo : hi + 1] - unit.off[lo])
-                found.append(s.places(order[lo:hi], unit.keys[lo:hi], before))
-                before += len(s.doc)
-                wanted = asked.value
-                at = np.flatnonzero(s.n > 0)
-                if wanted is not None:
-                    k = np.searchsorted(wanted, s.id[at])
-                    at = at[(k < len(wanted)) & (wanted[np.minimum(k, len(wanted) - 1)] == s.id[at])] if len(wanted) else at[:0]
-                for i in at:
-                    sets.setdefault(int(s.id[i]), s.token[s.first[i] : s.first[i + 1]].tobytes())
-            every = np.concatenate(found) if found else np.zeros(0, _PLACE)
-            first = first_places(every)
-            if not len(first):
-                continue
-            if len(first) < len(every):
-                yield row(-1, unit, np.setdiff1d(every["at"], first["at"], assume_unique=True).tobytes(), None, None)
-            mine = first["id"].view(np.uint64)
-            by = np.argsort(mine)
-            edges = np.append(np.searchsorted(mine[by], exchange.bucket_starts(few_buckets)), len(by))
-            for b in np.flatnonzero(np.diff(edges)):
-                yield row(int(b), unit, first[by[edges[b] : edges[b + 1]]].tobytes(), None, None)
-            has = first[np.isin(first["id"], np.fromiter(sets, np.int64, len(sets)))]
-            for lo in range(0, len(has), 512):
-                part = has[lo : lo + 512]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.array([p.tobytes() for p in part], pa.binary()), pa.array([int(p["id"]) for p in part], pa.int64()), pa.array([sets[int(p["id"])] for p in part], pa.binary())], names=names)
-
-    names = ["bucket", "chunk", "lo", "hi", "places", "id", "words"]
-    few_buckets = int(max(1, bytes_in // 300 // BUCKET_POSTINGS))
-
-    def row(bucket: int, unit: exchange.Unit, places: bytes, id_: int | None, words_: bytes | None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([unit.chunk], pa.int64()), pa.array([int(unit.keys[0])], pa.int64()), pa.array([int(unit.keys[-1])], pa.int64()), pa.array([places], pa.binary()), pa.array([id_], pa.int64()), pa.array([words_], pa.binary())], names=names)
-
-    gathered = scratch.written(spark, ordered.select("key", "chunk", "text", "place").mapInArrow(gather, "bucket int, chunk long, lo long, hi long, places binary, id long, words binary"), "line-places")
-    member = blocks(families, BLOCK_CLASSES).withColumnRenamed("node", "id")
-    met = member.join(gathered.where("words is not null").select("id", "places", "words"), "id").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, {}
-
-        def judged() -> pa.RecordBatch:
-            places = np.array([r[0] for r in rows.values()], dtype=_PLACE)
-            side = np.array([r[2] for r in rows.values()]) if group[1] != group[2] else None
-            return pa.RecordBatch.from_arrays([pa.array(later_ones(places, [r[1] for r in rows.values()], percent, side))], names=["id"])
-
-        for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j", "id", "places", "words", "block")), strict=True):
-                if group != r[:3]:
-                    if rows:
-                        yield judged()
-                    group, rows = r[:3], {}
-                at = np.frombuffer(r[4], _PLACE)[0]
-                old = rows.get(r[3])
-                if old is None or tuple(at)[1:] < tuple(old[0])[1:]:
-                    rows[r[3]] = (at, np.frombuffer(r[5], np.uint64), r[6])
-        if rows:
-            yield judged()
-
-    later = met.mapInArrow(verify, "id long").distinct()
-
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = np.sort(batch.column(0).to_numpy().view(np.uint64))
-            edges = np.append(np.searchsorted(own, exchange.bucket_starts(few_buckets)), len(own))
-            for b in np.flatnonzero(np.diff(edges)):
-                yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([own[edges[b] : edges[b + 1]].tobytes()], pa.binary())], names=names[:5])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, units, gone = None, [], []
-
-        def removed() -> pa.RecordBatch:
-            parts = [np.frombuffer(u[4], _PLACE) for u in units]
-            every = np.concatenate(parts)
-            first = first_places(every)
-            best = first[np.searchsorted(first["id"], every["id"])]
-            stays = (best["order"] == every["order"]) & (best["key"] == every["key"]) & (best["line"] == every["line"])
-            if gone:
-                stays &= ~np.isin(every["id"], np.concatenate(gone))
-            ends = np.cumsum([len(p) for p in parts])
-            lost = [p["at"][~stays[e - len(p) : e]].tobytes() for p, e in zip(parts, ends, strict=True)]
-            some = [k for k, x in enumerate(lost) if x]
-            return pa.RecordBatch.from_arrays([*[pa.array([units[k][i] for k in some], pa.int64()) for i in (1, 2, 3)], pa.array([bucket] * len(some), pa.int32()), pa.array([lost[k] for k in some], pa.binary())], names=["chunk", "lo", "hi", "bucket", "bits"])
-
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[0] != bucket:
-                    if units:
-                        yield removed()
-                    bucket, units, gone = r[0], [], []
-                if r[1] is None:
-                    gone.append(np.frombuffer(r[4], np.int64))
-                else:
-                    units.append(r)
-        if units:
-            yield removed()
-
-    rows = gathered.where("bucket >= 0").select(*names[:5]).unionByName(later.mapInArrow(told, "bucket int, chunk long, lo long, hi long, places binary"))
-    masks = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge, "chunk long, lo long, hi long, bucket int, bits binary")
-    masks = masks.unionByName(gathered.where("bucket = -1").select("chunk", "lo", "hi", "bucket", F.col("places").alias("bits")))
-
-    def strike(unit: exchange.Unit, bits: list[bytes], columns: list[pa.ChunkedArray]) -> Iterator[pa.RecordBatch]:
-        """A unit's texts without the lines whose numbers ``bits`` hold; units without such lines may come together."""
-        row, nulls = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns)
-        parts = [(lo, hi, Lines(unit.buf[unit.off[lo] : unit.off[hi]], unit.off[lo : hi + 1] - unit.off[lo], sets=False)) for lo, hi in wordnum.slices(unit.off)]
-        stays = np.ones(sum(len(s.doc) for _, _, s in parts), dtype=bool)
-        for b in bits:
-            stays[np.frombuffer(b, np.uint32)] = False
-        before = 0
-        for lo, hi, s in parts:
-            kept = stays[before : before + len(s.doc)]
-            before += len(s.doc)
-            count, removed = s.count.astype(np.int64), np.bincount(s.doc[~kept], minlength=hi - lo).astype(np.int64)
-            gone = nulls.slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
-            texts = kept_lines(s, kept).cast(pa.string())
-            texts = pa.compute.if_else(pa.array(gone), pa.scalar(None, pa.string()), texts)
-            yield pa.RecordBatch.from_arrays([row.slice(lo, hi - lo), texts, pa.array(np.where(gone, 0, count)), pa.array(removed)], names=["row", "text", "n_lines", "n_removed"])
-
-    source = ordered.withColumn("no_text", F.col("text").isNull())
-    schema = T.StructType([table.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    done = exchange.with_verdicts(source, masks, strike, schema, ["row", "no_text"])
+    bits = min(MOST_BITS, max(14, (bytes_in // 100).bit_length()))
+    counted = scratch.written(spark, levels(table, bits), "line-levels")
+    lines = scratch.written(spark, line_sets(table, counted, bits, percent), "line-sets")
+    distinct = lines.groupBy("sid").agg(F.expr("min(struct(doc_id, key, line)) AS place"), *[F.first(c).alias(c) for c in ("n", "sketch", "skip", "prefix")])
+    sets = scratch.written(spark, distinct.withColumn("id", F.monotonically_increasing_id()), "line-distinct")
+    of_lines = scratch.written(spark, lines.select("key", "line", "sid"), "lines")
+    scratch.forget(spark, lines)
+
+    later = similar_to_earlier(spark, table, sets, percent).withColumn("later", F.lit(True))
+    judged = sets.select("id", "sid", "place").join(later, "id", "left").selectExpr("sid", "place.key AS first_key", "place.line AS first_line", "later")
+    gone = of_lines.join(judged, "sid").where("later OR key <> first_key OR line <> first_line")
+    gone = scratch.written(spark, gone.groupBy("key").agg(F.collect_list("line").alias("gone")), "lines-gone")
+    for x in (sets, of_lines):
+        scratch.forget(spark, x)
+    kept = "array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\\n')"
+    done = lines_of(table.join(gone, "key", "left")).selectExpr("row", f"CASE WHEN gone IS NULL THEN text ELSE {kept} END AS text", "CAST(coalesce(size(lines), 0) AS bigint) AS n_lines", "CAST(coalesce(size(gone), 0) AS bigint) AS n_removed")
     return done.select(*[F.col("text").alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns], "n_lines", "n_removed")
 
 
-def without_place(batches: Iterator[pa.RecordBatch], places: dict) -> Iterator[pa.RecordBatch]:
-    """Batches of (key, chunk, text); the fourth column goes to ``places`` by key, until its unit takes it."""
-    for batch in batches:
-        places.update(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True))
-        yield batch.select([0, 1, 2])
-
-
-def places_of(unit: exchange.Unit, places: dict) -> np.ndarray:
-    return np.array([places.pop(int(k)) for k in unit.keys], dtype=np.int64)
-
-
-def kept_lines(s: Lines, kept: np.ndarray) -> pa.Array:
-    """Kept lines of each text joined by one line break."""
-    depth = np.zeros(len(s.buf) + 1, dtype=np.int32)
-    np.add.at(depth, s.start[kept], 1)
-    np.add.at(depth, s.end[kept], -1)
-    keep = np.cumsum(depth[:-1]) > 0
-    out = s.buf.copy()
-    doc, end = s.doc[kept], s.end[kept]
-    glue = end[:-1][doc[1:] == doc[:-1]]  # the break after each kept line that another one follows
-    keep[glue] = True
-    out[glue] = 10
-    sizes = np.append(0, np.cumsum(keep))
-    return wordnum.strings(out[keep], sizes[s.off])
-
-
 def op1_line_similarity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), percent=80)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 _made: list[str] = []
 
@@ -36,9 +37,17 @@ def folder(spark: SparkSession, tag: str) -> str:
 
 
 def written(spark: SparkSession, frame: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write ``frame`` to the shared folder and read it back: lineage ends at the files."""
+    """Write ``frame`` to the shared folder and read it back: lineage ends at the files.
+
+    Shuffle files that the write needed are removed when it is done.
+    """
     path = folder(spark, tag)
-    frame.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        frame.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     back = spark.read.schema(frame.schema).parquet(path)
     back._quillon_path = path
     return back

@@ -182,21 +182,32 @@ def test_lines(spark, none):
     assert line_similarity_dedup.dedup_lines(spark, none).count() == 0
 
 
-def test_line_groups_of_any_size(monkeypatch):
-    rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 40, rng.integers(4, 12)).astype(np.uint64)) for _ in range(200)]
-    post = []
-    for k, s in enumerate(sets):
-        low = np.bitwise_xor.reduce(np.where(s & np.uint64(64) == 0, np.uint64(1) << (s & np.uint64(63)), np.uint64(0)))
-        for i, t in enumerate(s[: len(s) - math.ceil(0.8 * len(s)) + 1]):
-            post.append((t, k, len(s), i, low, 0))
-    p = np.array(post, dtype=line_similarity_dedup._POSTING)
-    pairs = {(i, j) for i in range(200) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
-    for small in (4096, 3):
-        monkeypatch.setattr(line_similarity_dedup, "SMALL_GROUP", small)
-        u, v = line_similarity_dedup.forest(p, 80)
-        root = dict(zip(u.tolist(), v.tolist()))
-        assert all(root.get(i, i) == root.get(j, j) for i, j in pairs)
+@pytest.mark.parametrize(("common", "dense"), [(1, 16), (1, 0), (16, 16)])
+def test_lines_of_common_words_lose_no_link(spark, monkeypatch, common, dense):
+    """Groups of near copies whose words are common, met through earliest postings, in several rounds, or all at once."""
+    monkeypatch.setattr(line_similarity_dedup, "COMMON", common)
+    monkeypatch.setattr(line_similarity_dedup, "DENSE", dense)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        base = rng.sample(vocabulary, rng.randint(4, 14))
+        lines = []
+        for _ in range(rng.randint(1, 8)):
+            line = base[:]
+            for _ in range(rng.randint(0, 3)):
+                line[rng.randrange(len(line))] = rng.choice(vocabulary)
+            lines.append(" ".join(line))
+        rows.append((i, "\n".join(lines), "en", 1, "x"))
+    got = line_similarity_dedup.dedup_lines(spark, spark.createDataFrame(rows, DOC).repartition(2))
+    assert collections.Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()) == lines_brute(rows)
+
+
+def test_line_stage_runs_no_python(spark, docs):
+    plan = line_similarity_dedup.dedup_lines(spark, docs)._jdf.queryExecution().toString()
+    assert not re.search("Arrow|Python|Pandas", plan)
+    source = open(line_similarity_dedup.__file__).read()
+    assert not re.search("mapIn|applyIn|udf|[.]rdd|numpy|pyarrow", source)
 
 
 def best_fit(lengths, size):
