@@ -5,9 +5,9 @@ similarity of at least t share a word among their first n - ceil(t n) + 1. Posti
 word, under the length filter, the positional filter and a bound on the symmetric difference by parity sketches.
 
 One earlier line is enough to remove a line, so not all pairs are made. Postings of words that few lines hold are joined
-at once. Of a word that many hold, each posting first meets only the earliest one of about its length; what finds no
-similar set there, nor among the rarer words, meets all earlier ones. Candidates are verified on their words, the
-closest of each set first.
+at once. Where words that many hold would make too many pairs, as in large groups of near copies, each of their postings
+first meets only the earliest one of about its length; what finds a similar set there asks no more. Candidates are
+verified on their words, the closest of each set first.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from quillon.llm import exchange, scratch
 MOST_BITS = 25  # cells of the table of counts, as a power of two, one byte each: 32 MB at most
 COMMON = 8  # level from which a word is common: more than 128 words fall into its cell
 ROUNDS = 3  # rounds, at most, in which a posting of a common word meets one earlier posting only
-DENSE = 16  # pairs for each posting of common words from which one more such round is made
+DENSE = 128  # pairs for each posting of common words from which such a round is made
+MOST_BROADCAST = 100_000  # sets whose words are asked for by a broadcast; more are joined by a shuffle
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -43,7 +44,7 @@ def levels(texts: DataFrame, bits: int) -> DataFrame:
 
 
 def line_sets(table: DataFrame, levels: DataFrame, bits: int, percent: int) -> DataFrame:
-    """The set of each line with words: doc_id, key, line, sid (MD5 of its words), n, sketch, and its prefix.
+    """The set of each line with words: doc_id, key, line, sid (MD5 of its words), n, parity sketch, prefix.
 
     ``prefix`` has tokens in order of rarity, four bits of level and 59 of hash, without those of words that occur once;
     ``skip`` of these come before them. Sets to which none of another size can be similar have an empty prefix.
@@ -59,9 +60,10 @@ def line_sets(table: DataFrame, levels: DataFrame, bits: int, percent: int) -> D
         f"sort_array(transform(transform(words, w -> xxhash64(w)), h -> {token})) AS tokens",
     )
     size = f"CASE WHEN 100 * n >= {percent} * (n + 1) THEN n - ({percent} * n + 99) div 100 + 1 ELSE 0 END"
-    parity = "aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, CAST(t & 63 AS int)))"
-    sets = sets.selectExpr("doc_id", "key", "line", "sid", "n", f"{parity} AS sketch", f"slice(tokens, 1, CAST({size} AS int)) AS every")
-    return sets.selectExpr("doc_id", "key", "line", "sid", "n", "sketch", f"filter(every, t -> t >= {1 << 59}) AS prefix", f"size(filter(every, t -> t < {1 << 59})) AS skip")
+    low = "aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(shiftright(t, 6) & 1, CAST(t & 63 AS int)))"
+    both = "aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, CAST(t & 63 AS int)))"
+    sets = sets.selectExpr("doc_id", "key", "line", "sid", "n", f"{low} AS low", f"{both} AS both", f"slice(tokens, 1, CAST({size} AS int)) AS every")
+    return sets.selectExpr("doc_id", "key", "line", "sid", "n", "low", "low ^ both AS high", f"filter(every, t -> t >= {1 << 59}) AS prefix", f"size(filter(every, t -> t < {1 << 59})) AS skip")
 
 
 def overlap(a: str, b: str, percent: int) -> str:
@@ -69,43 +71,45 @@ def overlap(a: str, b: str, percent: int) -> str:
     return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
 
 
+DIFFER = "bit_count(a.low ^ b.low) + bit_count(a.high ^ b.high)"
+
+
 def near(percent: int) -> str:
     """SQL of the filters on postings a and b of one word: lengths, positions, sketches."""
     least = overlap("a.n", "b.n", percent)
     return f"""100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
-        AND least(a.n - a.i, b.n - b.i) + least(a.i, b.i) >= {least}
-        AND bit_count(a.sketch ^ b.sketch) <= a.n + b.n - 2 * {least}"""
+        AND {DIFFER} <= a.n + b.n - 2 * {least}
+        AND least(a.n - a.i, b.n - b.i) + least(a.i, b.i) >= {least}"""
 
 
 def postings(sets: DataFrame, common: bool, percent: int) -> DataFrame:
-    """token, id, n, i, sketch of each word in a prefix; of common words also the set's place and its band of sizes."""
-    rows = sets.select("id", "n", "sketch", "skip", "place", F.posexplode("prefix").alias("at", "token"))
-    if not common:
-        return rows.where(f"token < {COMMON << 59}").selectExpr("token", "id", "n", "skip + at AS i", "sketch")
-    band = f"CAST(floor(ln(n) / {math.log(100 / min(percent, 99))} + 1e-9) AS int)"  # of similar sets at most one apart
-    return rows.where(f"token >= {COMMON << 59}").selectExpr("token", "id", "n", "skip + at AS i", "sketch", "place", f"{band} AS band")
+    """token, id, n, i, low, high of each word in a prefix; of common words also the set's place and its band of sizes."""
+    rows = sets.select("id", "n", "low", "high", "skip", "place", F.posexplode("prefix").alias("at", "token"))
+    rows = rows.where(f"token >= {COMMON << 59}" if common else f"token < {COMMON << 59}")
+    band = f"CAST(floor(ln(n) / {math.log(100 / min(percent, 99))} + 1e-9) AS int) AS band"  # of similar sets at most one apart
+    return rows.selectExpr("token", "id", "n", "skip + at AS i", "low", "high", *(["place", band] if common else []))
 
 
 def cold_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of sets that share a word of few postings and pass the filters."""
+    """Pairs of sets that share a word of few postings and pass the filters."""
     rows = postings(sets, False, percent)
     both = rows.alias("a").join(rows.alias("b"), F.expr(f"a.token = b.token AND a.id < b.id AND {near(percent)}"))
-    return both.selectExpr("a.id AS a", "b.id AS b")
+    return both.selectExpr("a.id AS a", "b.id AS b", f"{DIFFER} AS differ")
 
 
-def pivot_pairs(own: DataFrame, percent: int) -> DataFrame:
+def pivot_pairs(open_: DataFrame, percent: int) -> DataFrame:
     """Of each posting of a common word the pair with the earliest of its word and band, if it passes the filters."""
-    first = own.groupBy("token", "band").agg(F.expr("min(struct(place, id, n, i, sketch)) AS first"))
-    first = first.selectExpr("token", "band", "first.id AS id", "first.n AS n", "first.i AS i", "first.sketch AS sketch")
-    both = own.alias("a").join(first.alias("b"), F.expr(f"a.token = b.token AND a.band = b.band AND a.id <> b.id AND {near(percent)}"))
-    return both.selectExpr("least(a.id, b.id) AS a", "greatest(a.id, b.id) AS b")
+    first = open_.groupBy("token", "band").agg(F.expr("min(struct(place, id, n, i, low, high)) AS first"))
+    first = first.selectExpr("token", "band", *[f"first.{c} AS {c}" for c in ("id", "n", "i", "low", "high")])
+    both = open_.alias("a").join(first.alias("b"), F.expr(f"a.token = b.token AND a.band = b.band AND a.id <> b.id AND {near(percent)}"))
+    return both.selectExpr("a.id AS a", "b.id AS b", f"{DIFFER} AS differ")
 
 
 def earlier_pairs(open_: DataFrame, every: DataFrame, percent: int) -> DataFrame:
     """Pairs of open postings of common words with all earlier ones that pass the filters."""
     asking = open_.withColumn("band", F.expr("explode(array(band - 1, band, band + 1))"))
     both = asking.alias("a").join(every.alias("b"), F.expr(f"a.token = b.token AND a.band = b.band AND b.place < a.place AND {near(percent)}"))
-    return both.selectExpr("least(a.id, b.id) AS a", "greatest(a.id, b.id) AS b")
+    return both.selectExpr("a.id AS a", "b.id AS b", f"{DIFFER} AS differ")
 
 
 def lines_of(table: DataFrame) -> DataFrame:
@@ -114,23 +118,22 @@ def lines_of(table: DataFrame) -> DataFrame:
 
 
 def later_ones(spark: SparkSession, table: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """id of each set of ``pairs`` (a, b) that is similar to an earlier one that it is paired with."""
+    """id of each set of ``pairs`` (a, b, differ) that is similar to an earlier one that it is paired with."""
     pairs = scratch.written(spark, pairs.distinct(), "line-pairs")
     if pairs.isEmpty():
-        return pairs.select(F.col("a").alias("id"))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    asked = sets.join(ids, "id").groupBy("place.key").agg(F.collect_list(F.struct("id", "n", "place")).alias("asked"))  # a document's lines
-    split = "array_remove(array_distinct(split(lines[x.place.line], '[\\\\x20\\\\x09-\\\\x0D]+')), '')"
-    found = lines_of(table.select("key", "text").join(asked, "key")).selectExpr(f"inline(transform(asked, x -> struct(x.id, x.n, x.place, {split} AS words)))")
-    bit = "CASE WHEN shiftright(h, 6) & 1 = k THEN a ^ shiftleft(1L, CAST(h & 63 AS int)) ELSE a END"
-    wide = f"transform(sequence(0, 1), k -> aggregate(transform(words, w -> xxhash64(w)), 0L, (a, h) -> {bit}))"
-    found = scratch.written(spark, found.selectExpr("id", "n", "place", "words", f"{wide} AS wide"), "line-words")
-
-    a, b = (found.selectExpr(f"id AS {x}", f"n AS n_{x}", f"place AS place_{x}", f"wide AS wide_{x}") for x in "ab")
-    differ = " + ".join(f"bit_count(wide_a[{k}] ^ wide_b[{k}])" for k in range(2))
-    close = pairs.join(a, "a").join(b, "b").withColumn("differ", F.expr(differ)).where(f"differ <= n_a + n_b - 2 * {overlap('n_a', 'n_b', percent)}")
-    later = "place_b < place_a"
-    close = scratch.written(spark, close.selectExpr(f"if({later}, a, b) AS later", f"if({later}, b, a) AS earlier", "differ"), "line-candidates")
+        return pairs.selectExpr("a AS id")
+    places = [sets.selectExpr(f"id AS {x}", f"place AS place_{x}") for x in "ab"]
+    before = "place_b < place_a"
+    oriented = pairs.join(places[0], "a").join(places[1], "b").selectExpr(f"if({before}, a, b) AS later", f"if({before}, b, a) AS earlier", "differ")
+    close = scratch.written(spark, oriented.distinct(), "line-candidates")
+
+    ids = close.select(F.col("later").alias("id")).union(close.select("earlier")).distinct()
+    asked = scratch.written(spark, sets.join(ids, "id").select("id", "n", "place"), "line-asked")
+    few = asked.count() <= MOST_BROADCAST
+    of_text = asked.groupBy("place.key").agg(F.collect_list(F.struct("id", "n", "place.line")).alias("asked"))  # of one document
+    words = "array_remove(array_distinct(split(lines[x.line], '[\\\\x20\\\\x09-\\\\x0D]+')), '')"
+    found = lines_of(table.select("key", "text").join(F.broadcast(of_text) if few else of_text, "key"))
+    found = scratch.written(spark, found.selectExpr(f"inline(transform(asked, x -> struct(x.id, x.n, {words} AS words)))"), "line-words")
 
     def similar(candidates: DataFrame) -> DataFrame:
         x, y = (found.selectExpr(f"id AS {c}", f"n AS n_{c}", f"words AS words_{c}") for c in ("later", "earlier"))
@@ -140,9 +143,9 @@ def later_ones(spark: SparkSession, table: DataFrame, sets: DataFrame, pairs: Da
 
     best = close.groupBy("later").agg(F.expr("min(struct(differ, earlier)).earlier AS earlier"))
     first = scratch.written(spark, similar(best), "line-later")
-    rest = close.join(first.selectExpr("id AS later"), "later", "left_anti").select("later", "earlier")
-    both = scratch.written(spark, first.unionByName(similar(rest)).distinct(), "line-later")
-    for x in (pairs, found, close, first):
+    rest = close.join(first.selectExpr("id AS later"), "later", "left_anti").join(best, ["later", "earlier"], "left_anti").select("later", "earlier")
+    both = scratch.written(spark, first.unionByName(similar(rest)), "line-later")
+    for x in (pairs, close, asked, found, first):
         scratch.forget(spark, x)
     return both
 
@@ -150,18 +153,17 @@ def later_ones(spark: SparkSession, table: DataFrame, sets: DataFrame, pairs: Da
 def similar_to_earlier(spark: SparkSession, table: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """id of each set that is similar to an earlier one."""
     every = scratch.written(spark, postings(sets, True, percent), "common-postings")
-    later = later_ones(spark, table, sets, cold_pairs(sets, percent).unionByName(pivot_pairs(every, percent)), percent)
-    for left in range(ROUNDS, -1, -1):
+    groups = every.groupBy("token", "band").agg(F.count("*").alias("every"))
+    open_, later = every, spark.createDataFrame([], "id long")
+    for _ in range(ROUNDS):
+        asking = open_.groupBy("token", "band").agg(F.count("*").alias("open"))
+        pairs, rows = groups.join(asking, ["token", "band"]).agg(F.expr("sum(every * open)"), F.sum("open")).head()
+        if not rows or pairs <= DENSE * rows:
+            break
+        later = scratch.written(spark, later.unionByName(later_ones(spark, table, sets, pivot_pairs(open_, percent), percent)), "line-later")
         open_ = every.join(later, "id", "left_anti")
-        here = every.groupBy("token", "band").agg(F.count("*").alias("every")).join(open_.groupBy("token", "band").agg(F.count("*").alias("open")), ["token", "band"])
-        pairs, rows = here.agg(F.sum(F.col("every") * F.col("open")), F.sum("open")).head()
-        if not rows:
-            return later
-        dense = left and pairs > DENSE * rows
-        found = later_ones(spark, table, sets, pivot_pairs(open_, percent) if dense else earlier_pairs(open_, every, percent), percent)
-        later = scratch.written(spark, later.unionByName(found), "line-later")
-        if not dense:
-            return later
+    found = later_ones(spark, table, sets, cold_pairs(sets, percent).unionByName(earlier_pairs(open_, every, percent)), percent)
+    return later.unionByName(found).distinct()
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -179,7 +181,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_c
     bits = min(MOST_BITS, max(14, (bytes_in // 100).bit_length()))
     counted = scratch.written(spark, levels(table, bits), "line-levels")
     lines = scratch.written(spark, line_sets(table, counted, bits, percent), "line-sets")
-    distinct = lines.groupBy("sid").agg(F.expr("min(struct(doc_id, key, line)) AS place"), *[F.first(c).alias(c) for c in ("n", "sketch", "skip", "prefix")])
+    distinct = lines.groupBy("sid").agg(F.expr("min(struct(doc_id, key, line)) AS place"), *[F.first(c).alias(c) for c in ("n", "low", "high", "skip", "prefix")])
     sets = scratch.written(spark, distinct.withColumn("id", F.monotonically_increasing_id()), "line-distinct")
     of_lines = scratch.written(spark, lines.select("key", "line", "sid"), "lines")
     scratch.forget(spark, lines)
