@@ -4,10 +4,9 @@ A line is the set of its words. Words are put in order of rarity by a table of m
 similarity of at least t share a word among their first n - ceil(t n) + 1. Postings of those words are joined on the
 word, under the length filter, the positional filter and a bound on the symmetric difference by parity sketches.
 
-One earlier line is enough to remove a line, so not all pairs are made. Postings of words that few lines hold are joined
-at once. Where words that many hold would make too many pairs, as in large groups of near copies, each of their postings
-first meets only the earliest one of about its length; what finds a similar set there asks no more. Candidates are
-verified on their words, the closest of each set first.
+One earlier line is enough to remove a line, so not all pairs are made. Where a word would make too many, as in large
+groups of near copies, each of its postings first meets only the earliest one of about its length; what finds a similar
+set there asks no more. Candidates are verified on their words, the closest of each set first.
 """
 
 from __future__ import annotations
@@ -20,10 +19,10 @@ from pyspark.sql import functions as F
 from quillon.llm import exchange, scratch
 
 MOST_BITS = 25  # cells of the table of counts, as a power of two, one byte each: 32 MB at most
-COMMON = 8  # level from which a word is common: more than 128 words fall into its cell
-ROUNDS = 3  # rounds, at most, in which a posting of a common word meets one earlier posting only
-DENSE = 128  # pairs for each posting of common words from which such a round is made
-MOST_BROADCAST = 100_000  # sets whose words are asked for by a broadcast; more are joined by a shuffle
+COMMON = 8  # level from which a word may be dense: more than 128 words fall into its cell
+DENSE = 128  # a word is dense if more sets of about one size have it in their prefixes
+ROUNDS = 3  # rounds, at most, in which a posting of a dense word meets one earlier posting only
+MOST_BROADCAST = 100_000  # sets asked for, or dense words, that are sent to every executor; more are joined by a shuffle
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -82,23 +81,26 @@ def near(percent: int) -> str:
         AND least(a.n - a.i, b.n - b.i) + least(a.i, b.i) >= {least}"""
 
 
-def postings(sets: DataFrame, common: bool, percent: int) -> DataFrame:
-    """token, id, n, i, low, high of each word in a prefix; of common words also the set's place and its band of sizes."""
+def postings(sets: DataFrame, *more: str) -> DataFrame:
+    """token, id, n, i, low, high, and more if asked, of each word in a prefix."""
     rows = sets.select("id", "n", "low", "high", "skip", "place", F.posexplode("prefix").alias("at", "token"))
-    rows = rows.where(f"token >= {COMMON << 59}" if common else f"token < {COMMON << 59}")
-    band = f"CAST(floor(ln(n) / {math.log(100 / min(percent, 99))} + 1e-9) AS int) AS band"  # of similar sets at most one apart
-    return rows.selectExpr("token", "id", "n", "skip + at AS i", "low", "high", *(["place", band] if common else []))
+    return rows.selectExpr("token", "id", "n", "skip + at AS i", "low", "high", *more)
+
+
+def dense_words(sets: DataFrame, band: str) -> DataFrame:
+    """token of each word that more than DENSE sets of one band of sizes have in their prefixes."""
+    rows = sets.select("n", F.explode("prefix").alias("token")).where(f"token >= {COMMON << 59}")
+    return rows.groupBy("token", F.expr(band)).agg(F.count("*").alias("rows")).where(f"rows > {DENSE}").select("token").distinct()
 
 
-def cold_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets that share a word of few postings and pass the filters."""
-    rows = postings(sets, False, percent)
+def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of postings of one word that pass the filters."""
     both = rows.alias("a").join(rows.alias("b"), F.expr(f"a.token = b.token AND a.id < b.id AND {near(percent)}"))
     return both.selectExpr("a.id AS a", "b.id AS b", f"{DIFFER} AS differ")
 
 
 def pivot_pairs(open_: DataFrame, percent: int) -> DataFrame:
-    """Of each posting of a common word the pair with the earliest of its word and band, if it passes the filters."""
+    """Of each posting of a dense word the pair with the earliest of its word and band, if it passes the filters."""
     first = open_.groupBy("token", "band").agg(F.expr("min(struct(place, id, n, i, low, high)) AS first"))
     first = first.selectExpr("token", "band", *[f"first.{c} AS {c}" for c in ("id", "n", "i", "low", "high")])
     both = open_.alias("a").join(first.alias("b"), F.expr(f"a.token = b.token AND a.band = b.band AND a.id <> b.id AND {near(percent)}"))
@@ -106,7 +108,7 @@ def pivot_pairs(open_: DataFrame, percent: int) -> DataFrame:
 
 
 def earlier_pairs(open_: DataFrame, every: DataFrame, percent: int) -> DataFrame:
-    """Pairs of open postings of common words with all earlier ones that pass the filters."""
+    """Pairs of open postings of dense words with all earlier ones that pass the filters."""
     asking = open_.withColumn("band", F.expr("explode(array(band - 1, band, band + 1))"))
     both = asking.alias("a").join(every.alias("b"), F.expr(f"a.token = b.token AND a.band = b.band AND b.place < a.place AND {near(percent)}"))
     return both.selectExpr("a.id AS a", "b.id AS b", f"{DIFFER} AS differ")
@@ -117,14 +119,15 @@ def lines_of(table: DataFrame) -> DataFrame:
     return table.select("*", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
 
 
-def later_ones(spark: SparkSession, table: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """id of each set of ``pairs`` (a, b, differ) that is similar to an earlier one that it is paired with."""
+def later_ones(spark: SparkSession, table: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int, known: DataFrame | None = None) -> DataFrame:
+    """id of each set of ``pairs`` (a, b, differ), but those of ``known``, that is similar to an earlier one that it is paired with."""
     pairs = scratch.written(spark, pairs.distinct(), "line-pairs")
     if pairs.isEmpty():
         return pairs.selectExpr("a AS id")
     places = [sets.selectExpr(f"id AS {x}", f"place AS place_{x}") for x in "ab"]
     before = "place_b < place_a"
     oriented = pairs.join(places[0], "a").join(places[1], "b").selectExpr(f"if({before}, a, b) AS later", f"if({before}, b, a) AS earlier", "differ")
+    oriented = oriented if known is None else oriented.join(known.withColumnRenamed("id", "later"), "later", "left_anti")
     close = scratch.written(spark, oriented.distinct(), "line-candidates")
 
     ids = close.select(F.col("later").alias("id")).union(close.select("earlier")).distinct()
@@ -152,18 +155,27 @@ def later_ones(spark: SparkSession, table: DataFrame, sets: DataFrame, pairs: Da
 
 def similar_to_earlier(spark: SparkSession, table: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """id of each set that is similar to an earlier one."""
-    every = scratch.written(spark, postings(sets, True, percent), "common-postings")
-    groups = every.groupBy("token", "band").agg(F.count("*").alias("every"))
+    band = f"CAST(floor(ln(n) / {math.log(100 / min(percent, 99))} + 1e-9) AS int) AS band"  # of similar sets at most one apart
+    dense = scratch.written(spark, dense_words(sets, band), "dense-words")
+    words = dense.count()
+    if not words:
+        return later_ones(spark, table, sets, all_pairs(postings(sets), percent), percent)
+    sent = F.broadcast(dense) if words <= MOST_BROADCAST else dense
+    every = scratch.written(spark, postings(sets, "place", band).join(sent, "token"), "dense-postings")
     open_, later = every, spark.createDataFrame([], "id long")
     for _ in range(ROUNDS):
+        sizes = every.groupBy("token", "band").agg(F.count("*").alias("every"))
         asking = open_.groupBy("token", "band").agg(F.count("*").alias("open"))
-        pairs, rows = groups.join(asking, ["token", "band"]).agg(F.expr("sum(every * open)"), F.sum("open")).head()
+        pairs, rows = sizes.join(asking, ["token", "band"]).agg(F.expr("sum(every * open)"), F.sum("open")).head()
         if not rows or pairs <= DENSE * rows:
             break
-        later = scratch.written(spark, later.unionByName(later_ones(spark, table, sets, pivot_pairs(open_, percent), percent)), "line-later")
+        found = later_ones(spark, table, sets, pivot_pairs(open_, percent), percent)
+        if found.isEmpty():
+            break
+        later = scratch.written(spark, later.unionByName(found), "line-later")
         open_ = every.join(later, "id", "left_anti")
-    found = later_ones(spark, table, sets, cold_pairs(sets, percent).unionByName(earlier_pairs(open_, every, percent)), percent)
-    return later.unionByName(found).distinct()
+    rest = all_pairs(postings(sets).join(sent, "token", "left_anti"), percent)
+    return later.unionByName(later_ones(spark, table, sets, rest.unionByName(earlier_pairs(open_, every, percent)), percent, later)).distinct()
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
