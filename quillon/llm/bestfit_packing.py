@@ -100,7 +100,8 @@ def encoder(vocabulary: str):
     """text -> ids of the byte-level BPE in ``vocabulary`` (tokenizers' JSON), as uint32.
 
     The same merges, as ranks beside the JSON file, are run by a faster library wherever both libraries' character
-    classes agree for sure; any other text goes to ``tokenizers`` itself.
+    classes agree for sure; any other text goes to ``tokenizers`` itself, and so does one with runs of white space so
+    long that the faster library gives up.
     """
     import tiktoken
 
@@ -111,13 +112,16 @@ def encoder(vocabulary: str):
     beyond, slow = re.compile("[^\x00-\u024f]").search, []
 
     def encode(text: str) -> np.ndarray:
-        if beyond(text) or _SPECIAL in text:
-            if not slow:
-                from tokenizers import Tokenizer
-
-                slow.append(Tokenizer.from_file(vocabulary))
-            return np.array(slow[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return np.asarray(fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=()), dtype=np.uint32)
+        if not (beyond(text) or _SPECIAL in text):
+            try:
+                return np.asarray(fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=()), dtype=np.uint32)
+            except ValueError:  # its patterns' stack is full
+                pass
+        if not slow:
+            from tokenizers import Tokenizer
+
+            slow.append(Tokenizer.from_file(vocabulary))
+        return np.array(slow[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     return encode
 

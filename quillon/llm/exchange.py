@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,13 +73,13 @@ def blobs(unit: Unit, hashes: np.ndarray, buckets: int) -> pa.RecordBatch | None
     own, count = np.unique(hashes, return_counts=True)
     if not len(own):
         return None
-    edges = np.searchsorted(own, bucket_starts(buckets), "left")
-    at = [(b, edges[b], edges[b + 1] if b + 1 < buckets else len(own)) for b in range(buckets)]
-    at = [x for x in at if x[2] > x[1]]
+    edges = np.append(np.searchsorted(own, bucket_starts(buckets), "left"), len(own))
+    at = [(int(b), edges[b], edges[b + 1]) for b in np.flatnonzero(np.diff(edges))]
     n = len(at)
     return pa.RecordBatch.from_arrays([pa.array([unit.chunk] * n, pa.int64()), pa.array([int(unit.keys[0])] * n, pa.int64()), pa.array([int(unit.keys[-1])] * n, pa.int64()), pa.array([x[0] for x in at], pa.int32()), pa.array([own[a:b].tobytes() for _, a, b in at], pa.binary()), pa.array([np.packbits(count[a:b] > 1).tobytes() for _, a, b in at], pa.binary())], names=["chunk", "lo", "hi", "bucket", "hashes", "again"])
 
 
+@cache
 def bucket_starts(buckets: int) -> np.ndarray:
     return np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)
 

@@ -22,7 +22,7 @@ MOST_BITS = 25  # cells of the table of counts, as a power of two, one byte each
 COMMON = 8  # level from which a word may be dense: more than 128 words fall into its cell
 DENSE = 128  # a word is dense if more sets of about one size have it in their prefixes
 ROUNDS = 3  # rounds, at most, in which a posting of a dense word meets one earlier posting only
-MOST_BROADCAST = 100_000  # sets asked for, or dense words, that are sent to every executor; more are joined by a shuffle
+MOST_BROADCAST = 10_000  # pairs, or dense words, that are sent to every executor; more are joined by a shuffle
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -122,20 +122,22 @@ def lines_of(table: DataFrame) -> DataFrame:
 def later_ones(spark: SparkSession, table: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int, known: DataFrame | None = None) -> DataFrame:
     """id of each set of ``pairs`` (a, b, differ), but those of ``known``, that is similar to an earlier one that it is paired with."""
     pairs = scratch.written(spark, pairs.distinct(), "line-pairs")
-    if pairs.isEmpty():
+    count = pairs.count()
+    if not count:
         return pairs.selectExpr("a AS id")
-    places = [sets.selectExpr(f"id AS {x}", f"place AS place_{x}") for x in "ab"]
-    before = "place_b < place_a"
-    oriented = pairs.join(places[0], "a").join(places[1], "b").selectExpr(f"if({before}, a, b) AS later", f"if({before}, b, a) AS earlier", "differ")
-    oriented = oriented if known is None else oriented.join(known.withColumnRenamed("id", "later"), "later", "left_anti")
-    close = scratch.written(spark, oriented.distinct(), "line-candidates")
-
-    ids = close.select(F.col("later").alias("id")).union(close.select("earlier")).distinct()
-    asked = scratch.written(spark, sets.join(ids, "id").select("id", "n", "place"), "line-asked")
-    few = asked.count() <= MOST_BROADCAST
+    sent = F.broadcast if count <= MOST_BROADCAST else lambda frame: frame
+    a, b = (sets.selectExpr(f"id AS {x}", f"struct(id, n, place) AS set_{x}") for x in "ab")
+    met = sent(sent(pairs).join(a, "a")).join(b, "b")
+    before = "set_b.place < set_a.place"
+    close = met.selectExpr(f"if({before}, set_a, set_b) AS late", f"if({before}, set_b, set_a) AS early", "differ")
+    close = close.selectExpr("late.id AS later", "early.id AS earlier", "differ", "late", "early")
+    close = close if known is None else close.join(known.withColumnRenamed("id", "later"), "later", "left_anti")
+    close = scratch.written(spark, close.dropDuplicates(["later", "earlier"]), "line-candidates")
+
+    asked = close.select("late.*").union(close.select("early.*")).distinct()
     of_text = asked.groupBy("place.key").agg(F.collect_list(F.struct("id", "n", "place.line")).alias("asked"))  # of one document
     words = "array_remove(array_distinct(split(lines[x.line], '[\\\\x20\\\\x09-\\\\x0D]+')), '')"
-    found = lines_of(table.select("key", "text").join(F.broadcast(of_text) if few else of_text, "key"))
+    found = lines_of(table.select("key", "text").join(sent(of_text), "key"))
     found = scratch.written(spark, found.selectExpr(f"inline(transform(asked, x -> struct(x.id, x.n, {words} AS words)))"), "line-words")
 
     def similar(candidates: DataFrame) -> DataFrame:
@@ -148,7 +150,7 @@ def later_ones(spark: SparkSession, table: DataFrame, sets: DataFrame, pairs: Da
     first = scratch.written(spark, similar(best), "line-later")
     rest = close.join(first.selectExpr("id AS later"), "later", "left_anti").join(best, ["later", "earlier"], "left_anti").select("later", "earlier")
     both = scratch.written(spark, first.unionByName(similar(rest)), "line-later")
-    for x in (pairs, close, asked, found, first):
+    for x in (pairs, close, found, first):
         scratch.forget(spark, x)
     return both
 

@@ -1,15 +1,18 @@
 """Quality rules: simple counts, and robust multivariate outliers for each language and source.
 
 Each document's counts become a vector of transformed statistics. For each language and source the minimum covariance
-determinant is approached by concentration steps from a deterministic start (medians and absolute deviations): each
-step takes the mean and covariance of the half of the group that lies nearest to the last estimate. All groups step
-together, as aggregations; no group is gathered into one task. Distances are scaled, up or down, to the median that
-they should have, the estimate is reweighted once, and vectors beyond a high quantile are rejected.
+determinant is sought by concentration steps from three deterministic starts: each step takes the mean and covariance
+of the half of the group that lies nearest to the last estimate, until the determinant falls no more; the fit with the
+least determinant wins. All groups step together, as aggregations; no group is gathered into one task. Distances are
+scaled, up or down, to the median that they should have, the estimate is reweighted once, and vectors beyond a high
+quantile are rejected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -114,10 +117,14 @@ def beside(rows: DataFrame, groups: DataFrame, sizes: DataFrame, few: bool) -> D
     return hot.unionByName(rows.join(large, "in_group", "left_anti").join(groups, "in_group"))
 
 
-def outlier_distances(spark: SparkSession, table: DataFrame, keys: list[str], floors: dict[str, float], *, steps: int = 4, least: int = 60) -> DataFrame:
+def outlier_distances(spark: SparkSession, table: DataFrame, keys: list[str], floors: dict[str, float], *, steps: int = 12, least: int = 60) -> DataFrame:
     """``table`` (keys and the statistics named in ``floors``) with distance2: squared robust distance within its group.
 
-    Groups of fewer than ``least`` rows are pooled by the first key; a pool that is still smaller gets null.
+    Each group's estimate starts from its medians with three scatters (of each statistic alone, of hyperbolic tangents, of
+    spatial signs), the deterministic starts of the minimum covariance determinant. From each, concentration steps fit
+    the nearer half again until no group's determinant falls any more, ``steps`` at most; of each group the fit with the
+    least determinant is kept, and reweighted. Groups of fewer than ``least`` rows are pooled by the first key; a pool
+    that is still smaller gets null. An empty table gives no rows.
     """
     names, d = list(floors), len(floors)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
@@ -127,52 +134,107 @@ def outlier_distances(spark: SparkSession, table: DataFrame, keys: list[str], fl
     pooled = F.when(F.col("size") >= least, F.col("in_group")).otherwise(F.to_json(F.struct(keys[0]), {"ignoreNullFields": "false"}))
     table = scratch.written(spark, beside(table, sizes, sizes, few).withColumn("in_group", pooled).drop("size"), "statistics")
     sizes = sizes if few else scratch.written(spark, table.groupBy("in_group").agg(F.count("*").alias("size")), "group-sizes")
+    matrix = [*[f"m{i}" for i in range(d)], *[f"q{i}_{j}" for i, j in pairs]]
+    schema = "in_group string, determinant double, " + ", ".join(f"{c} double" for c in matrix)
+
+    def solve(group: str, mean: np.ndarray, cov: np.ndarray) -> list:
+        cov = cov + np.diag(np.array(list(floors.values())) ** 2)  # keeps it invertible where a statistic is constant
+        inverse = np.linalg.inv(cov)
+        return [group, np.linalg.slogdet(cov)[1], *mean, *[inverse[i, j] for i, j in pairs]]
+
+    def moments(r: dict) -> np.ndarray:
+        """Second moments of a row of sums of products."""
+        out = np.zeros((d, d))
+        for i, j in pairs:
+            out[i, j] = out[j, i] = r[f"p{i}_{j}"] / r["n"]
+        return out
 
     def estimate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for r in f.to_dict("records"):
-                n = r["n"]
-                mean = np.array([r[f"s{i}"] for i in range(d)]) / n
-                cov = np.zeros((d, d))
-                for i, j in pairs:
-                    cov[i, j] = cov[j, i] = r[f"p{i}_{j}"] / n - mean[i] * mean[j]
-                cov += np.diag(np.array(list(floors.values())) ** 2)  # keeps it invertible where a statistic is constant
-                inverse = np.linalg.inv(cov)
-                rows.append([r["in_group"], *mean, *[inverse[i, j] for i, j in pairs]])
-            yield pd.DataFrame(rows, columns=["in_group", *[f"m{i}" for i in range(d)], *[f"q{i}_{j}" for i, j in pairs]])
-
-    schema = "in_group string, " + ", ".join([*[f"m{i} double" for i in range(d)], *[f"q{i}_{j} double" for i, j in pairs]])
+                mean = np.array([r[f"s{i}"] for i in range(d)]) / r["n"]
+                rows.append(solve(r["in_group"], mean, moments(r) - np.outer(mean, mean)))
+            yield pd.DataFrame(rows, columns=["in_group", "determinant", *matrix])
 
-    def fitted(nearest: DataFrame) -> DataFrame:
-        sums = [F.sum(names[i]).alias(f"s{i}") for i in range(d)] + [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i, j in pairs]
-        return nearest.groupBy("in_group").agg(F.count("*").alias("n"), *sums).mapInPandas(estimate, schema)
+    def axes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Eigenvectors of each group's scatter."""
+        for f in frames:
+            rows = [[r["in_group"], *np.linalg.eigh(moments(r))[1].ravel()] for r in f.to_dict("records")]
+            yield pd.DataFrame(rows, columns=["in_group", *[f"e{i}_{k}" for i in range(d) for k in range(d)]])
+
+    def started(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Medians and absolute deviations along the axes, in the scales of the statistics."""
+        for f in frames:
+            rows = []
+            for r in f.to_dict("records"):
+                own = np.array([[r[f"e{i}_{k}"] for k in range(d)] for i in range(d)])
+                scale, mean = np.array([r[f"a{i}"] for i in range(d)]), np.array([r[f"c{i}"] for i in range(d)])
+                wide = np.diag([(1.4826 * r[f"w{k}"]) ** 2 for k in range(d)])
+                rows.append(solve(r["in_group"], mean + scale * (own @ [r[f"v{k}"] for k in range(d)]), own @ wide @ own.T * np.outer(scale, scale)))
+            yield pd.DataFrame(rows, columns=["in_group", "determinant", *matrix])
+
+    def sums(columns: list[Column]) -> list[Column]:
+        return [F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)], *[F.sum(columns[i] * columns[j]).alias(f"p{i}_{j}") for i, j in pairs]]
 
     def measured(estimates: DataFrame) -> DataFrame:
         away = [F.col(names[i]) - F.col(f"m{i}") for i in range(d)]
-        terms = [away[i] * away[j] * F.col(f"q{i}_{j}") * (1 if i == j else 2) for i, j in pairs]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
+        total = reduce(add, [away[i] * away[j] * F.col(f"q{i}_{j}") * (1 if i == j else 2) for i, j in pairs])
         return beside(table, estimates, sizes, few).withColumn("distance2", total).select(*table.columns, "distance2")
 
     def half(frame: DataFrame) -> DataFrame:
         return frame.groupBy("in_group").agg(F.percentile_approx("distance2", 0.5, 1000).alias("middle"), F.count("*").alias("rows"))
 
+    def fitted(nearest: DataFrame) -> DataFrame:
+        return nearest.groupBy("in_group").agg(*sums([F.col(c) for c in names])).mapInPandas(estimate, schema)
+
+    def concentrated(estimates: DataFrame) -> DataFrame:
+        """Steps until the sum of what the determinants fall by is nothing; a step that raises a group's is not taken."""
+        for _ in range(steps):
+            far = measured(estimates)
+            new = fitted(beside(far, half(far), sizes, few).where("distance2 <= middle"))
+            old = estimates.select("in_group", F.col("determinant").alias("before"), F.struct(*matrix).alias("old"))
+            both = new.join(old, "in_group").withColumn("fell", F.col("before") - F.col("determinant"))
+            better = F.col("fell") > 0
+            kept = [F.when(better, F.col(c)).otherwise(F.col(f"old.{c}")).alias(c) for c in matrix]
+            taken = scratch.written(spark, both.select("in_group", F.when(better, F.col("determinant")).otherwise(F.col("before")).alias("determinant"), F.when(better, F.col("fell")).otherwise(0.0).alias("fell"), *kept), "estimates")
+            estimates = taken.drop("fell")
+            if (taken.agg(F.max("fell")).head()[0] or 0) <= 1e-6:
+                break
+        return estimates
+
     middle = table.groupBy("in_group").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"c{i}") for i, c in enumerate(names)])
     off = beside(table, middle, sizes, few)
-    spread = off.groupBy("in_group").agg(*[F.first(f"c{i}").alias(f"m{i}") for i in range(d)], *[F.percentile_approx(F.abs(F.col(c) - F.col(f"c{i}")), 0.5, 1000).alias(f"a{i}") for i, c in enumerate(names)])
-    start = spread.select("in_group", *[f"m{i}" for i in range(d)], *[(1 / (F.pow(1.4826 * F.col(f"a{i}"), F.lit(2)) + floors[names[i]] ** 2) if i == j else F.lit(0.0)).alias(f"q{i}_{j}") for i, j in pairs])
-    estimates = scratch.written(spark, start, "estimates")
-    for _ in range(steps):
-        far = measured(estimates)
-        estimates = scratch.written(spark, fitted(beside(far, half(far), sizes, few).where("distance2 <= middle")), "estimates")
-    scale = quantile(d, 0.0)
+    spread = off.groupBy("in_group").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"c{i}")), 0.5, 1000).alias(f"a{i}") for i, c in enumerate(names)])
+    scale = middle.join(spread, "in_group").select("in_group", *[f"c{i}" for i in range(d)], *[(1.4826 * F.col(f"a{i}") + floors[names[i]]).alias(f"a{i}") for i in range(d)])
+    scale = scratch.written(spark, scale, "scales")
+    z = [(F.col(c) - F.col(f"c{i}")) / F.col(f"a{i}") for i, c in enumerate(names)]
+    length = F.sqrt(reduce(add, [x * x for x in z]) + 1e-12)
+    scatters = [[F.tanh(x) for x in z], [x / length for x in z]]
+    scaled = beside(table, scale, sizes, few)
+    every = None
+    for number in range(1 + len(scatters)):
+        if number:
+            found = scaled.groupBy("in_group").agg(*sums(scatters[number - 1])).mapInPandas(axes, "in_group string, " + ", ".join(f"e{i}_{k} double" for i in range(d) for k in range(d)))
+        else:
+            found = scale.select("in_group", *[F.lit(float(i == k)).alias(f"e{i}_{k}") for i in range(d) for k in range(d)])
+        found = scratch.written(spark, found.join(scale, "in_group"), "axes")
+        along = beside(table, found, sizes, few).select("in_group", *[reduce(add, [z[i] * F.col(f"e{i}_{k}") for i in range(d)]).alias(f"u{k}") for k in range(d)])
+        centre = scratch.written(spark, along.groupBy("in_group").agg(*[F.percentile_approx(f"u{k}", 0.5, 1000).alias(f"v{k}") for k in range(d)]), "centres")
+        wide = beside(along, centre, sizes, few).groupBy("in_group").agg(*[F.percentile_approx(F.abs(F.col(f"u{k}") - F.col(f"v{k}")), 0.5, 1000).alias(f"w{k}") for k in range(d)])
+        one = scratch.written(spark, found.join(centre, "in_group").join(wide, "in_group").mapInPandas(started, schema), "estimates")
+        far = measured(one)  # the scatter of a start is no fit: the first step is always taken
+        one = concentrated(scratch.written(spark, fitted(beside(far, half(far), sizes, few).where("distance2 <= middle")), "estimates")).withColumn("start", F.lit(number))
+        every = one if every is None else every.unionByName(one)
+    best = every.groupBy("in_group").agg(F.min(F.struct("determinant", "start", *matrix)).alias("best"))  # three rows a group
+    estimates = scratch.written(spark, best.select("in_group", "best.determinant", *[f"best.{c}" for c in matrix]), "estimates")
+
+    size = quantile(d, 0.0)
     far = measured(estimates)
-    near = beside(far, half(far), sizes, few).where(F.col("distance2") * scale <= F.greatest("middle", F.lit(1e-9)) * quantile(d, 1.96))
+    near = beside(far, half(far), sizes, few).where(F.col("distance2") * size <= F.greatest("middle", F.lit(1e-9)) * quantile(d, 1.96))
     estimates = scratch.written(spark, fitted(near), "estimates")
     last = measured(estimates)
-    middle = half(last).withColumn("by", F.when(F.col("rows") >= least, scale / F.greatest("middle", F.lit(quantile(1, 0.0)))))  # at least as if one statistic varied: a group of copies has no scale
+    middle = half(last).withColumn("by", F.when(F.col("rows") >= least, size / F.greatest("middle", F.lit(quantile(1, 0.0)))))  # at least as if one statistic varied: a group of copies has no scale
     return beside(last, middle, sizes, few).withColumn("distance2", F.col("distance2") * F.col("by")).drop("in_group", "middle", "rows", "by")
 
 

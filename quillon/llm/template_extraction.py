@@ -23,7 +23,11 @@ from pyspark.sql import functions as F
 
 from quillon.llm import scratch
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_aside = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+_strict = re.compile(_aside + r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_loose = re.compile(_aside + r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)  # quotes do not matter
+_rest = re.compile(_aside + r"|(\b\B)?(\b\B)?(\b\B)?(?:[^<]+|<)", re.S)  # where no tag can end any more; the groups are empty
+_opens = re.compile(r"</?[A-Za-z]")
 _named = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _split = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -39,6 +43,7 @@ _closes = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _scopes = frozenset("ul ol dl table select article section div main body nav aside".split())
 
 
+DEEPEST = 512  # levels of nesting that paths tell apart, and that an end tag looks back
 LEAST_PAGES = 3  # different pages of a host of which equal words say something
 MOST_BROADCAST = 64 << 20  # characters of host names and paths that are sent to every executor; more are joined by a shuffle
 
@@ -52,6 +57,22 @@ class Page:
     chars: Counter = field(default_factory=Counter)
 
 
+def tokens(source: str) -> Iterator[re.Match]:
+    """Tags, comments and text, in time linear in the page: from a tag whose quotes are never closed on, quotes are letters."""
+    last = source.rfind(">") + 1
+    at = 0
+    for pattern in (_strict, _loose):
+        for m in pattern.finditer(source, at, last):
+            if pattern is _strict and m[0] == "<" and _opens.match(source, m.start(), last):
+                at = m.start()
+                break
+            yield m
+        else:
+            at = last
+            break
+    yield from _rest.finditer(source, last)
+
+
 def parse(source: str) -> Page:
     """Slots and tokens of one page, whatever state its markup is in."""
     page = Page()
@@ -77,8 +98,8 @@ def parse(source: str) -> Page:
         flush()
         del stack[to:]
 
-    for m in _token.finditer(source):
-        name = m[2]
+    for m in tokens(source):
+        name = m[2] or None
         if raw:
             if not (name and m[1] and name.lower() == raw):
                 continue
@@ -93,7 +114,7 @@ def parse(source: str) -> Page:
         if name in INLINE:
             continue
         if m[1]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            at = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEPEST), -1) if stack[i][0] == name), None)
             pop(at if at is not None else len(stack))
             continue
         flush()
@@ -101,7 +122,7 @@ def parse(source: str) -> Page:
             continue
         if name not in VOID:
             ends = _closes.get(name, set())
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEPEST), -1):
                 if stack[i][0] in ends or stack[i][0] == "p":
                     pop(i)
                     break
@@ -122,7 +143,7 @@ def parse(source: str) -> Page:
         above = stack[-1] if stack else ("", "", False, False)
         if name == "header" and not above[3] or "header" in words and not above[3] and not main:
             skipped = True
-        path = f"{above[1]}/{label}" if above[1] else label
+        path = above[1] if len(stack) >= DEEPEST else f"{above[1]}/{label}" if above[1] else label
         page.tokens[path] += 1
         if name not in VOID:
             if name in RAW:

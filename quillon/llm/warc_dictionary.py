@@ -73,13 +73,16 @@ def records_of(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     if magic != DICTIONARY_FRAME:
         raise ValueError("the archive does not start with a dictionary frame")
     decompress = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content[8 : 8 + size]))
-    rest = memoryview(content)[8 + size :]
-    while len(rest):
-        reader = decompress.decompressobj()
-        data = reader.decompress(rest)
-        if not reader.eof:
-            raise ValueError("an archive's last frame is cut short")
-        rest = rest[len(rest) - len(reader.unused_data) :]
+    at = 8 + size
+    while at < len(content):
+        reader, parts, step = decompress.decompressobj(), [], 4096
+        while not reader.eof:
+            if at >= len(content):
+                raise ValueError("an archive's last frame is cut short")
+            parts.append(reader.decompress(content[at : at + step]))
+            at, step = min(len(content), at + step), 2 * step
+        at -= len(reader.unused_data)
+        data = b"".join(parts)
         head, _, tail = data.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         headers = dict(line.split(": ", 1) for line in lines[1:])
@@ -91,10 +94,10 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, *, id_col
 
     Of rows with equal payloads of at least ``least_bytes`` bytes, those with the largest id are responses and the
     others revisits of it; smaller payloads are all responses. A null payload is empty; null ids count as smallest and
-    rows that share id and payload are written once each, alike; a null url becomes a fixed URN. A file appears under
-    its name only when whole, so a lost or repeated task leaves none cut short. Returns path, records, bytes and
-    raw_bytes of the archives; an empty table writes none. ``folder`` is a URI that pyarrow's file systems can open on
-    every executor.
+    rows that share id and payload are written once each, alike; a null url becomes a fixed URN. Every attempt of a task
+    writes files of its own, which appear under their names only when whole; ``folder``/manifest, which Spark commits,
+    names those of the attempts that count. Returns it: path, records, bytes and raw_bytes of the archives; an empty
+    table writes none. ``folder`` is a URI that Spark and pyarrow's file systems can open on every executor.
     """
     rows = pages.select(F.col(id_column).alias("row_id"), F.col(url_column).alias("url"), F.coalesce(F.col(payload_column).cast("string"), F.lit("")).alias("payload"))
     keyed = rows.withColumn("digest", F.when(F.octet_length("payload") >= least_bytes, F.unhex(F.sha1(F.col("payload").cast("binary")))))
@@ -110,10 +113,10 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, *, id_col
         store, root = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://"))
 
         def flush() -> pa.RecordBatch:
-            name = f"part-{at.partitionId():06d}-{number:04d}.warc.zst"
+            name = f"part-{at.partitionId():06d}-{number:04d}-{at.taskAttemptId()}.warc.zst"
             info = record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name, "warcinfo")), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
             data = archive([info, *held], dictionary_size=dictionary_size, sample=sample, level=level)
-            tries = f"{root}/_tries-{name}-{at.taskAttemptId()}"
+            tries = f"{root}/_tries-{name}"
             with store.open_output_stream(tries) as out:
                 out.write(data)
             store.move(tries, f"{root}/{name}")
@@ -131,18 +134,27 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, *, id_col
         if held:
             yield flush()
 
-    return scratch.written(spark, todo.mapInArrow(run, "path string, records long, bytes long, raw_bytes long"), "warc-manifest")
+    todo.mapInArrow(run, "path string, records long, bytes long, raw_bytes long").write.mode("overwrite").parquet(f"{folder}/manifest")
+    return spark.read.parquet(f"{folder}/manifest")
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Read every page record back: row_id, type, url, payload_bytes, payload_digest, refers_to, payload (null for revisits), digest_ok."""
+    """Every page record of the archives that the manifest in ``folder`` names: row_id, type, url, payload_bytes,
+    payload_digest, refers_to, payload (null for revisits), digest_ok.
+
+    Files that it doesn't name, such as those of lost attempts, are not read; an empty manifest gives no rows. A null id
+    comes back as null, a null payload as an empty one, and of rows that repeat each record comes back.
+    """
     schema = pa.schema([("row_id", pa.int64()), ("type", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("digest_ok", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for path in batch.column(0).to_pylist():
                 rows = []
-                for head, block in records_of(content.as_py()):
+                store, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://"))
+                with store.open_input_stream(name) as file:
+                    content = file.read()
+                for head, block in records_of(content):
                     if head["WARC-Type"] == "warcinfo":
                         continue
                     http, _, payload = block.partition(b"\r\n\r\n")
@@ -153,8 +165,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     rows.append({"row_id": int(x) if (x := head.get("Quillon-Row-Id")) else None, "type": head["WARC-Type"], "url": head["WARC-Target-URI"], "payload_bytes": length, "payload_digest": digest, "refers_to": None if response else int(head["Quillon-Refers-To-Row"]), "payload": payload if response else None, "digest_ok": ok})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    return files.select("content").mapInArrow(run, T.StructType([T.StructField(f.name, {pa.int64(): T.LongType(), pa.string(): T.StringType(), pa.binary(): T.BinaryType(), pa.bool_(): T.BooleanType()}[f.type]) for f in schema]))
+    files = spark.read.parquet(f"{folder}/manifest").select("path").repartition("path")
+    return files.mapInArrow(run, T.StructType([T.StructField(f.name, {pa.int64(): T.LongType(), pa.string(): T.StringType(), pa.binary(): T.BinaryType(), pa.bool_(): T.BooleanType()}[f.type]) for f in schema]))
 
 
 def op2_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

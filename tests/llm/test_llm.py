@@ -266,7 +266,7 @@ def test_packing(spark, docs, none):
     assert bestfit_packing.pack(spark, none).count() == 0
 
 
-@pytest.mark.parametrize("text", ["", "a <|endoftext|> b", "日本語 text", "x" * 5000, "it's 12 °C\r\n\x85 ¼   ok", "\x1c\x1d aɀɐ"])
+@pytest.mark.parametrize("text", ["", "a <|endoftext|> b", "日本語 text", "x" * 5000, "it's 12 °C\r\n\x85 ¼   ok", "\x1c\x1d aɀɐ", " " * 2_000_000, "a" + "\t" * 1_200_000 + "b"], ids=lambda x: str(len(x)))
 def test_ids_are_those_of_the_tokenizer(text):
     from tokenizers import Tokenizer
     import public_tokenizers
@@ -294,6 +294,21 @@ def test_warc_round_trip(spark, tmp_path):
         assert r["refers_to"] == (None if response else last[html or ""]) and (not response or (bytes(r["payload"]) == data and r["digest_ok"]))
 
 
+def test_files_of_lost_attempts_are_not_read(spark, tmp_path, none):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 50) for i in range(20)] + [(3, "u", "<p>3</p>" * 50)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/warc"
+    made = warc_dictionary.write_archives(spark, pages, folder)
+    path = made.head()["path"].removeprefix("file://")
+    for name in ("part-000000-0000-99999.warc.zst", "part-000007-0001-5.warc.zst", "_tries-part-000000-0000-3.warc.zst"):  # whole and cut short
+        with open(path, "rb") as whole, open(f"{tmp_path}/warc/{name}", "wb") as copy:
+            copy.write(whole.read()[: None if "99999" in name else 40])
+    rows = warc_dictionary.read_archives(spark, folder).collect()
+    assert sorted(r["row_id"] for r in rows) == sorted([*range(20), 3]) and all(r["type"] == "response" for r in rows)
+    empty = f"file://{tmp_path}/none"
+    assert warc_dictionary.write_archives(spark, pages.where("false"), empty).count() == 0
+    assert warc_dictionary.read_archives(spark, empty).count() == 0
+
+
 def test_archive_starts_with_its_dictionary():
     data = warc_dictionary.archive([b"WARC/1.1\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"])
     assert int.from_bytes(data[:4], "little") == warc_dictionary.DICTIONARY_FRAME
@@ -377,6 +392,33 @@ def test_outliers_are_found_though_they_spread_the_group(spark, monkeypatch, mos
     assert far[got.doc_id < 100].all() and far[got.doc_id >= 100].mean() < 0.02
 
 
+def test_distances_are_those_of_the_least_determinant(spark):
+    """Against the best of many random starts, on groups of which a third lies apart."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for g in range(3):
+        x = rng.multivariate_normal([0, 0], [[1, 0.8], [0.8, 1]], 90)
+        x[:30] = rng.multivariate_normal([2 + g, -2], [[0.2, 0], [0, 0.2]], 30)
+        best = None
+        for _ in range(200):
+            near = rng.choice(90, 3, replace=False)
+            for _ in range(30):
+                mean, cov = x[near].mean(0), np.cov(x[near].T, bias=True) + 1e-4 * np.eye(2)
+                far = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+                near = np.argsort(far)[:45]
+            fit = np.cov(x[near].T, bias=True) + 1e-4 * np.eye(2)
+            if best is None or np.linalg.det(fit) < best[0]:
+                best = np.linalg.det(fit), set(np.argsort(far)[60:].tolist())
+        want[f"g{g}"] = best[1]
+        rows += [(i, f"g{g}", "s", float(a), float(b)) for i, (a, b) in enumerate(x)]
+    frame = spark.createDataFrame(rows, "doc_id int, lang string, source string, a double, b double")
+    got = robust_outliers.outlier_distances(spark, frame, ["lang", "source"], {"a": 0.01, "b": 0.01}).toPandas()
+    for g, apart in want.items():
+        own = got[got.lang == g].sort_values("distance2")
+        assert len(set(own.doc_id[-30:]) & apart) >= 28
+        assert set(own.doc_id[-28:]) <= set(range(30))
+
+
 def test_one_statistic_alone_rejects(spark):
     rng = np.random.default_rng(4)
     names, n = list(robust_outliers.FLOORS), 400
@@ -438,6 +480,31 @@ def test_pages(spark):
     assert (got[9]["text"], got[10]["text"], got[11]["text"]) == ("", "", "alone page")
 
 
+def test_markup_is_read_in_linear_time():
+    import time
+
+    began = time.process_time()
+    for source in ("<a " * 350_000, "<a '" * 250_000 + ">", "<p>x" * 100_000, "<!--" * 250_000, '<a "' * 100_000 + "<p>end</p>", "<center>" * 50_000 + "deep" + "</x>" * 50_000, "</p>" * 200_000):
+        template_extraction.parse(source)
+    assert time.process_time() - began < 30
+    assert [x[1] for x in template_extraction.parse('<p>one <b>two</b> a < b<p title="x>y">three').slots] == ["one two a < b", "three"]
+    assert [x[1] for x in template_extraction.parse('<p>a</p><a href="x>tail <p>b</p>').slots] == ["a", "tail", "b"]
+
+
+UNNAMED = """<html><body><div class="a1"><ul><li>Home</li><li>News</li></ul></div><div class="b2">Read our terms before use</div>
+<div class="c3"><h2>Piece {0}</h2><p>Story {0} about {1} things.</p><p>More {1}.</p></div><div class="d4">Copyright Example</div></body></html>"""
+
+
+def test_unnamed_pages_give_only_the_article(spark, monkeypatch):
+    rows = [(i, f"http://u.example/{i}", UNNAMED.format(f"n{i}", f"m{i * i}")) for i in range(6)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in template_extraction.extract(spark, frame).collect()}
+    assert got == {i: f"Piece n{i} Story n{i} about m{i * i} things. More m{i * i}." for i in range(6)}
+    twice = template_extraction.extract(spark, frame.unionByName(frame)).collect()
+    assert collections.Counter(r["text"] for r in twice) == collections.Counter({t: 2 for t in got.values()})
+    assert template_extraction.extract(spark, frame.where("false")).count() == 0
+
+
 NEUTRAL = """<body><div class=c7>Free shipping on all orders</div><div class=c1><ul><li>Home<li>About us</ul></div>
 <div class=c2><h2>Title {0}</h2><p>Body text {0} of {0}</p><div class=c8>Read this too</div><p>and all the same end</p></div><div class=c9>Made by us</div></body>"""
 
