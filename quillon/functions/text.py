@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,7 +46,8 @@ def is_substantive(x: Column) -> Column:
 def is_prose(x: Column) -> Column:
     """Not a row of a table or a table of contents."""
     pipes = F.char_length(x) - F.char_length(F.replace(x, F.lit("|"), F.lit("")))
-    return ~x.rlike(r"\.{6,}") & (pipes < 7) & ~x.rlike(r"\|\s*\|\s*\|") & x.rlike(r"\p{L}{2,}")
+    empty = F.size(F.regexp_extract_all(x, F.lit(r"(?U)\|\s*\|"), F.lit(0)))  # empty cells, wherever they are
+    return ~x.rlike(r"\.{6,}") & (pipes < 7) & (empty < 2) & x.rlike("[A-Za-z가-힣]{2,}")
 
 
 def marker_pattern(marker: str) -> str:
@@ -79,8 +81,8 @@ def comparable(x: Column) -> Column:
 
 
 def date_key(x: Column) -> Column:
-    """YYYYMMDD of a date written YYYY. M. D. or with "-" or "/"; null if unreadable or not in the calendar."""
-    part = lambda i: F.regexp_extract(x, r"^\s*(\d{4})\s*[./-]\s*(\d{1,2})\s*[./-]\s*(\d{1,2})\s*\.?\s*$", i)
+    """YYYYMMDD of a date written YYYY. M. D.; null if unreadable or not in the calendar."""
+    part = lambda i: F.regexp_extract(x, r"^\s*(\d{4})\s*\.\s*(\d{1,2})\s*\.\s*(\d{1,2})\s*\.?\s*$", i)
     text = F.concat(part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))
     return F.when(F.try_to_timestamp(text, F.lit("yyyyMMdd")).isNotNull() & (text != ""), text)
 
@@ -91,10 +93,24 @@ def rollup_parent(x: Column, separator: str = "-") -> Column:
     return F.when(x.contains(separator), F.regexp_replace(x, rf"{quoted}(?:(?!{quoted}).)*$", ""))
 
 
+#: Suffixes of revised files, the first that fits is cut off.
+REVISION_SUFFIXES = ("_수정", "_rev", "_revised", "_v2", "_v3", "_최종", "_회신", "_re")
+
+
 def original_name(x: Column) -> Column:
     """File name without extension and without one revision suffix."""
-    stem = F.regexp_replace(x, r"\.[^.\\/]+$", "")
-    return F.regexp_replace(stem, r"(?i)[ _-]*(?:\(?(?:rev|ver|v|r)\.?\s*\d+(?:\.\d+)*\)?|\(\d+\)|final|copy)$", "")
+    stem = F.regexp_replace(x, r"\.[^.]+$", "")
+    return F.regexp_replace(stem, f"(?:{'|'.join(REVISION_SUFFIXES)})$", "")
+
+
+def broken(*patterns: str | None) -> bool:
+    """Whether one of the patterns can't be read."""
+    try:
+        for p in patterns:
+            re.compile(p or "")
+    except re.error:
+        return True
+    return False
 
 
 def version_order(x: Column) -> Column:
@@ -108,7 +124,7 @@ def without_reasoning(x: Column) -> Column:
 
 
 def one_object(text: str | None, keys: set[str] | None = None, most_failures: int = 500) -> str | None:
-    """The one JSON object in a model's answer, as JSON; null where there is none or where several differ.
+    """The one JSON object in a model's answer, as JSON; null where there is none or where several differ in more than white space.
 
     Scanning stops after ``most_failures`` failed starts in a row. A lone object inside another one is unwrapped once.
     """
@@ -122,12 +138,13 @@ def one_object(text: str | None, keys: set[str] | None = None, most_failures: in
             if keys and not keys & value.keys() and len(value) == 1 and isinstance(inner := next(iter(value.values())), dict):
                 value = inner
             if not keys or keys & value.keys():
-                found[json.dumps(value, sort_keys=True, ensure_ascii=False)] = value
+                whole = json.dumps(value, sort_keys=True, ensure_ascii=False)
+                found.setdefault(" ".join(whole.split()), whole)
             at = text.find("{", end)
-        except ValueError:
+        except (ValueError, RecursionError):  # nested too deeply
             failures += 1
             at = text.find("{", at + 1)
-    return next(iter(found)) if len(found) == 1 else None
+    return next(iter(found.values())) if len(found) == 1 else None
 
 
 def json_object(keys: set[str] | None = None):

@@ -74,6 +74,17 @@ def nondecreasing(values: DataFrame) -> DataFrame:
     return keyed.withColumn("before", before).where("key < before").select("case_id", "pos", "output_key", "key", "before")
 
 
+def order_verdicts(values: DataFrame) -> DataFrame:
+    """case_id, wrong (outputs whose date is before the readable one in front of them), unread, verdict. Needs case_id, pos, output_key, value.
+
+    A date out of order counts for more than one that is missing or can't be read, which leaves the case unreviewed.
+    """
+    wrong = nondecreasing(values).groupBy("case_id").agg(F.array_sort(F.collect_list("output_key")).alias("wrong"))
+    own = values.withColumn("key", date_key(F.col("value"))).groupBy("case_id").agg(F.count_if(F.col("key").isNull()).alias("unread"))
+    out = own.join(wrong, "case_id", "left").withColumn("wrong", F.coalesce("wrong", F.array().cast("array<string>")))
+    return out.select("case_id", "wrong", "unread", F.when(F.size("wrong") > 0, "differs").when(F.col("unread") > 0, "unreviewed").otherwise("same").alias("verdict"))
+
+
 def abbreviations(used: DataFrame, listed: DataFrame, heads: DataFrame, ignore: list[str], lower: DataFrame) -> DataFrame:
     """doc_id, word, kind: unregistered (used but not listed) and unused (heads a line of the list but isn't used). All inputs: doc_id, word.
 
@@ -158,14 +169,22 @@ def matched_findings(prior: DataFrame, new: DataFrame, blind: DataFrame) -> Data
 
 
 def carried_verdicts(new: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """New findings (id, key) with the verdict "not applicable" of an earlier finding of the same key, no other. verdicts: key, verdict."""
-    kept = verdicts.where("verdict = 'not applicable'").select("key", "verdict").distinct()
-    return new.join(kept, "key", "left").select("id", "key", "verdict")
+    """New findings (id, key) with the verdict "not applicable" of an earlier finding, no other. verdicts: key, verdict.
+
+    Keys that name quotes fit if checker and any one quote are the same; others only as a whole. Null keys carry nothing.
+    """
+    parts = F.split("key", "\u001f")
+    quoted = F.when(F.startswith("key", F.lit("q\u001f")), F.transform(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))), lambda q: F.concat_ws("\u001f", F.get(parts, 1), q)))
+    shares = F.explode(F.when(quoted.isNull(), F.array("key")).otherwise(F.filter(quoted, lambda q: ~q.endswith("\u001f"))))
+    kept = verdicts.where("verdict = 'not applicable' AND key IS NOT NULL").select(shares.alias("share")).distinct()
+    carried = new.select("id", shares.alias("share")).join(kept, "share", "left_semi").select("id").distinct().withColumn("verdict", F.lit("not applicable"))
+    return new.join(carried, "id", "left").select("id", "key", "verdict")
 
 
 def prior_entry(names: DataFrame, history: DataFrame) -> DataFrame:
-    """The newest history entry (entry_id, title) whose title is or holds each name (name_id, name)."""
-    met = names.join(history, F.col("title").contains(F.col("name")), "left")
+    """The newest history entry (entry_id, title) whose title, without its extension, is or holds each name (name_id, name); an empty or null name has none."""
+    titles = history.select("entry_id", F.regexp_replace("title", r"\.[^.]+$", "").alias("title"))
+    met = names.join(titles, F.col("title").contains(F.col("name")) & (F.col("name") != ""), "left")
     return met.groupBy("name_id", "name").agg(F.max("entry_id").alias("entry_id"))
 
 

@@ -111,3 +111,30 @@ def report_json(findings: DataFrame) -> DataFrame:
     item = F.struct(severity_rank().alias("rank"), "seq", "severity", "message")
     own = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.count_if(F.col("severity") == "major").alias("major"), F.count_if(F.col("severity") == "minor").alias("minor"), F.count_if(F.col("severity") == "info").alias("info"))
     return own.select("doc_id", F.to_json(F.struct(F.struct("major", "minor", "info").alias("counts"), F.transform("items", lambda s: F.struct(s["severity"].alias("severity"), s["message"].alias("message"))).alias("findings"))).alias("report"))
+
+
+#: How a matrix's states are written.
+STATUS_LABELS = {"linked": "✅ 연결됨", "missing": "❌ 누락", "orphan": "⚠️ 근거없음", "out_of_scope": "➖ 범위 밖", "rolled_up": "🔗 부모 수준 검증"}
+
+
+def report_markdown(findings: DataFrame) -> DataFrame:
+    """doc_id, report: a heading, the number of findings by severity, and a line for each finding, majors first."""
+    line = F.struct(severity_rank().alias("rank"), "seq", F.concat(F.lit("- **["), "severity", F.lit("]** "), "message").alias("line"))
+    own = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("lines"), *[F.count_if(F.col("severity") == s).alias(s) for s in ("major", "minor", "info")])
+    head = F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.concat_ws(", ", *[F.concat(F.lit(f"{s} "), F.col(s)) for s in ("major", "minor", "info")]), F.lit("\n\n"))
+    return own.select("doc_id", F.concat(head, F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n")).alias("report"))
+
+
+def matrix_reports(rtm: DataFrame) -> DataFrame:
+    """run_id, markdown, json of each traceability matrix (run_id, ord, upper_id, lower_ids, status): every row, whatever its state, and the counts.
+
+    A null upper_id, as orphans have, is a dash; no lower ids are written as such.
+    """
+    states = list(STATUS_LABELS)
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", "upper_id", "lower_ids", "status"))), lambda r: F.struct(r["upper_id"].alias("upper_id"), r["lower_ids"].alias("lower_ids"), r["status"].alias("status")))
+    own = rtm.groupBy("run_id").agg(rows.alias("rtm"), F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in states])
+    label = lambda s: F.element_at(F.create_map(*[F.lit(x) for kv in STATUS_LABELS.items() for x in kv]), s)
+    line = lambda r: F.concat(F.lit("| "), F.coalesce(r["upper_id"], F.lit("—")), F.lit(" | "), F.when(F.size(r["lower_ids"]) > 0, F.array_join(r["lower_ids"], ", ")).otherwise("(없음)"), F.lit(" | "), label(r["status"]), F.lit(" |"))
+    counts = F.concat_ws(", ", F.concat(F.lit("total "), "total"), *[F.concat(F.lit(f"{s} "), F.col(s)) for s in states])
+    text = F.concat(counts, F.lit("\n\n| 상위 ID | 하위 연결 | 상태 |\n|---|---|---|\n"), F.array_join(F.transform("rtm", line), "\n"), F.lit("\n"))
+    return own.select("run_id", text.alias("markdown"), F.to_json(F.struct(F.struct("total", *states).alias("summary"), "rtm"), {"ignoreNullFields": "false"}).alias("json"))

@@ -200,7 +200,7 @@ def notation_pattern(spark: SparkSession, sf: str) -> DataFrame:
     return rules.text_pattern(sections_of(spark, sf), find=r"[A-Z][a-z]+\.", must=r"[A-Z][a-z]{0,5}\.", most=3)
 
 
-@query(r"WITH s AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(url, '^.*[\\/]', ''), '\.[^.]+$', '') AS stem FROM pages) SELECT doc_id, NULL::BIGINT AS ord, 'minor' AS severity, 'filename' AS kind, stem AS quote, 'pattern' AS detail, false AS unreviewed FROM s WHERE NOT regexp_full_match(stem, '[0-9]+') UNION ALL SELECT doc_id, NULL, 'minor', 'filename', stem, 'TOP', false FROM s WHERE contains(lower(stem), 'top')")
+@query(r"WITH s AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(url, '^.*[\\/]', ''), '\.[^.]+$', '') AS stem FROM pages) SELECT doc_id, NULL::BIGINT AS ord, 'major' AS severity, 'filename' AS kind, stem AS quote, 'pattern' AS detail, false AS unreviewed FROM s WHERE NOT regexp_full_match(stem, '[0-9]+') UNION ALL SELECT doc_id, NULL, 'minor', 'filename', stem, 'TOP', false FROM s WHERE contains(lower(stem), 'top')")
 def file_names(spark: SparkSession, sf: str) -> DataFrame:
     return rules.file_names(read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("name")), "[0-9]+", ["TOP"])
 
@@ -235,30 +235,55 @@ def values_of(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(c.select(k.alias("doc_id"), F.lit("segment").alias("field"), F.when(k % 5 == 0, " ").otherwise(F.col("c_mktsegment")).alias("value"), (k % 11 != 0).alias("found")))
 
 
-@query(f"WITH {VALUES}, s AS (SELECT *, CASE WHEN NOT found THEN 'absent' WHEN trim(value) = '' AND field = 'segment' THEN 'blank' WHEN trim(value) = '' THEN 'fine' WHEN field = 'name' AND NOT regexp_full_match(value, '.*[0-4]') THEN 'pattern' WHEN field = 'segment' AND replace(value, ' ', '') <> 'BUILDING' THEN 'equals' ELSE 'fine' END AS state FROM fv) SELECT doc_id, NULL::BIGINT AS ord, CASE state WHEN 'absent' THEN 'info' WHEN 'blank' THEN 'major' ELSE 'minor' END AS severity, 'field' AS kind, value AS quote, field || ':' || state AS detail, state = 'absent' AS unreviewed FROM s WHERE state <> 'fine'")
+@query(f"""WITH {VALUES}, s AS (SELECT doc_id, field, found, trim(value) AS value FROM fv), t AS (SELECT *, CASE WHEN NOT found THEN ['absent'] WHEN value = '' THEN CASE WHEN field = 'segment' THEN ['blank'] ELSE [] END
+ WHEN field = 'name' THEN list_concat(CASE WHEN regexp_full_match(value, '.*[0-4]') THEN [] ELSE ['pattern'] END, ['unknown format'])
+ ELSE list_concat(CASE WHEN regexp_full_match(value, 'B.*|M.*') THEN [] ELSE ['pattern'] END, CASE WHEN replace(value, ' ', '') = 'BUILDING' THEN [] ELSE ['equals'] END) END AS states FROM s), e AS (SELECT *, unnest(states) AS state FROM t)
+SELECT doc_id, NULL::BIGINT AS ord, CASE WHEN state IN ('absent', 'unknown format') THEN 'info' ELSE 'major' END AS severity, 'field' AS kind, value AS quote, field || ':' || state AS detail, state IN ('absent', 'unknown format') AS unreviewed FROM e""")
 def field_presence(spark: SparkSession, sf: str) -> DataFrame:
-    specs = spark.createDataFrame([("name", False, ".*[0-4]", None), ("segment", True, None, "BUILD ING")], "field string, required boolean, pattern string, equals string")
+    specs = spark.createDataFrame([("name", False, ".*[0-4]", "time", None), ("segment", True, "B.*|M.*", None, "BUILD ING")], "field string, required boolean, pattern string, format string, equals string")
     return rules.field_presence(values_of(spark, sf), specs)
 
 
-@query("WITH d AS (SELECT l_orderkey * 10 + l_linenumber AS doc_id, strftime(o_orderdate, '%Y. %-m. %-d.') AS start_text, CASE WHEN l_orderkey % 9 = 0 THEN '2001. 13. 1.' WHEN l_orderkey % 4 = 0 THEN strftime(o_orderdate - INTERVAL 3 DAY, '%Y-%m-%d') ELSE strftime(l_shipdate, '%Y/%m/%d') END AS end_text, o_orderdate AS a, CASE WHEN l_orderkey % 9 = 0 THEN NULL WHEN l_orderkey % 4 = 0 THEN o_orderdate - INTERVAL 3 DAY ELSE l_shipdate END AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT doc_id, NULL::BIGINT AS ord, CASE WHEN b IS NULL THEN 'info' ELSE 'minor' END AS severity, 'date_range' AS kind, start_text || ' ~ ' || end_text AS quote, CASE WHEN b IS NULL THEN 'unreadable' ELSE 'reversed' END AS detail, b IS NULL AS unreviewed FROM d WHERE b IS NULL OR a::DATE > b::DATE")
+@query("""WITH d AS (SELECT l_orderkey * 10 + l_linenumber AS doc_id, strftime(o_orderdate, '%Y. %-m. %-d.') AS start_text, CASE WHEN l_orderkey % 9 = 0 THEN '2001. 13. 1.' WHEN l_orderkey % 4 = 0 THEN strftime(o_orderdate - INTERVAL 3 DAY, '%Y.%m.%d') WHEN l_orderkey % 7 = 0 THEN strftime(l_shipdate, '%Y-%m-%d') ELSE strftime(l_shipdate, '%Y .%m .%d .') END AS end_text, o_orderdate AS a,
+ CASE WHEN l_orderkey % 9 = 0 THEN NULL WHEN l_orderkey % 4 = 0 THEN o_orderdate - INTERVAL 3 DAY WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_shipdate END AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT doc_id, NULL::BIGINT AS ord, 'major' AS severity, 'date_range' AS kind, start_text || ' ~ ' || end_text AS quote, CASE WHEN b IS NULL THEN 'unreadable' ELSE 'reversed' END AS detail, false AS unreviewed FROM d WHERE b IS NULL OR a::DATE > b::DATE""")
 def date_ranges(spark: SparkSession, sf: str) -> DataFrame:
     both = read(spark, sf, "lineitem").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     k = F.col("l_orderkey")
-    end = F.when(k % 9 == 0, "2001. 13. 1.").when(k % 4 == 0, F.date_format(F.expr("o_orderdate - interval 3 days"), "yyyy-MM-dd")).otherwise(F.date_format("l_shipdate", "yyyy/MM/dd"))
+    end = F.when(k % 9 == 0, "2001. 13. 1.").when(k % 4 == 0, F.date_format(F.expr("o_orderdate - interval 3 days"), "yyyy.MM.dd"))
+    end = end.when(k % 7 == 0, F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise(F.date_format("l_shipdate", "yyyy .MM .dd ."))
     return rules.date_ranges(both.select((k * 10 + F.col("l_linenumber")).alias("doc_id"), F.date_format("o_orderdate", "y. M. d.").alias("start_text"), end.alias("end_text")))
 
 
-@query("WITH " + LINES + r" SELECT doc_id, line_no::INT AS line_no, NOT regexp_matches(line, '\.{6,}') AND length(line) - length(replace(line, '|', '')) < 7 AND NOT regexp_matches(line, '\|\s*\|\s*\|') AND regexp_matches(line, '\pL{2,}') AS prose, length(trim(regexp_replace(line, '\s+', ' ', 'g'))) >= 4 AND regexp_matches(line, '[\pL\pN]') AS substantive FROM l")
+@query("WITH " + LINES + r" SELECT doc_id, line_no::INT AS line_no, NOT regexp_matches(line, '\.{6,}') AND length(line) - length(replace(line, '|', '')) < 7 AND len(regexp_extract_all(line, '\|\s*\|')) < 2 AND regexp_matches(line, '[A-Za-z가-힣]{2,}') AS prose, length(trim(regexp_replace(line, '\s+', ' ', 'g'))) >= 4 AND regexp_matches(line, '[\pL\pN]') AS substantive FROM l")
 def quotable_lines(spark: SparkSession, sf: str) -> DataFrame:
     return lines_of(spark, sf).select("doc_id", "line_no", fn.is_prose(F.col("line")).alias("prose"), fn.is_substantive(F.col("line")).alias("substantive"))
 
 
-@query("SELECT o_orderkey AS doc_id, list_filter(['red', 'blue green'], lambda x: (x = 'red' AND s % 2 = 0) OR (x <> 'red' AND s % 3 = 0)) AS selected, len(list_filter(['red', 'blue green'], lambda x: (x = 'red' AND s % 2 = 0) OR (x <> 'red' AND s % 3 = 0)))::INT AS n_selected FROM (SELECT o_orderkey, o_orderkey AS s FROM orders)")
-def checkboxes(spark: SparkSession, sf: str) -> DataFrame:
+BOXES = "bx AS (SELECT o_orderkey AS doc_id, o_orderkey % 5 <> 0 AS found, CASE WHEN o_orderkey % 5 = 0 THEN [] ELSE list_concat(CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 7 = 0 THEN ['red', 'red'] ELSE ['red'] END ELSE [] END, CASE WHEN o_orderkey % 3 = 0 THEN ['blue green'] ELSE [] END) END AS selected FROM orders)"
+
+
+def box_cells(spark: SparkSession, sf: str) -> DataFrame:
     o, k = read(spark, sf, "orders"), F.col("o_orderkey")
-    cells = o.select(k.alias("doc_id"), F.explode(F.array(F.when(k % 2 == 0, "■ red").otherwise("□ red"), F.when(k % 3 == 0, "☑ blue  green").otherwise("☐ blue green"))).alias("cell"))
-    return rules.checkboxes(cells, ["red", "blue green"])
+    red = F.when(k % 5 == 0, "□ other").when(k % 2 == 0, " ▣ red").otherwise("◯red")
+    again = F.when((k % 7 == 0) & (k % 2 == 0) & (k % 5 != 0), "✓red").otherwise("none")
+    blue = F.when(k % 5 == 0, "").when(k % 3 == 0, "⊠ blue  green").otherwise("▢ blue green")
+    return o.select(k.alias("doc_id"), F.explode(F.array(red, again, blue)).alias("cell"))
+
+
+@query(f"WITH {BOXES} SELECT doc_id, found, selected, len(selected)::INT AS n_selected FROM bx")
+def checkboxes(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.checkboxes(box_cells(spark, sf), ["red", "blue green"])
+
+
+@query(f"WITH {BOXES} SELECT doc_id, NULL::BIGINT AS ord, CASE WHEN found THEN 'major' ELSE 'info' END AS severity, 'checkbox' AS kind, array_to_string(selected, ' / ') AS quote, CASE WHEN NOT found THEN 'absent' WHEN len(selected) = 0 THEN 'none' ELSE 'several' END AS detail, NOT found AS unreviewed FROM bx WHERE NOT found OR len(selected) <> 1")
+def checkbox_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.checkbox_findings(rules.checkboxes(box_cells(spark, sf), ["red", "blue green"]))
+
+
+@query("WITH w(wanted) AS (VALUES ('the'), ('qu ality')), l AS (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS flat FROM documents) SELECT doc_id, NULL::BIGINT AS ord, 'major' AS severity, 'fixed_text' AS kind, NULL::VARCHAR AS quote, wanted AS detail, false AS unreviewed FROM l, w GROUP BY doc_id, wanted HAVING NOT bool_or(contains(flat, replace(wanted, ' ', '')))".replace("\\\\", "\\"))
+def fixed_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.fixed_texts(read(spark, sf, "documents").select("doc_id", "text"), ["the", "qu ality"])
 
 
 @query("SELECT p_partkey, p_name AS name, CASE WHEN regexp_matches(p_name, '1$') THEN 'draft' WHEN regexp_matches(p_name, '^.*2') THEN 'second' END AS reason, CASE WHEN regexp_matches(p_name, '1$') OR regexp_matches(p_name, '^.*2') THEN 'ignored' ELSE 'kept' END AS status FROM part")
@@ -289,12 +314,35 @@ def form_of(spark: SparkSession, sf: str) -> DataFrame:
     return grid.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("table_no"), "row_no", "col_no", cell.alias("cell"))
 
 
-@query(f"WITH {FORM}, s(field, label, place) AS (VALUES ('status', 'Status', 'right'), ('under', 'Priority', 'below'), ('none', 'Nothing', 'right')), d AS (SELECT DISTINCT doc_id FROM c), g AS (SELECT doc_id, field, label, place FROM d, s), h AS (SELECT g.*, row_no, col_no FROM g JOIN c ON c.doc_id = g.doc_id AND replace(cell, ' ', '') = label), b AS (SELECT h.doc_id, field, label, c.cell, row_number() OVER (PARTITION BY h.doc_id, field ORDER BY trim(c.cell) = '', c.row_no, c.col_no) AS t FROM h JOIN c ON c.doc_id = h.doc_id AND c.row_no = h.row_no + (place = 'below')::INT AND c.col_no = h.col_no + (place = 'right')::INT) SELECT g.doc_id, g.field, b.cell AS value, b.doc_id IS NOT NULL AS found, b.label AS matched_label FROM g LEFT JOIN b ON b.doc_id = g.doc_id AND b.field = g.field AND t = 1")
+@query(f"""WITH {FORM}, s(field, label, place) AS (VALUES ('status', 'Status', 'right'), ('under', 'Priority', 'below'), ('none', 'Nothing', 'right')), m AS MATERIALIZED (SELECT doc_id, row_no, col_no, cell, replace(cell, ' ', '') AS flat FROM c),
+h AS MATERIALIZED (SELECT doc_id, field, label, row_no + (place = 'below')::INT AS row_no, col_no + (place = 'right')::INT AS col_no FROM m JOIN s ON flat = label),
+b AS (SELECT doc_id, field, label, cell, row_number() OVER (PARTITION BY doc_id, field ORDER BY trim(cell) = '', row_no, col_no) AS t FROM h JOIN m USING (doc_id, row_no, col_no))
+SELECT o_orderkey AS doc_id, f.field, b.cell AS value, b.doc_id IS NOT NULL AS found, b.label AS matched_label FROM orders CROSS JOIN (SELECT field FROM s) f LEFT JOIN (SELECT * FROM b WHERE t = 1) b ON b.doc_id = o_orderkey AND b.field = f.field""")
 def labelled_fields(spark: SparkSession, sf: str) -> DataFrame:
     specs = spark.createDataFrame([("status", "Status", "right"), ("under", "Priority", "below"), ("none", "Nothing", "right")], "field string, label string, at string")
     return extraction.labelled_fields(form_of(spark, sf), specs)
 
 
+@query(f"""WITH {FORM}, o AS (SELECT o_orderkey AS k, o_orderstatus AS st, o_orderpriority AS pr FROM orders)
+SELECT k AS doc_id, 'status' AS field, CASE WHEN k % 3 = 0 THEN ' ' ELSE st END AS value, true AS found, 'Status' AS matched_label, NULL::VARCHAR[] AS selected, NULL::BIGINT AS n_rows FROM o
+UNION ALL SELECT k, 'digit', CASE WHEN k % 5 <> 0 THEN left(pr, 1) END, k % 5 <> 0, 'Priority', NULL, NULL FROM o
+UNION ALL SELECT k, 'cell', CASE WHEN k % 3 <> 0 THEN CASE WHEN k % 5 = 0 THEN 'Total' ELSE pr END END, k % 3 <> 0, CASE WHEN k % 3 <> 0 THEN st END, NULL, NULL FROM o WHERE st = 'O'
+UNION ALL SELECT k, 'cell', NULL, false, NULL, NULL, NULL FROM o WHERE st <> 'O'
+UNION ALL SELECT k, 'tick', NULL, true, NULL, [], NULL FROM o
+UNION ALL SELECT k, 'rows', NULL, true, NULL, NULL, 0 FROM o
+UNION ALL SELECT k, 'foot', NULL, false, NULL, NULL, NULL FROM o""")
+def extracted_fields(spark: SparkSession, sf: str) -> DataFrame:
+    specs = [
+        {"name": "status", "labels": ["State", "Status"]},
+        {"name": "digit", "labels": ["Priority"], "pattern": r"^\d"},
+        {"name": "cell", "source": "table_cell", "labels": ["O"]},
+        {"name": "tick", "source": "checkbox_group", "options": ["Priority", "Total"]},
+        {"name": "rows", "source": "table_rows", "columns": ["Priority"], "key": "Priority"},
+        {"name": "foot", "source": "footer"},
+    ]
+    return extraction.extract_fields(form_of(spark, sf), specs)
+
+
 @query("SELECT c_custkey AS doc_id, 'name' AS field, CASE WHEN regexp_matches(c_name, '#0*([1-9][0-9]*)') THEN regexp_extract(c_name, '#0*([1-9][0-9]*)', 1) END AS value, regexp_matches(c_name, '#0*([1-9][0-9]*)') AS found FROM customer")
 def captured_values(spark: SparkSession, sf: str) -> DataFrame:
     v = read(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("name").alias("field"), F.col("c_name").alias("value"), F.lit(True).alias("found"))
@@ -330,9 +378,9 @@ def classified_files(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.classified(files, specs)
 
 
-@query("SELECT p_partkey, p_name || ['_v2.docx', ' (1).pdf', '.hwpx', ' final.md'][(p_partkey % 4 + 1)::INT] AS name, p_name AS original FROM part")
+@query("SELECT p_partkey, p_name || ['_v2.docx', '_수정.pdf', '.hwpx', '_v9.md'][(p_partkey % 4 + 1)::INT] AS name, p_name || CASE WHEN p_partkey % 4 = 3 THEN '_v9' ELSE '' END AS original FROM part")
 def original_names(spark: SparkSession, sf: str) -> DataFrame:
-    suffix = F.element_at(F.array(*[F.lit(x) for x in ("_v2.docx", " (1).pdf", ".hwpx", " final.md")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("_v2.docx", "_수정.pdf", ".hwpx", "_v9.md")]), (F.col("p_partkey") % 4 + 1).cast("int"))
     return extraction.originals(read(spark, sf, "part").select("p_partkey", F.concat("p_name", suffix).alias("name")))
 
 
@@ -374,11 +422,24 @@ def majority_values(spark: SparkSession, sf: str) -> DataFrame:
     return linking.majority(v)
 
 
+DATES = "v AS (SELECT o_custkey AS case_id, o_orderkey AS pos, o_orderkey::VARCHAR AS output_key, CASE WHEN o_orderkey % 10 <> 0 THEN strftime(o_orderdate, '%Y%m%d') END AS key FROM orders), b AS (SELECT *, lag(key) OVER (PARTITION BY case_id ORDER BY pos) AS before FROM v WHERE key IS NOT NULL)"
+
+
+def dates_of(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    value = F.when(k % 10 == 0, "soon").otherwise(F.date_format("o_orderdate", "y. M. d."))
+    return read(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), k.alias("pos"), k.cast("string").alias("output_key"), value.alias("value"))
+
+
+@query(f"""WITH {DATES}, w AS (SELECT case_id, list(output_key ORDER BY output_key) AS wrong FROM b WHERE key < before GROUP BY ALL)
+SELECT v.case_id, coalesce(any_value(wrong), []) AS wrong, count(*) FILTER (key IS NULL) AS unread, CASE WHEN any_value(wrong) IS NOT NULL THEN 'differs' WHEN count(*) FILTER (key IS NULL) > 0 THEN 'unreviewed' ELSE 'same' END AS verdict FROM v LEFT JOIN w USING (case_id) GROUP BY v.case_id""")
+def order_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return linking.order_verdicts(dates_of(spark, sf))
+
+
 @query("WITH v AS (SELECT o_custkey AS case_id, o_orderkey AS pos, o_orderkey::VARCHAR AS output_key, strftime(o_orderdate, '%Y%m%d') AS key FROM orders WHERE o_orderkey % 10 <> 0), b AS (SELECT *, lag(key) OVER (PARTITION BY case_id ORDER BY pos) AS before FROM v) SELECT case_id, pos, output_key, key, before FROM b WHERE key < before")
 def nondecreasing_dates(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    v = read(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), k.alias("pos"), k.cast("string").alias("output_key"), F.when(k % 10 == 0, "soon").otherwise(F.date_format("o_orderdate", "y. M. d.")).alias("value"))
-    return linking.nondecreasing(v)
+    return linking.nondecreasing(dates_of(spark, sf))
 
 
 WORDS = LINES + r", w AS (SELECT DISTINCT doc_id, line_no, unnest(regexp_extract_all(line, '[A-Za-z]{2,}')) AS word FROM l), used AS (SELECT DISTINCT doc_id, word FROM w WHERE regexp_full_match(word, '[A-Z]{2,6}') AND line_no >= 2), hd AS (SELECT DISTINCT doc_id, word FROM w WHERE regexp_full_match(word, '[A-Z]{2,6}') AND line_no < 2), lo AS (SELECT DISTINCT doc_id, upper(word) AS word FROM w WHERE word <> upper(word))"
@@ -450,7 +511,7 @@ def matched_findings(spark: SparkSession, sf: str) -> DataFrame:
     return linking.matched_findings(*lineage_of(spark, sf), spark.createDataFrame([("c1",)], "checker string"))
 
 
-@query(f"WITH {FINDINGS}, k AS (SELECT seq, CASE WHEN len(quotes) > 0 THEN concat_ws(chr(31), 'q', checker, array_to_string(list_sort(list_transform(quotes, lambda x: replace(x, ' ', ''))), chr(31))) ELSE concat_ws(chr(31), 'm', checker, section, message) END AS key, severity FROM f), o AS (SELECT DISTINCT key FROM k WHERE seq % 50 = 0) SELECT seq AS id, key, CASE WHEN o.key IS NOT NULL THEN 'not applicable' END AS verdict FROM k LEFT JOIN o USING (key)")
+@query(f"WITH {FINDINGS}, k AS (SELECT seq, CASE WHEN len(quotes) > 0 THEN concat_ws(chr(31), 'q', checker, array_to_string(list_sort(list_transform(quotes, lambda x: replace(x, ' ', ''))), chr(31))) ELSE concat_ws(chr(31), 'm', checker, section, message) END AS key, severity FROM f), p AS (SELECT seq, key, unnest(CASE WHEN starts_with(key, 'q' || chr(31)) THEN list_transform(string_split(key, chr(31))[3:], lambda x: string_split(key, chr(31))[2] || chr(31) || x) ELSE [key] END) AS share FROM k), o AS (SELECT DISTINCT share FROM p WHERE seq % 50 = 0), c AS (SELECT DISTINCT seq FROM p JOIN o USING (share)) SELECT k.seq AS id, key, CASE WHEN c.seq IS NOT NULL THEN 'not applicable' END AS verdict FROM k LEFT JOIN c USING (seq)")
 def carried_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     keyed = summary.verdict_key(findings_of(spark, sf))
     old = keyed.select("key", F.when(F.col("seq") % 50 == 0, "not applicable").otherwise("agreed").alias("verdict"))
@@ -644,3 +705,41 @@ def model_answers(spark: SparkSession, sf: str) -> DataFrame:
     answer = F.when(i % 3 == 0, F.concat(F.lit("<think>{}</think> so: "), body, F.lit(" as asked, "), body)).when(i % 3 == 1, F.concat(F.lit("no { object"), i)).otherwise(F.concat(body, F.lit(' or {"id": -1}')))
     found = fn.json_object({"id"})(fn.without_reasoning(answer))
     return read(spark, sf, "events").select("event_id", found.alias("answer"))
+
+
+@query(f"""WITH {FINDINGS} SELECT doc_id, '# ' || doc_id || chr(10) || chr(10) || 'major ' || count_if(severity = 'major') || ', minor ' || count_if(severity = 'minor') || ', info ' || count_if(severity = 'info') || chr(10) || chr(10)
+|| string_agg('- **[' || severity || ']** ' || message, chr(10) ORDER BY CASE severity WHEN 'major' THEN 0 WHEN 'minor' THEN 1 ELSE 2 END, seq) || chr(10) AS report FROM f GROUP BY doc_id""")
+def markdown_report(spark: SparkSession, sf: str) -> DataFrame:
+    return summary.report_markdown(findings_of(spark, sf))
+
+
+RTM = """r AS (SELECT o_custkey % 10 AS run_id, o_orderkey AS ord, CASE WHEN o_orderkey % 5 <> 4 THEN 'U-' || o_orderkey END AS upper_id, CASE o_orderkey % 5 WHEN 0 THEN ['L-' || o_orderkey, 'M-' || o_orderkey] WHEN 3 THEN ['L-' || o_orderkey, 'M-' || o_orderkey] WHEN 4 THEN ['L-' || o_orderkey] ELSE [] END AS lower_ids,
+ ['linked', 'missing', 'out_of_scope', 'rolled_up', 'orphan'][(o_orderkey % 5 + 1)::INT] AS status, ['✅ 연결됨', '❌ 누락', '➖ 범위 밖', '🔗 부모 수준 검증', '⚠️ 근거없음'][(o_orderkey % 5 + 1)::INT] AS label FROM orders)"""
+
+
+@query(f"""WITH {RTM}, n AS (SELECT run_id, count(*) AS total, count_if(status = 'linked') AS a, count_if(status = 'missing') AS b, count_if(status = 'orphan') AS c, count_if(status = 'out_of_scope') AS d, count_if(status = 'rolled_up') AS e,
+ string_agg('| ' || coalesce(upper_id, '—') || ' | ' || CASE WHEN len(lower_ids) > 0 THEN array_to_string(lower_ids, ', ') ELSE '(없음)' END || ' | ' || label || ' |', chr(10) ORDER BY ord) AS body,
+ string_agg('{{"upper_id":' || coalesce('"' || upper_id || '"', 'null') || ',"lower_ids":[' || array_to_string(list_transform(lower_ids, lambda x: '"' || x || '"'), ',') || '],"status":"' || status || '"}}', ',' ORDER BY ord) AS items FROM r GROUP BY run_id)
+SELECT run_id, 'total ' || total || ', linked ' || a || ', missing ' || b || ', orphan ' || c || ', out_of_scope ' || d || ', rolled_up ' || e || chr(10) || chr(10) || '| 상위 ID | 하위 연결 | 상태 |' || chr(10) || '|---|---|---|' || chr(10) || body || chr(10) AS markdown,
+ '{{"summary":{{"total":' || total || ',"linked":' || a || ',"missing":' || b || ',"orphan":' || c || ',"out_of_scope":' || d || ',"rolled_up":' || e || '}},"rtm":[' || items || ']}}' AS json FROM n""")
+def matrix_reports(spark: SparkSession, sf: str) -> DataFrame:
+    k, n = F.col("o_orderkey"), F.col("o_orderkey") % 5
+    low, mid = F.concat(F.lit("L-"), k), F.concat(F.lit("M-"), k)
+    lower = F.when(n.isin(0, 3), F.array(low, mid)).when(n == 4, F.array(low)).otherwise(F.array().cast("array<string>"))
+    status = F.element_at(F.array(*[F.lit(x) for x in ("linked", "missing", "out_of_scope", "rolled_up", "orphan")]), (n + 1).cast("int"))
+    rtm = read(spark, sf, "orders").select((F.col("o_custkey") % 10).alias("run_id"), k.alias("ord"), F.when(n != 4, F.concat(F.lit("U-"), k)).alias("upper_id"), lower.alias("lower_ids"), status.alias("status"))
+    return summary.matrix_reports(rtm)
+
+
+@query("SELECT p_size AS doc_id, 1 AS table_no, p_partkey AS row_no, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS no, p_name AS text, p_type AS \"group\", p_partkey::VARCHAR AS note FROM part WHERE p_partkey % 4 <> 0")
+def checklist_items(spark: SparkSession, sf: str) -> DataFrame:
+    p, k = read(spark, sf, "part"), F.col("p_partkey")
+    text, no = F.when(k % 4 == 0, " ").otherwise(F.col("p_name")), F.when(k % 3 != 0, F.concat(F.lit(" "), "p_brand"))
+    odd = F.col("p_size") % 2 == 1
+    body = p.select(F.col("p_size").alias("doc_id"), k.alias("row_no"), F.when(odd, F.array(text, k.cast("string"), no, F.col("p_type"))).otherwise(F.array(no, text, F.col("p_type"), k.cast("string"))).alias("cells"))
+    sizes = p.select("p_size").distinct()
+    title = sizes.select(F.col("p_size").alias("doc_id"), F.lit(-2).cast("long").alias("row_no"), F.array(F.lit("Review"), F.lit(None)).alias("cells"))
+    odd_head, head = (F.array(*[F.lit(x) for x in names]) for names in (("Item", "Remark", "No.", "구분"), ("번호", "항목 내용", "characteristic", "Remark")))
+    heads = sizes.select(F.col("p_size").alias("doc_id"), F.lit(-1).cast("long").alias("row_no"), F.when(odd, odd_head).otherwise(head).alias("cells"))
+    rows = body.unionByName(title).unionByName(heads).withColumn("table_no", F.lit(1))
+    return extraction.checklist_items(rows)
