@@ -2,8 +2,8 @@
 
 Each document's counts become a vector of transformed statistics. For each language and source the minimum covariance
 determinant is sought by concentration steps from three deterministic starts: each step takes the mean and covariance
-of the half of the group that lies nearest to the last estimate, until the determinant falls no more; the fit with the
-least determinant wins. All groups step together, as aggregations; no group is gathered into one task. Distances are
+of the half of the group that lies nearest to the last estimate. After two steps from each start the fit with the least
+determinant goes on until it falls no more. All groups step together, as aggregations; no group is gathered into one task. Distances are
 scaled, up or down, to the median that they should have, the estimate is reweighted once, and vectors beyond a high
 quantile are rejected.
 """
@@ -121,9 +121,9 @@ def outlier_distances(spark: SparkSession, table: DataFrame, keys: list[str], fl
     """``table`` (keys and the statistics named in ``floors``) with distance2: squared robust distance within its group.
 
     Each group's estimate starts from its medians with three scatters (of each statistic alone, of hyperbolic tangents, of
-    spatial signs), the deterministic starts of the minimum covariance determinant. From each, concentration steps fit
-    the nearer half again until no group's determinant falls any more, ``steps`` at most; of each group the fit with the
-    least determinant is kept, and reweighted. Groups of fewer than ``least`` rows are pooled by the first key; a pool
+    spatial signs), the deterministic starts of the minimum covariance determinant. Two concentration steps from each fit
+    the nearer half again; of each group the fit with the least determinant goes on until no group's determinant falls
+    any more, ``steps`` at most, and is reweighted. Groups of fewer than ``least`` rows are pooled by the first key; a pool
     that is still smaller gets null. An empty table gives no rows.
     """
     names, d = list(floors), len(floors)
@@ -188,9 +188,9 @@ def outlier_distances(spark: SparkSession, table: DataFrame, keys: list[str], fl
     def fitted(nearest: DataFrame) -> DataFrame:
         return nearest.groupBy("in_group").agg(*sums([F.col(c) for c in names])).mapInPandas(estimate, schema)
 
-    def concentrated(estimates: DataFrame) -> DataFrame:
-        """Steps until the sum of what the determinants fall by is nothing; a step that raises a group's is not taken."""
-        for _ in range(steps):
+    def concentrated(estimates: DataFrame, most: int) -> DataFrame:
+        """Steps, ``most`` at most, until no group's determinant falls by more than a part in 10,000; a step that raises a group's is not taken."""
+        for _ in range(most):
             far = measured(estimates)
             new = fitted(beside(far, half(far), sizes, few).where("distance2 <= middle"))
             old = estimates.select("in_group", F.col("determinant").alias("before"), F.struct(*matrix).alias("old"))
@@ -199,7 +199,7 @@ def outlier_distances(spark: SparkSession, table: DataFrame, keys: list[str], fl
             kept = [F.when(better, F.col(c)).otherwise(F.col(f"old.{c}")).alias(c) for c in matrix]
             taken = scratch.written(spark, both.select("in_group", F.when(better, F.col("determinant")).otherwise(F.col("before")).alias("determinant"), F.when(better, F.col("fell")).otherwise(0.0).alias("fell"), *kept), "estimates")
             estimates = taken.drop("fell")
-            if (taken.agg(F.max("fell")).head()[0] or 0) <= 1e-6:
+            if (taken.agg(F.max("fell")).head()[0] or 0) <= 1e-4:
                 break
         return estimates
 
@@ -224,10 +224,10 @@ def outlier_distances(spark: SparkSession, table: DataFrame, keys: list[str], fl
         wide = beside(along, centre, sizes, few).groupBy("in_group").agg(*[F.percentile_approx(F.abs(F.col(f"u{k}") - F.col(f"v{k}")), 0.5, 1000).alias(f"w{k}") for k in range(d)])
         one = scratch.written(spark, found.join(centre, "in_group").join(wide, "in_group").mapInPandas(started, schema), "estimates")
         far = measured(one)  # the scatter of a start is no fit: the first step is always taken
-        one = concentrated(scratch.written(spark, fitted(beside(far, half(far), sizes, few).where("distance2 <= middle")), "estimates")).withColumn("start", F.lit(number))
+        one = concentrated(scratch.written(spark, fitted(beside(far, half(far), sizes, few).where("distance2 <= middle")), "estimates"), 1).withColumn("start", F.lit(number))
         every = one if every is None else every.unionByName(one)
     best = every.groupBy("in_group").agg(F.min(F.struct("determinant", "start", *matrix)).alias("best"))  # three rows a group
-    estimates = scratch.written(spark, best.select("in_group", "best.determinant", *[f"best.{c}" for c in matrix]), "estimates")
+    estimates = concentrated(scratch.written(spark, best.select("in_group", "best.determinant", *[f"best.{c}" for c in matrix]), "estimates"), steps)
 
     size = quantile(d, 0.0)
     far = measured(estimates)
