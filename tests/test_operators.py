@@ -140,3 +140,18 @@ def test_merge_and_status(spark):
 @pytest.mark.parametrize("value,want", [("2024. 2. 30.", None), ("2024-2-3", None), ("2024 .2 .3 .", "20240203"), ("soon", None), (None, None)])
 def test_dates(spark, value, want):
     assert spark.createDataFrame([(value,)], "v string").select(text.date_key(F.col("v"))).head()[0] == want
+
+
+def test_picture_sizes():
+    from quillon.sources.documents import image_size
+
+    pictures = {
+        (3, 5): b"\x89PNG\r\n\x1a\n" + b"\x00\x00\x00\rIHDR" + b"\x00\x00\x00\x03\x00\x00\x00\x05",
+        (7, 9): b"GIF89a\x07\x00\x09\x00",
+        (4, 6): b"BM" + bytes(16) + b"\x04\x00\x00\x00" + b"\xfa\xff\xff\xff",
+        (300, 200): b"\xff\xd8\xff\xe0\x00\x04ab\xff\xff\xc4\x00\x03x\xff\xd0\xff\xc2\x00\x08\x08\x00\xc8\x01\x2c\x03",
+    }
+    for size, data in pictures.items():
+        assert image_size(data) == size
+        assert image_size(data[:9]) is None
+    assert image_size(b"") is None and image_size(b"plain") is None
