@@ -203,6 +203,17 @@ def test_lines_of_common_words_lose_no_link(spark, monkeypatch, common, dense):
     assert collections.Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()) == lines_brute(rows)
 
 
+def test_lines_with_text_ids_and_clashing_columns(spark):
+    """Earlier is by id, null first, however the rows are dealt; further columns keep their names and values."""
+    rows = [("b", "a b c d e", 1, "k"), (None, "e d c b a\n\nx", 2, None), ("a", None, 3, "g"), ("c", "", None, "l"), ("a2", "a b c d e f\nx x", 4, "z"), ("b", "a b c d e", 5, "k")]
+    for parts in (1, 3):
+        frame = spark.createDataFrame(rows, "doc_id string, text string, key int, lines string").withColumn("gone", F.lit(1)).withColumn("n_removed", F.lit("old")).repartition(parts)
+        got = line_similarity_dedup.dedup_lines(spark, frame)
+        assert got.columns == ["doc_id", "text", "key", "lines", "gone", "n_lines", "n_removed"]
+        want = [(None, "e d c b a\n\nx", 2, None, 1, 3, 0), ("a", None, 3, "g", 1, 0, 0), ("a2", "", 4, "z", 1, 2, 2), ("b", "", 1, "k", 1, 1, 1), ("b", "", 5, "k", 1, 1, 1), ("c", "", None, "l", 1, 1, 0)]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_line_stage_runs_no_python(spark, docs):
     plan = line_similarity_dedup.dedup_lines(spark, docs)._jdf.queryExecution().toString()
     assert not re.search("Arrow|Python|Pandas", plan)
