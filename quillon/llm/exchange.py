@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +21,8 @@ from quillon.llm import scratch, wordnum
 CHUNK_ROWS = 10  # as a power of two
 UNIT_BYTES = 8 << 20
 BUCKET_HASHES = 1 << 19
-BLOBS = "chunk long, lo long, hi long, bucket int, hashes binary, again binary"
-_MASKS = pa.schema([("chunk", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
+BLOBS = "chunk long, lo long, hi long, bucket long, hashes binary, again binary"
+_MASKS = pa.schema([("chunk", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())])
 
 
 @dataclass
@@ -68,20 +67,28 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[Unit]:
         yield join_units(held)
 
 
-def blobs(unit: Unit, hashes: np.ndarray, buckets: int) -> pa.RecordBatch | None:
+def bucket_bits(hashes: int) -> int:
+    """Leading bits that name a bucket, for buckets of at most about ``BUCKET_HASHES`` of that many hashes."""
+    return max(0, -(-hashes // BUCKET_HASHES) - 1).bit_length()
+
+
+def bucketed(own: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending hashes the buckets that hold any, and where each of them starts, with the end after the last."""
+    named = (own >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(own), np.int64)
+    starts = np.flatnonzero(np.append(True, named[1:] != named[:-1]))
+    return named[starts], np.append(starts, len(own))
+
+
+def blobs(unit: Unit, hashes: np.ndarray, bits: int) -> pa.RecordBatch | None:
     """Distinct hashes of a unit by bucket; again: bits of those that occur more than once in it."""
     own, count = np.unique(hashes, return_counts=True)
     if not len(own):
         return None
-    edges = np.append(np.searchsorted(own, bucket_starts(buckets), "left"), len(own))
-    at = [(int(b), edges[b], edges[b + 1]) for b in np.flatnonzero(np.diff(edges))]
-    n = len(at)
-    return pa.RecordBatch.from_arrays([pa.array([unit.chunk] * n, pa.int64()), pa.array([int(unit.keys[0])] * n, pa.int64()), pa.array([int(unit.keys[-1])] * n, pa.int64()), pa.array([x[0] for x in at], pa.int32()), pa.array([own[a:b].tobytes() for _, a, b in at], pa.binary()), pa.array([np.packbits(count[a:b] > 1).tobytes() for _, a, b in at], pa.binary())], names=["chunk", "lo", "hi", "bucket", "hashes", "again"])
-
-
-@cache
-def bucket_starts(buckets: int) -> np.ndarray:
-    return np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)
+    names, edges = bucketed(own, bits)
+    n, ranges = len(names), list(zip(edges, edges[1:], strict=False))
+    packed = [own[a:b].tobytes() for a, b in ranges], [np.packbits(count[a:b] > 1).tobytes() for a, b in ranges]
+    place = [pa.array([x] * n, pa.int64()) for x in (unit.chunk, int(unit.keys[0]), int(unit.keys[-1]))]
+    return pa.RecordBatch.from_arrays([*place, pa.array(names, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], names=["chunk", "lo", "hi", "bucket", "hashes", "again"])
 
 
 def verdicts(spark: SparkSession, sent: DataFrame) -> DataFrame:
@@ -103,7 +110,7 @@ def verdicts(spark: SparkSession, sent: DataFrame) -> DataFrame:
             # a hash that one unit holds more than once, and others once, has another of those beside it
             ends = np.cumsum([len(p) for p in parts])
             bits = [np.packbits(twice[e - len(p) : e]).tobytes() for p, e in zip(parts, ends, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))] + [pa.array(bits, pa.binary())], schema=_MASKS)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(),) * 4)] + [pa.array(bits, pa.binary())], schema=_MASKS)
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -116,7 +123,7 @@ def verdicts(spark: SparkSession, sent: DataFrame) -> DataFrame:
             yield judged()
 
     dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "chunk long, lo long, hi long, bucket int, bits binary")
+    return dealt.mapInArrow(run, "chunk long, lo long, hi long, bucket long, bits binary")
 
 
 def with_verdicts(table: DataFrame, masks: DataFrame, process: Callable, schema, extra: list[str]) -> DataFrame:
@@ -124,38 +131,26 @@ def with_verdicts(table: DataFrame, masks: DataFrame, process: Callable, schema,
 
     bits: a boolean for each of the unit's distinct hashes in ascending order. columns: the ``extra`` columns' Arrow
     arrays of the unit's rows. Units without hashes come with no bits. Rows stream by in order of chunk and key, so a
-    task holds one unit and the verdicts of one chunk at a time.
+    task holds the rows of one unit, at most ``UNIT_BYTES`` and one text, and the verdicts of one chunk, a bit for each
+    hash, at a time.
     """
     types = dict(table.dtypes)
-    docs = table.select("chunk", F.lit(1).alias("kind"), F.col("key"), F.lit(None).cast("long").alias("hi"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "text", *extra)
+    docs = table.select("chunk", F.lit(1).alias("kind"), F.col("key"), F.lit(None).cast("long").alias("hi"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "text", *extra)
     told = masks.select("chunk", F.lit(0).alias("kind"), F.col("lo").alias("key"), "hi", "bucket", "bits", F.lit(None).cast("string").alias("text"), *[F.lit(None).cast(types[c]).alias(c) for c in extra])
     both = docs.unionByName(told).repartition("chunk").sortWithinPartitions("chunk", "kind", "key", "bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = {"chunk": None, "masks": {}, "rows": []}
-
-        def judge(unit_rows: list[pa.RecordBatch], bits: list[bytes]):
-            whole = pa.Table.from_batches(unit_rows).combine_chunks()
-            buf, off = wordnum.flat(whole["text"])
-            unit = Unit(state["chunk"], whole["key"].to_numpy(), buf, off)
-            return process(unit, bits, [whole[c] for c in extra])
-
-        def flush():
-            """Deal the held rows of a chunk out to its units."""
-            if not state["rows"]:
-                return
-            rows = pa.Table.from_batches(state["rows"]).combine_chunks()
-            keys = rows["key"].to_numpy()
-            at = 0
-            for lo, (hi, found) in sorted(state["masks"].items()):
-                a, b = int(np.searchsorted(keys, lo, "left")), int(np.searchsorted(keys, hi, "right"))
-                for x, y, bits in ((at, a, []), (a, b, [f for _, f in sorted(found)])):
-                    if y > x:
-                        yield from judge(rows.slice(x, y - x).to_batches(), bits)
-                at = b
-            if at < len(keys):
-                yield from judge(rows.slice(at).to_batches(), [])
-            state["rows"] = []
+        chunk, told_of, edges, bits_of = None, {}, None, []
+        held, size, place = [], 0, None
+
+        def judge() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            if held:
+                whole = pa.Table.from_batches(held).combine_chunks()
+                buf, off = wordnum.flat(whole["text"])
+                unit = Unit(chunk, whole["key"].to_numpy(), buf, off)
+                yield from process(unit, bits_of[place // 2] if place % 2 else [], [whole[c] for c in extra])
+                held, size = [], 0
 
         for batch in batches:
             chunks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -163,28 +158,37 @@ def with_verdicts(table: DataFrame, masks: DataFrame, process: Callable, schema,
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                if chunks[a] != state["chunk"]:
-                    yield from flush()
-                    state["chunk"], state["masks"] = int(chunks[a]), {}
+                if chunks[a] != chunk:
+                    yield from judge()
+                    chunk, told_of, edges = int(chunks[a]), {}, None
                 part = batch.slice(a, b - a)
-                if kinds[a]:
-                    state["rows"].append(part)
-                else:
+                if not kinds[a]:
                     for lo, hi, bucket, bits in zip(*(part.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                        state["masks"].setdefault(lo, (hi, []))[1].append((bucket, bits))
-        yield from flush()
+                        told_of.setdefault((lo, hi), []).append((bucket, bits))
+                    continue
+                if edges is None:  # all verdicts of the chunk are there: its units, and what lies between them
+                    edges = np.array([e for lo, hi in sorted(told_of) for e in (lo, hi + 1)], dtype=np.int64)
+                    bits_of = [[bits for _, bits in sorted(told_of[u])] for u in sorted(told_of)]
+                places = np.searchsorted(edges, part.column(2).to_numpy(), "right")
+                ends = [0, *(np.flatnonzero(np.diff(places)) + 1), len(places)]
+                for x, y in zip(ends, ends[1:], strict=False):
+                    if places[x] != place or (not place % 2 and size > UNIT_BYTES):
+                        yield from judge()
+                        place = int(places[x])
+                    held.append(part.slice(x, y - x))
+                    size += held[-1].nbytes
+        yield from judge()
 
     return both.mapInArrow(run, schema)
 
 
-def flags(hashes: np.ndarray, bits: list[bytes], buckets: int) -> np.ndarray:
+def flags(hashes: np.ndarray, told: list[bytes], bits: int) -> np.ndarray:
     """For each of a unit's hashes, as they were given to ``blobs``, whether it occurs twice or more in the corpus."""
     own, inverse = np.unique(hashes, return_inverse=True)
     if not len(own):
         return np.zeros(0, dtype=bool)
-    edges = np.append(np.searchsorted(own, bucket_starts(buckets), "left"), len(own))
-    sizes = [int(n) for n in np.diff(edges) if n]
-    if len(sizes) != len(bits):
+    _, edges = bucketed(own, bits)
+    if len(edges) - 1 != len(told):
         raise RuntimeError("a unit's verdicts do not fit its hashes")
-    found = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(bits, sizes, strict=True)]).astype(bool)
+    found = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(told, np.diff(edges), strict=True)]).astype(bool)
     return found[inverse]

@@ -206,7 +206,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame | None, *, n: int = 5,
     own = table is None
     table = exchange.keyed(spark, docs, id_column, text_column) if own else table
     size = table.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    buckets = int(max(1, size // 12 // exchange.BUCKET_HASHES))
+    named = exchange.bucket_bits(size // 12)
     kind = table.schema["doc_id"].dataType
 
     def slices(unit: exchange.Unit) -> Iterator[tuple[int, int, Shingles]]:
@@ -221,13 +221,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame | None, *, n: int = 5,
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in exchange.units(batches):
             parts = [s.value[posted(s)] for _, _, s in slices(unit)]
-            if (batch := exchange.blobs(unit, np.concatenate(parts), buckets)) is not None:
+            if (batch := exchange.blobs(unit, np.concatenate(parts), named)) is not None:
                 yield batch
 
     def sift(unit: exchange.Unit, bits: list[bytes], columns: list[pa.ChunkedArray]) -> Iterator[pa.RecordBatch]:
         parts = list(slices(unit))
         sent = [posted(s) for _, _, s in parts]
-        again = exchange.flags(np.concatenate([s.value[p] for (_, _, s), p in zip(parts, sent, strict=True)]), bits, buckets)
+        again = exchange.flags(np.concatenate([s.value[p] for (_, _, s), p in zip(parts, sent, strict=True)]), bits, named)
         done = 0
         for (lo, hi, s), p in zip(parts, sent, strict=True):
             flag = np.zeros(len(s.value), dtype=bool)

@@ -130,7 +130,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = 35, sh
     table = exchange.keyed(spark, docs, id_column, text_column)
     size = table.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     bits = int(min(MOST_BITS, max(16, np.ceil(np.log2(max(1, size) / 10)))))  # about eight cells for each place
-    buckets = int(max(1, size // 6 // exchange.BUCKET_HASHES // 2))
+    named = exchange.bucket_bits(size // 12)
     shared = spark.sparkContext.broadcast(sketched(spark, table, window, shingle, bits))
 
     def places(unit: exchange.Unit) -> list[tuple[Words, np.ndarray, np.ndarray, int, int]]:
@@ -144,12 +144,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = 35, sh
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in exchange.units(batches):
-            if (batch := exchange.blobs(unit, np.concatenate([x[2] for x in places(unit)]), buckets)) is not None:
+            if (batch := exchange.blobs(unit, np.concatenate([x[2] for x in places(unit)]), named)) is not None:
                 yield batch
 
     def cut(unit: exchange.Unit, bits_of: list[bytes], columns: list[pa.ChunkedArray]) -> Iterator[pa.RecordBatch]:
         found = places(unit)
-        again = exchange.flags(np.concatenate([x[2] for x in found]), bits_of, buckets)
+        again = exchange.flags(np.concatenate([x[2] for x in found]), bits_of, named)
         done = 0
         for words, at, own, lo, hi in found:
             at = at[again[done : done + len(own)]]

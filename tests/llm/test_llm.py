@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import bestfit_packing, components, line_similarity_dedup, mil_quality, ngram_overlap_join, queries, robust_outliers, substring_sketch, template_decontamination, template_extraction, toxicity_lexicon, warc_dictionary, wordnum
+from quillon.llm import bestfit_packing, components, exchange, line_similarity_dedup, mil_quality, ngram_overlap_join, queries, robust_outliers, substring_sketch, template_decontamination, template_extraction, toxicity_lexicon, warc_dictionary, wordnum
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, n_words long, chunk string"
@@ -573,3 +573,29 @@ def test_query_equals_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(want.columns)
     assert collections.Counter(tuple(r) for r in got.select(columns).collect()) == collections.Counter(want.select(*columns).fetchall())
+
+
+def test_units_meet_their_verdicts(spark, monkeypatch):
+    """Rows with hashes, without, and longer than a unit, in several chunks, buckets and batches."""
+    monkeypatch.setattr(exchange, "BUCKET_HASHES", 64)
+    assert [exchange.bucket_bits(n) for n in (0, 64, 65, 129, 1000)] == [0, 0, 1, 2, 4]
+    own = np.sort(np.random.default_rng(1).integers(0, 2**64, 300, dtype=np.uint64))
+    for bits in (0, 1, 5, 40):
+        names, edges = exchange.bucketed(own, bits)
+        assert names.tolist() == sorted({int(x) >> (64 - bits) if bits else 0 for x in own}) and edges[-1] == 300
+    long = " ".join(f"long{i}" for i in range(400_000))  # over 4 MB: two of them make no unit
+    texts = [None, "", "few words", *(f"{i % 700} " + " ".join(f"w{(i % 700) * 7 + j}" for j in range(40)) for i in range(1500)), long, "x", long + " end", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        rows = {r["doc_id"]: r for r in substring_sketch.remove_repeats(spark, frame, window=20).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(rows) == list(range(len(texts)))
+    again = collections.Counter(tuple(w[k : k + 20]) for t in texts if len(w := words_of(t)) < 100 for k in range(len(w) - 19))
+    for i, text in enumerate(texts):
+        w = words_of(text)
+        if len(w) < 100:
+            gone = {k + j for k in range(len(w) - 19) if again[tuple(w[k : k + 20])] > 1 for j in range(20)}
+            assert (rows[i]["n_words"], rows[i]["n_removed"]) == (len(w), len(gone))
+    assert rows[1503]["n_removed"] == 400_000 and rows[1505]["text"] == "end"
