@@ -107,14 +107,6 @@ def markdown_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return structure.blocks(structure.lines(headed(spark, sf)))
 
 
-@query("WITH a AS (SELECT doc_id, (conv_id % 7) AS page, conv_id, turn, role FROM (SELECT conv_id % 10 AS doc_id, * FROM conversations)), g AS (SELECT doc_id, page, count_if(role = 'user') AS nu, count_if(role <> 'user') AS na, max(CASE WHEN role = 'user' THEN conv_id || '.' || turn END) AS number, max(CASE WHEN role <> 'user' THEN 'Title ' || conv_id END) AS title FROM a WHERE turn < 2 AND conv_id < 40 GROUP BY ALL) SELECT doc_id, page, number || ' ' || title AS heading FROM g WHERE nu = 1 AND na = 1")
-def rescued_headings(spark: SparkSession, sf: str) -> DataFrame:
-    c = read(spark, sf, "conversations").where("turn < 2 and conv_id < 40")
-    user = F.col("role") == "user"
-    heads = c.select((F.col("conv_id") % 10).alias("doc_id"), (F.col("conv_id") % 7).alias("page"), F.when(user, "number").otherwise("title").alias("kind"), F.when(user, F.concat_ws(".", "conv_id", "turn")).otherwise(F.concat(F.lit("Title "), "conv_id")).alias("text"))
-    return structure.rescued_headings(heads)
-
-
 @query("WITH g AS (SELECT conv_id AS doc_id, turn // 2 AS page, count_if(role = 'user') AS nu, count_if(role <> 'user') AS na, max(CASE WHEN role = 'user' THEN conv_id || '.' || turn END) AS number, max(CASE WHEN role <> 'user' THEN 'Title ' || conv_id END) AS title FROM conversations GROUP BY ALL) SELECT doc_id, page, number || ' ' || title AS heading FROM g WHERE nu = 1 AND na = 1")
 def rescued_headings_all(spark: SparkSession, sf: str) -> DataFrame:
     user = F.col("role") == "user"
@@ -535,26 +527,6 @@ def manual_review(spark: SparkSession, sf: str) -> DataFrame:
     return linking.manual_review(wanted, given, fields)
 
 
-ATTRIBUTED = FINDINGS + ", cr AS (SELECT p_partkey AS no, CASE WHEN p_partkey % 2 = 0 THEN 'model' ELSE 'rule' END AS mode, 's' || (p_partkey % 9) AS rule_id, 'c' || (p_partkey % 6) AS checker_key FROM part WHERE p_partkey <= 60), fi AS (SELECT seq AS finding_id, section AS rule_id, checker, unreviewed FROM f WHERE seq <= 300), att AS (SELECT no, mode, cr.rule_id, checker_key, finding_id, unreviewed FROM cr LEFT JOIN fi ON (mode = 'model' AND fi.rule_id = cr.rule_id) OR (mode <> 'model' AND fi.checker = cr.checker_key))"
-
-
-def attributed_of(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("p_partkey")
-    criteria = read(spark, sf, "part").where(k <= 60).select(k.alias("no"), F.when(k % 2 == 0, "model").otherwise("rule").alias("mode"), F.concat(F.lit("s"), k % 9).alias("rule_id"), F.concat(F.lit("c"), k % 6).alias("checker_key"))
-    found = findings_of(spark, sf).where("seq <= 300").select(F.col("seq").alias("finding_id"), F.col("section").alias("rule_id"), "checker", "unreviewed")
-    return linking.attributed(criteria, found)
-
-
-@query(f"WITH {ATTRIBUTED} SELECT no, mode, rule_id, checker_key, finding_id, unreviewed FROM att")
-def attributed_criteria(spark: SparkSession, sf: str) -> DataFrame:
-    return attributed_of(spark, sf)
-
-
-@query(f"WITH {ATTRIBUTED} SELECT no, CASE WHEN count_if(finding_id IS NOT NULL AND NOT unreviewed) > 0 THEN 'flagged' WHEN count(finding_id) > 0 THEN 'unreviewed' ELSE 'clean' END AS status, count(finding_id) AS n_findings FROM att GROUP BY no")
-def item_status(spark: SparkSession, sf: str) -> DataFrame:
-    return summary.item_status(attributed_of(spark, sf))
-
-
 #: All of part and events, with keys that a few findings share.
 ATTRIBUTED_ALL = FINDINGS + ", cr AS (SELECT p_partkey AS no, CASE WHEN p_partkey % 2 = 0 THEN 'model' ELSE 'rule' END AS mode, 's' || p_partkey AS rule_id, 'c' || p_partkey AS checker_key FROM part), fi AS (SELECT seq AS finding_id, 's' || (seq // 3) AS rule_id, 'c' || (seq // 4) AS checker, unreviewed FROM f), att AS (SELECT no, mode, cr.rule_id, checker_key, finding_id, unreviewed FROM cr LEFT JOIN fi ON fi.rule_id = cr.rule_id WHERE mode = 'model' UNION ALL SELECT no, mode, cr.rule_id, checker_key, finding_id, unreviewed FROM cr LEFT JOIN fi ON fi.checker = cr.checker_key WHERE mode <> 'model')"
 
@@ -576,14 +548,6 @@ def item_status_all(spark: SparkSession, sf: str) -> DataFrame:
     return summary.item_status(attributed_all_of(spark, sf))
 
 
-@query("WITH a AS (SELECT n_name AS field, list(DISTINCT c_mktsegment ORDER BY c_mktsegment) AS outputs FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey < 15 GROUP BY ALL), b AS (SELECT n_name AS field, list(DISTINCT r_name ORDER BY r_name) AS rules FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey >= 8 GROUP BY ALL) SELECT field, coalesce(outputs, []) AS outputs, coalesce(rules, []) AS rules FROM a FULL JOIN b USING (field)")
-def fields_by_name(spark: SparkSession, sf: str) -> DataFrame:
-    nation = read(spark, sf, "nation")
-    a = nation.where("n_nationkey < 15").join(read(spark, sf, "customer"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("field"), F.col("c_mktsegment").alias("output_key"))
-    b = nation.where("n_nationkey >= 8").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("field"), F.col("r_name").alias("rule"))
-    return linking.fields_by_name(a, b)
-
-
 @query("WITH t(team, pattern) AS (VALUES ('a', 'th[a-z]'), ('b', 'ció[a-z]'), ('c', 'AKIA[A-Z0-9]{3}')), m AS (SELECT doc_id, team, len(list_distinct(regexp_extract_all(text, pattern))) AS n_ids FROM documents, t) SELECT doc_id, team, n_ids::INT AS n_ids, max(n_ids) OVER (PARTITION BY doc_id) > 0 AND n_ids = max(n_ids) OVER (PARTITION BY doc_id) AS best FROM m")
 def detected_teams(spark: SparkSession, sf: str) -> DataFrame:
     teams = spark.createDataFrame([("a", "th[a-z]"), ("b", "ció[a-z]"), ("c", "AKIA[A-Z0-9]{3}")], "team string, pattern string")
@@ -686,12 +650,6 @@ def number_keys(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "part").select(number.alias("number"), fn.version_order(number).alias("version"), fn.rollup_parent(F.col("p_brand"), "#").alias("parent")).distinct()
 
 
-@query(r"WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents) SELECT doc_id, CASE WHEN length(line) > 24 THEN substring(line, 1, 23) || '…' ELSE line END AS clipped, regexp_matches(line, '\pL') AND NOT regexp_matches(line, '[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]') AS capitals, regexp_replace(line, '\s+', '', 'g') AS squashed FROM t")
-def text_functions(spark: SparkSession, sf: str) -> DataFrame:
-    line = F.split("text", "\n")[0]
-    return read(spark, sf, "documents").select("doc_id", fn.clip(line, 24).alias("clipped"), fn.all_caps(line).alias("capitals"), fn.squash(line).alias("squashed"))
-
-
 @query("WITH " + LINES + r" SELECT doc_id, line_no::INT AS line_no, CASE WHEN length(line) > 24 THEN substring(line, 1, 23) || '…' ELSE line END AS clipped, regexp_matches(line, '\pL') AND NOT regexp_matches(line, '[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]') AS capitals, regexp_replace(line, '\s+', '', 'g') AS squashed FROM l")
 def text_functions_all(spark: SparkSession, sf: str) -> DataFrame:
     line = F.col("line")
