@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.functions.text import is_prose
+from quillon.functions.text import collapse, is_prose, is_substantive
 
 Model = Callable[[str], str]
 ORDER = ["undetermined", "n/a", "pass", "violation"]
@@ -81,3 +81,35 @@ def suggestions(texts: DataFrame, model: Model) -> DataFrame:
     """doc_id, original, revised: the model's revision, null where it is empty or changes nothing."""
     done = asked(texts.withColumn("prompt", F.col("original")), "prompt", model)
     return done.select("doc_id", "original", F.when((F.trim("answer") != "") & (F.trim("answer") != F.trim("original")), F.col("answer")).alias("revised"), "error")
+
+
+#: How an answer that names a contradiction starts, and how it quotes both sides.
+ISSUE = "ISSUE:"
+BOTH_QUOTES = r'상위\s*["“]([^"”]+)["”]\s*vs\s*하위\s*["“]([^"”]+)["”]'
+
+
+def content_matched(parents: DataFrame, children: DataFrame, parent_lines: DataFrame, child_lines: DataFrame, model: Model) -> DataFrame:
+    """doc_id, id, severity, message, evidence, unreviewed: statements of one id on both sides (doc_id, id, text) that a model finds at odds.
+
+    Each quote must stand in its own side's lines or sections (doc_id, text), white space aside; one of the two is
+    enough. A failed call is an unreviewed row. Findings without a quote that stands are dropped, and a row without an id
+    counts them. An id on one side only is left to traceability; null texts are empty.
+    """
+    text = lambda t: F.coalesce(t, F.lit(""))
+    prompt = F.concat_ws("\n", F.lit(f'Do both statements agree? If not, answer: {ISSUE} what differs, 상위 "quote" vs 하위 "quote"'), F.col("id"), text(F.col("p.text")), F.lit("---"), text(F.col("c.text")))
+    met = parents.alias("p").join(children.alias("c"), ["doc_id", "id"]).select("doc_id", "id", prompt.alias("prompt"))
+    done = asked(met, "prompt", model)
+    for side, lines in (("upper", parent_lines), ("lower", child_lines)):
+        done = done.join(lines.groupBy("doc_id").agg(F.collect_list(collapse(F.col("text"))).alias(side)), "doc_id", "left")
+    answer = F.trim(text(F.col("answer")))
+    quote = lambda i: collapse(F.regexp_extract(answer, BOTH_QUOTES, i))
+    stands = lambda i, side: F.when(is_substantive(quote(i)) & F.exists(F.coalesce(side, F.array().cast("array<string>")), lambda u: u.contains(quote(i))), quote(i))
+    none = F.array().cast("array<string>")
+    evidence = F.array_compact(F.array(stands(1, F.col("upper")), stands(2, F.col("lower"))))
+    failed = F.col("error").isNotNull()
+    rows = done.where(failed | F.startswith(answer, F.lit(ISSUE))).select("doc_id", "id", failed.alias("unreviewed"), F.when(failed, F.col("error")).otherwise(F.trim(F.substring(answer, len(ISSUE) + 1, 1 << 30))).alias("message"), F.when(failed, none).otherwise(evidence).alias("evidence"))
+    kept = F.col("unreviewed") | (F.size("evidence") > 0)
+    own = F.struct("id", F.when(F.col("unreviewed"), "info").otherwise("minor").alias("severity"), "message", "evidence", "unreviewed")
+    folded = rows.groupBy("doc_id").agg(F.collect_list(F.when(kept, own)).alias("found"), F.count_if(~kept).alias("dropped"))
+    count = F.struct(F.lit(None).cast("string").alias("id"), F.lit("info").alias("severity"), F.concat(F.lit("dropped without a quote that stands: "), F.col("dropped")).alias("message"), none.alias("evidence"), F.lit(False).alias("unreviewed"))
+    return folded.select("doc_id", F.explode(F.when(F.col("dropped") > 0, F.array_append("found", count)).otherwise(F.col("found"))).alias("f")).select("doc_id", "f.*")

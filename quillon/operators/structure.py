@@ -1,7 +1,7 @@
 """From text to sections, chunks, tables and cells, and checks of layout, as DataFrame operators.
 
 Documents are (doc_id, text). Everything that depends on order within a document carries it as a column and uses
-windows over the document; nothing is collected.
+windows over the document; only ``page_texts`` gathers the blocks of one document.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import strip
+from quillon.functions.text import collapse, strip
 
 LEVELS = range(1, 7)
 
@@ -96,12 +96,75 @@ def blocks(split: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "block_no", "kind").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"))
 
 
+def section_number(x: Column) -> Column:
+    """A number of a section, with a dot in it, without stars around; null for other texts, page numbers among them."""
+    bare = F.trim(F.regexp_replace(F.trim(x), r"^\*+|\*+$", ""))
+    return F.when(bare.rlike(r"^\d+(\.\d+)*\.?$") & bare.contains("."), bare)
+
+
+def heading_level(number: Column) -> Column:
+    """Number of a section number's parts, a last 0 left out, at most 6."""
+    parts = F.filter(F.split(number, r"\."), lambda p: p != "")
+    zero = (F.size(parts) > 1) & (F.element_at(parts, -1) == "0")
+    return F.least(F.size(parts) - zero.cast("int"), F.lit(6))
+
+
 def rescued_headings(heads: DataFrame) -> DataFrame:
-    """A page's lone number put before its only unnumbered heading. Needs doc_id, page, kind ("number" or "title"), text."""
-    lone = heads.groupBy("doc_id", "page").agg(F.count_if(F.col("kind") == "number").alias("numbers"), F.count_if(F.col("kind") == "title").alias("titles"), F.max(F.when(F.col("kind") == "number", F.col("text"))).alias("number"), F.max(F.when(F.col("kind") == "title", F.col("text"))).alias("title"))
+    """A page's lone section number put before its only unnumbered heading. Needs doc_id, page, kind ("number" or "title"), text.
+
+    Rows of kind number that hold none, and titles that are null, blank or begin with a digit, don't count.
+    """
+    number = F.when(F.col("kind") == "number", section_number(F.col("text")))
+    title = F.when((F.col("kind") == "title") & F.trim("text").rlike(r"^\D"), F.trim("text"))
+    lone = heads.groupBy("doc_id", "page").agg(F.count(number).alias("numbers"), F.count(title).alias("titles"), F.max(number).alias("number"), F.max(title).alias("title"))
     return lone.where("numbers = 1 and titles = 1").select("doc_id", "page", F.concat_ws(" ", "number", "title").alias("heading"))
 
 
+def lifted_headings(cells: DataFrame) -> DataFrame:
+    """doc_id, table_no, heading, level of tables whose first row holds a section number, a short title and nothing else.
+
+    Needs doc_id, table_no, row_no, col_no, cell; blank and null cells are nothing. A title starts with a letter and has
+    at most 80 characters.
+    """
+    filled = cells.where("trim(cell) <> ''").select("doc_id", "table_no", "row_no", "col_no", F.trim("cell").alias("cell"))
+    first = cells.groupBy("doc_id", "table_no").agg(F.min("row_no").alias("row_no"))
+    rows = filled.join(first, ["doc_id", "table_no", "row_no"]).groupBy("doc_id", "table_no").agg(F.count("*").alias("n"), F.min_by("cell", "col_no").alias("number"), F.max_by("cell", "col_no").alias("title"))
+    good = rows.where("n = 2").where(section_number(F.col("number")).isNotNull() & F.col("title").rlike(r"^\p{L}") & (F.char_length("title") <= 80))
+    return good.select("doc_id", "table_no", F.concat_ws(" ", "number", "title").alias("heading"), heading_level(section_number(F.col("number"))).alias("level"))
+
+
+def without_cell_lines(lines: DataFrame, cells: DataFrame) -> DataFrame:
+    """Lines (doc_id, page, line) that no table cell of their page says too, white space aside; a cell of several lines says each of them. Null lines stay."""
+    said = cells.select("doc_id", "page", F.explode(F.split("cell", "\n")).alias("line")).select("doc_id", "page", collapse(F.col("line")).alias("flat")).where("flat <> ''").distinct()
+    return lines.withColumn("flat", collapse(F.col("line"))).join(said, ["doc_id", "page", "flat"], "left_anti").drop("flat")
+
+
+def page_texts(blocks: DataFrame) -> DataFrame:
+    """doc_id, text, headers, footers of blocks (doc_id, page, ord, part, kind, level, text, rows).
+
+    Pages, those without blocks too, are parted by a line with a form feed. Blocks of a part "header..." or another than
+    "body" go to headers or footers, each line once, in order; those without text give their table's cells. Tables
+    without rows and figures are said to be there. Null texts are empty, and null parts are "body".
+    """
+    flat = F.concat_ws(" ", F.transform("rows", lambda r: F.concat_ws(" ", F.filter(F.transform(r, collapse), lambda c: c != ""))))
+    mark = F.when(collapse(F.coalesce("text", F.lit(""))) != "", collapse(F.col("text"))).otherwise(collapse(flat))
+    part = F.coalesce("part", F.lit("body"))
+    slot = F.when(part == "body", "body").when(F.startswith(part, F.lit("header")), "headers").otherwise("footers")
+    body = (slot == "body") & (F.col("kind") == "figure")
+    number = F.sum(body.cast("int")).over(Window.partitionBy("doc_id").orderBy("page", "ord"))
+    table = F.when(F.size(F.coalesce("rows", F.array().cast("array<array<string>>"))) <= 0, F.lit("(표: 구조 미복원)")).otherwise(F.array_join(F.transform("rows", lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: collapse(F.coalesce(c, F.lit("")))), " | "), F.lit(" |"))), "\n"))
+    shown = F.when(F.col("kind") == "heading", F.concat(F.lit("\n"), F.repeat(F.lit("#"), F.least(F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)), F.lit(6))), F.lit(" "), F.coalesce("text", F.lit("")), F.lit("\n")))
+    shown = shown.when(F.col("kind") == "table", F.concat(table, F.lit("\n")))
+    shown = shown.when(F.col("kind") == "figure", F.concat(F.lit("[그림 "), number, F.when(collapse(F.col("text")) != "", F.concat(F.lit(": "), collapse(F.col("text")))).otherwise(""), F.lit("]"))).otherwise(F.col("text"))
+    rows = blocks.select("doc_id", F.coalesce("page", F.lit(0)).alias("page"), "ord", slot.alias("slot"), shown.alias("shown"), mark.alias("mark"))
+    gathered = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "ord", "slot", "shown", "mark"))).alias("all"))  # the blocks of one document
+    last = F.array_max(F.transform(F.filter("all", lambda b: b.slot == "body"), lambda b: b.page))
+    page = lambda i: F.regexp_replace(F.array_join(F.transform(F.filter("all", lambda b: (b.slot == "body") & (b.page == i) & (F.coalesce(b.shown, F.lit("")) != "")), lambda b: b.shown), "\n"), r"^[ \n]+|[ \n]+$", "")
+    text = F.when(last.isNull(), "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0).cast("int"), F.coalesce(last, F.lit(0)).cast("int")), page), "\n\f\n"))
+    marks = lambda name: F.array_distinct(F.transform(F.filter("all", lambda b: (b.slot == name) & (b.mark != "")), lambda b: b.mark))
+    return gathered.select("doc_id", text.alias("text"), marks("headers").alias("headers"), marks("footers").alias("footers"))
+
+
 def watermarks(paged: DataFrame, keywords: list[str] | None = None) -> DataFrame:
     """doc_id, line, pages of lines of 2 to 40 characters on at least half the pages, two at least, or with a keyword. Needs doc_id, page, line."""
     rows = paged.withColumn("line", strip(F.col("line"))).where("length(line) between 2 and 40")
@@ -134,6 +197,16 @@ def enclosing(inner: DataFrame, outer: DataFrame, share: float = 0.8) -> DataFra
     return met.groupBy("page", "box_id").agg(F.min("found").alias("found")).select("page", "box_id", "found.outer_id")
 
 
+def centred(inner: DataFrame, outer: DataFrame, margin: float = 0.05) -> DataFrame:
+    """page, inner_id, outer_id of boxes whose centre lies in an outer box of their page, widened by ``margin`` of its size on each side. Boxes as above."""
+    a, b = inner.alias("a"), outer.alias("b")
+    inside = F.lit(True)
+    for lo, hi in (("x0", "x1"), ("y0", "y1")):
+        middle, slack = (F.col(f"a.{lo}") + F.col(f"a.{hi}")) / 2, (F.col(f"b.{hi}") - F.col(f"b.{lo}")) * margin
+        inside = inside & (middle >= F.col(f"b.{lo}") - slack) & (middle <= F.col(f"b.{hi}") + slack)
+    return a.join(b, (F.col("a.page") == F.col("b.page")) & inside).select("a.page", F.col("a.box_id").alias("inner_id"), F.col("b.box_id").alias("outer_id"))
+
+
 def overlapping(left: DataFrame, right: DataFrame, margin: float = 0.15) -> DataFrame:
     """Pairs of boxes of a page that overlap when the left one is grown by ``margin`` of its size."""
     a, b = left.alias("a"), right.alias("b")

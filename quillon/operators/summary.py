@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import squash
+from quillon.functions.text import squash, version_order
 
 
 def severity_rank(c: str = "severity") -> Column:
@@ -138,3 +138,40 @@ def matrix_reports(rtm: DataFrame) -> DataFrame:
     counts = F.concat_ws(", ", F.concat(F.lit("total "), "total"), *[F.concat(F.lit(f"{s} "), F.col(s)) for s in states])
     text = F.concat(counts, F.lit("\n\n| 상위 ID | 하위 연결 | 상태 |\n|---|---|---|\n"), F.array_join(F.transform("rtm", line), "\n"), F.lit("\n"))
     return own.select("run_id", text.alias("markdown"), F.to_json(F.struct(F.struct("total", *states).alias("summary"), "rtm"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def shown(findings: DataFrame, severities: list[str], unreviewed: bool = True, category: Column | None = None, by: str = "severity") -> DataFrame:
+    """Findings of the severities and, where ``category`` is true, of one kind of checker; unreviewed ones by their own switch, whatever their severity.
+
+    Sorted by severity, or by section, numbers in it as numbers and those without a section first.
+    """
+    on = F.when(F.col("unreviewed"), F.lit(unreviewed)).otherwise(F.col("severity").isin(severities))
+    order = [severity_rank()] if by == "severity" else [F.coalesce("section", F.lit("")) != "", version_order(F.col("section")), F.col("section")]
+    return findings.where(on & (category if category is not None else F.lit(True))).orderBy(*order)
+
+
+def criteria_of(items: DataFrame) -> DataFrame:
+    """finding_id, labels, layers: the criteria that name a finding, in their order. Needs pos, no, text, layer, findings (an array); null or no findings name none."""
+    rows = items.select("pos", F.coalesce(F.nullif("text", F.lit("")), "no", F.lit("")).alias("label"), F.coalesce("layer", F.lit("")).alias("layer"), F.explode("findings").alias("finding_id"))
+    both = rows.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "layer"))).alias("both"))
+    return both.select("finding_id", F.col("both.label").alias("labels"), F.col("both.layer").alias("layers"))
+
+
+def document_sides(x: Column) -> Column:
+    """Names of the documents that a label holds, parted by an arrow or a middle dot; none for null."""
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), " (?:↔|·) "), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def stages(sizes: DataFrame) -> DataFrame:
+    """doc_id, pos, key, detail: the five steps of a review and what each dealt with. Needs doc_id, chars, sections, chunks, findings."""
+    counted = lambda c, unit: F.concat(F.col(c).cast("string"), F.lit(f" {unit}"))
+    details = [("ingestion", F.concat(F.format_number("chars", 0), F.lit(" chars"))), ("normalize", counted("sections", "sections")), ("chunking", counted("chunks", "chunks")), ("review", F.lit("completeness · consistency")), ("report", counted("findings", "findings"))]
+    steps = F.posexplode(F.array(*[F.struct(F.lit(k).alias("key"), d.alias("detail")) for k, d in details])).alias("pos", "step")
+    return sizes.select("doc_id", steps).select("doc_id", "pos", "step.key", "step.detail")
+
+
+def case_stats(facts: DataFrame) -> DataFrame:
+    """Counts of a case's facts (case_id, kind, unreviewed): outputs, missing, findings, unreviewed, unclassified, ignored, checks judged, checks, manual."""
+    kind, blind = F.col("kind"), F.coalesce("unreviewed", F.lit(False))
+    counted = {"outputs": kind == "output", "missing": kind == "missing", "findings": (kind == "finding") & ~blind, "unreviewed": (kind == "finding") & blind, "unclassified": kind == "unclassified", "ignored": kind == "ignored", "wide_checked": (kind == "wide") & ~blind, "wide_total": kind == "wide", "manual": kind == "manual"}
+    return facts.groupBy("case_id").agg(*[F.count_if(c).alias(n) for n, c in counted.items()])

@@ -701,3 +701,70 @@ def checklist_items(spark: SparkSession, sf: str) -> DataFrame:
     heads = sizes.select(F.col("p_size").alias("doc_id"), F.lit(-1).cast("long").alias("row_no"), F.when(odd, odd_head).otherwise(head).alias("cells"))
     rows = body.unionByName(title).unionByName(heads).withColumn("table_no", F.lit(1))
     return extraction.checklist_items(rows)
+
+
+@query("""WITH a AS (SELECT n_name AS field, list(DISTINCT c_mktsegment ORDER BY c_mktsegment) AS outputs FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
+b AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE r_name END AS field, list(DISTINCT r_name ORDER BY r_name) AS rules FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)
+SELECT field, coalesce(outputs, []) AS outputs, coalesce(rules, []) AS rules FROM a FULL JOIN b USING (field)""")
+def fields_by_name_all(spark: SparkSession, sf: str) -> DataFrame:
+    nation, regional = read(spark, sf, "nation"), F.col("n_regionkey") == F.col("r_regionkey")
+    a = nation.join(read(spark, sf, "customer"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("field"), F.col("c_mktsegment").alias("output_key"))
+    b = nation.join(read(spark, sf, "region"), regional).select(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.col("r_name")).alias("field"), F.col("r_name").alias("rule"))
+    return linking.fields_by_name(a, b)
+
+
+@query("""SELECT p_size AS doc_id, p_partkey AS table_no, (p_partkey % 4) || '.' || p_size || ' ' || trim(p_name) AS heading, 2 AS level
+FROM part WHERE p_partkey % 4 <> 3 AND p_partkey % 5 <> 0 AND regexp_matches(trim(p_name), '^\\p{L}') AND length(trim(p_name)) <= 80""")
+def lifted_headings(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    number = F.when(k % 4 == 3, k.cast("string")).otherwise(F.concat(k % 4, F.lit("."), "p_size"))
+    row = F.array(F.lit(" "), number, F.lit(None), F.col("p_name"), F.when(k % 5 == 0, F.col("p_brand")))
+    rows = read(spark, sf, "part").select(F.col("p_size").alias("doc_id"), k.alias("table_no"), F.explode(F.array(F.struct(F.lit(2).alias("row_no"), row.alias("cells")), F.struct(F.lit(3).alias("row_no"), F.array(F.lit("9.9"), F.lit("Later")).alias("cells")))).alias("r"))
+    return structure.lifted_headings(rows.select("doc_id", "table_no", "r.row_no", F.posexplode("r.cells").alias("col_no", "cell")))
+
+
+@query(r"""WITH """ + LINES + r""", c AS (SELECT DISTINCT doc_id, trim(regexp_replace(unnest(string_split(line, ' | ')), '\s+', ' ', 'g')) AS flat FROM l WHERE contains(line, ' | '))
+SELECT doc_id, 1 AS page, line FROM l WHERE NOT EXISTS (FROM c WHERE c.doc_id = l.doc_id AND flat <> '' AND flat = trim(regexp_replace(l.line, '\s+', ' ', 'g')))""")
+def lines_without_cells(spark: SparkSession, sf: str) -> DataFrame:
+    lines = lines_of(spark, sf).select("doc_id", F.lit(1).alias("page"), "line")
+    cells = lines.where(F.col("line").contains(" | ")).select("doc_id", "page", F.explode(F.split("line", r" \| ")).alias("cell"))
+    return structure.without_cell_lines(lines, cells)
+
+
+@query(f"WITH {FINDINGS} SELECT seq, severity, section, unreviewed FROM f WHERE CASE WHEN unreviewed THEN true ELSE severity IN ('major', 'info') END AND checker IN ('c1', 'c2')")
+def shown_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return summary.shown(findings_of(spark, sf), ["major", "info"], True, F.col("checker").isin("c1", "c2"), "section").select("seq", "severity", "section", "unreviewed")
+
+
+@query("""WITH i AS (SELECT l_orderkey % 500 AS finding_id, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_linenumber = 1 THEN l_linenumber || '' ELSE l_linestatus END AS label, CASE WHEN l_linenumber = 2 THEN '' ELSE l_returnflag END AS layer FROM lineitem WHERE l_linenumber <> 4)
+SELECT finding_id, list(label ORDER BY pos, label, layer) AS labels, list(layer ORDER BY pos, label, layer) AS layers FROM i GROUP BY ALL""")
+def criteria_of_findings(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    named = F.when(n != 4, F.array(F.col("l_orderkey") % 500))
+    text = F.when(n == 1, "").otherwise(F.col("l_linestatus"))
+    items = read(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + n).alias("pos"), n.cast("string").alias("no"), text.alias("text"), F.when(n != 2, F.col("l_returnflag")).alias("layer"), named.alias("findings"))
+    return summary.criteria_of(items)
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN [] WHEN 1 THEN ['a-b', o_orderpriority] ELSE ['a-b', o_orderpriority, o_orderstatus] END AS sides FROM orders")
+def document_sides(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("o_orderkey") % 3
+    both = F.concat(F.lit("a-b ↔ "), "o_orderpriority")
+    label = F.when(n == 1, both).when(n == 2, F.concat(both, F.lit(" ·  · "), "o_orderstatus"))
+    return read(spark, sf, "orders").select("o_orderkey", summary.document_sides(label).alias("sides"))
+
+
+@query("""WITH s AS (SELECT doc_id, length(text) AS chars, len(string_split(text, chr(10))) AS sections FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, pos::INT AS pos, ['ingestion', 'normalize', 'chunking', 'review', 'report'][pos + 1] AS key,
+ [format('{:,}', chars) || ' chars', sections || ' sections', '3 chunks', 'completeness · consistency', '0 findings'][pos + 1] AS detail FROM s, range(5) r(pos)""")
+def review_stages(spark: SparkSession, sf: str) -> DataFrame:
+    d = read(spark, sf, "documents").where("text IS NOT NULL")
+    return summary.stages(d.select("doc_id", F.char_length("text").alias("chars"), F.size(F.split("text", "\n")).alias("sections"), F.lit(3).alias("chunks"), F.lit(0).alias("findings")))
+
+
+@query("""WITH f AS (SELECT event_id % 30 AS case_id, event_id % 7 AS k, event_id % 4 = 0 AS u FROM events)
+SELECT case_id, count_if(k = 0) AS outputs, count_if(k = 1) AS missing, count_if(k = 2 AND NOT u) AS findings, count_if(k = 2 AND u) AS unreviewed, count_if(k = 3) AS unclassified, count_if(k = 4) AS ignored, count_if(k = 5 AND NOT u) AS wide_checked, count_if(k = 5) AS wide_total, count_if(k = 6) AS manual FROM f GROUP BY ALL""")
+def case_stats(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("output", "missing", "finding", "unclassified", "ignored", "wide", "manual")]), (i % 7 + 1).cast("int"))
+    return summary.case_stats(read(spark, sf, "events").select((i % 30).alias("case_id"), kind.alias("kind"), F.when(i % 4 == 0, F.lit(True)).alias("unreviewed")))

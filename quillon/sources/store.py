@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -68,3 +71,44 @@ def write_reports(reports: DataFrame, path: str, kind: str = "json") -> None:
         reports.write.mode("overwrite").option("header", "true").csv(path)
     else:
         reports.write.mode("overwrite").json(path)
+
+
+def _checklist_file(path: str, checklist_id: str) -> Path:
+    if not re.fullmatch("[a-z0-9]{8,32}", checklist_id or ""):
+        raise ValueError(f"not the id of a checklist: {checklist_id!r}")
+    return Path(path) / f"{checklist_id}.json"
+
+
+def save_checklist(path: str, name: str, source_filename: str, columns: dict, items: list[dict], scope: str = "업로드", team: str = "") -> str:
+    """Write an uploaded rule set as a JSON file; its id is the file's name. One without items is refused."""
+    if not items:
+        raise ValueError("a checklist needs at least one item")
+    key = uuid.uuid4().hex[:16]
+    at = datetime.now(timezone.utc).isoformat(timespec="microseconds")
+    entry = {"name": (name or "").strip() or source_filename or "checklist", "source_filename": source_filename or "", "registered_at": at, "columns": columns, "items": items, "scope": scope, "team": team}
+    file = _checklist_file(path, key)
+    file.parent.mkdir(parents=True, exist_ok=True)
+    file.write_text(json.dumps(entry, ensure_ascii=False), encoding="utf-8")
+    return key
+
+
+def checklists(spark: SparkSession, path: str) -> DataFrame:
+    """id, name, source_filename, registered_at, scope, team, item_count of the saved rule sets, newest first; files that can't be read are left out."""
+    schema = "name string, source_filename string, registered_at string, scope string, team string, items array<string>, broken string"
+    rows = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "broken").option("pathGlobFilter", "*.json").json(path)
+    named = rows.select(F.regexp_replace("_metadata.file_name", r"\.json$", "").alias("id"), "*").where("broken IS NULL")
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("name", "source_filename", "registered_at", "scope", "team")]
+    return named.select("id", *text, F.greatest(F.size(F.coalesce("items", F.array().cast("array<string>"))), F.lit(0)).alias("item_count")).orderBy(F.desc("registered_at"), F.desc("id"))
+
+
+def checklist(path: str, checklist_id: str) -> dict:
+    """A saved rule set with its items; the id is the file's, whatever the file says."""
+    return json.loads(_checklist_file(path, checklist_id).read_text(encoding="utf-8")) | {"id": checklist_id}
+
+
+def delete_checklist(path: str, checklist_id: str) -> bool:
+    """Whether there was one to delete."""
+    file = _checklist_file(path, checklist_id)
+    there = file.exists()
+    file.unlink(missing_ok=True)
+    return there

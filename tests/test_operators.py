@@ -155,3 +155,70 @@ def test_picture_sizes():
         assert image_size(data) == size
         assert image_size(data[:9]) is None
     assert image_size(b"") is None and image_size(b"plain") is None
+
+
+def test_headings_need_dotted_numbers(spark):
+    rows = [("a", 1, "number", " **3.0** "), ("a", 1, "title", " References"), ("b", 1, "number", "21"), ("b", 1, "title", "Scope"), ("c", 1, "number", "1.2"), ("c", 1, "number", "7"), ("c", 1, "title", "9 lives"), ("c", 1, "title", "Lives"), ("c", 1, "title", None)]
+    heads = spark.createDataFrame(rows, "doc_id string, page int, kind string, text string")
+    assert sorted(r["heading"] for r in structure.rescued_headings(heads).collect()) == ["1.2 Lives", "3.0 References"]
+    levels = spark.createDataFrame([("1.0",), ("3.1",), ("2.3.0",), ("1.2.3.4.5.6.7",)], "n string").select(structure.heading_level(F.col("n")))
+    assert [r[0] for r in levels.collect()] == [1, 2, 2, 6]
+
+
+def test_boxes_by_centre(spark):
+    boxes = "page int, box_id string, x0 double, y0 double, x1 double, y1 double"
+    inner = spark.createDataFrame([(1, "in", 4.0, 4.0, 6.0, 6.0), (1, "edge", 10.0, 0.0, 10.8, 2.0), (1, "out", 10.0, 0.0, 11.2, 2.0), (2, "far", 4.0, 4.0, 6.0, 6.0)], boxes)
+    outer = spark.createDataFrame([(1, "o", 0.0, 0.0, 10.0, 10.0)], boxes)
+    assert sorted(r["inner_id"] for r in structure.centred(inner, outer).collect()) == ["edge", "in"]
+
+
+def test_page_texts(spark):
+    schema = "doc_id string, page int, ord int, part string, kind string, level int, text string, rows array<array<string>>"
+    rows = [("d", 0, 1, "header", "paragraph", None, "No  1", None), ("d", 0, 2, "header-first", "table", None, None, [["No", None], ["", "1"]]), ("d", 0, 3, "body", "heading", 9, "A", None), ("d", 0, 4, None, "figure", None, " cat  x ", None), ("d", 0, 5, "body", "figure", None, None, None),
+            ("d", 2, 6, "body", "table", None, None, [["a", "b"], ["c\nd", None]]), ("d", 2, 7, "body", "table", None, None, None), ("d", 2, 8, "body", "paragraph", None, "end", None), ("d", 2, 9, "footer", "paragraph", None, "p 3", None), ("e", 0, 1, "footer", "paragraph", None, " ", None)]
+    got = {r["doc_id"]: r for r in structure.page_texts(spark.createDataFrame(rows, schema)).collect()}
+    assert got["d"]["text"] == "###### A\n\n[그림 1: cat x]\n[그림 2]\n\f\n\n\f\n| a | b |\n| c d |  |\n\n(표: 구조 미복원)\n\nend"
+    assert (got["d"]["headers"], got["d"]["footers"]) == (["No 1"], ["p 3"])
+    assert (got["e"]["text"], got["e"]["headers"], got["e"]["footers"]) == ("", [], [])
+    assert structure.page_texts(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_statements_at_odds(spark):
+    def answers(prompt):
+        name = prompt.split("\n")[1]
+        if name == "R-4":
+            raise ValueError("down")
+        quotes = {"R-1": '상위 "five volts" vs 하위 “made up here”', "R-2": '상위 "three volts" vs 하위 "five volts"', "R-3": "no quotes"}
+        return f" ISSUE: {quotes[name]}" if name in quotes else "OK"
+
+    statement = "doc_id string, id string, text string"
+    ids = ["R-1", "R-2", "R-3", "R-4", "R-5"]
+    parents = spark.createDataFrame([("d", i, "x") for i in [*ids, "R-6"]], statement)
+    children = spark.createDataFrame([("d", i, None) for i in ids], statement)
+    upper = spark.createDataFrame([("d", "it has five  volts"), ("d", None)], "doc_id string, text string")
+    lower = spark.createDataFrame([("d", "it has three volts")], "doc_id string, text string")
+    got = {r["id"]: r for r in model.content_matched(parents, children, upper, lower, answers).collect()}
+    assert set(got) == {"R-1", "R-4", None}  # a quote of the other side proves nothing
+    assert (got["R-1"]["severity"], got["R-1"]["evidence"], got["R-1"]["unreviewed"]) == ("minor", ["five volts"], False)
+    assert got["R-4"]["unreviewed"] and "down" in got["R-4"]["message"]
+    assert got[None]["message"].endswith(": 2")
+
+
+def test_checklists(spark, tmp_path):
+    path = str(tmp_path / "lists")
+    with pytest.raises(ValueError):
+        store.save_checklist(path, "a", "a.csv", {}, [])
+    first, second = (store.save_checklist(path, n, f"{n}.csv", {"text": 0}, [{"no": "1", "text": n}]) for n in ("a", " "))
+    (tmp_path / "lists" / "broken.json").write_text("{oops")
+    assert [(r["id"], r["name"], r["item_count"]) for r in store.checklists(spark, path).collect()] == [(second, " .csv", 1), (first, "a", 1)]
+    assert store.checklist(path, first)["items"] == [{"no": "1", "text": "a"}]
+    assert store.delete_checklist(path, first) and not store.delete_checklist(path, first)
+    with pytest.raises(ValueError):
+        store.checklist(path, "../etc")
+
+
+def test_findings_by_section(spark):
+    rows = [(1, "info", "10.1", False), (2, "major", "9.2", False), (3, "info", None, True), (4, "minor", "1", False)]
+    frame = spark.createDataFrame(rows, "seq int, severity string, section string, unreviewed boolean")
+    assert [r["seq"] for r in summary.shown(frame, ["info", "major"], by="section").collect()] == [3, 2, 1]
+    assert [r["seq"] for r in summary.shown(frame, ["minor", "major"], unreviewed=False).collect()] == [2, 4]
