@@ -75,11 +75,13 @@ def _largest(found: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, size: int, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """Template windows of each item: item_id, start, length, template, raw, hash, anchor and its offset.
+    """Template windows of each item: item_id, start, length, template, raw, exact, hash, anchor and its offset.
 
     An item of more than ``size`` words has all its windows of that size; a shorter one has two, without its last and
     without its first word, since that word's case says nothing about a name. Windows of which more than half are
-    placeholders say too little and are left out. The anchor is the rarest of the window's words in the benchmark.
+    placeholders say too little: those of ``size`` words are exact, they count only where they are copied word for word,
+    and shorter ones and those of placeholders alone are left out. The anchor is the rarest of the window's words in the
+    benchmark.
     """
     rows = benchmark.select(F.col(id_column).alias("item_id"), F.col(text_column).cast("string").alias("text")).where("text is not null")
     rows = rows.select("item_id", words(canonical(F.col("text"))).alias("whole"), words(F.col("text")).alias("raw_whole")).where(F.element_at("whole", 1) != "")
@@ -87,7 +89,8 @@ def windows(benchmark: DataFrame, size: int, id_column: str = "item_id", text_co
     length = F.when(n > size, F.lit(size)).otherwise(F.greatest(F.lit(1), n - 1))
     rows = rows.withColumn("length", length).withColumn("start", F.explode(F.sequence(F.lit(0), n - length)))
     rows = rows.withColumn("template", F.slice("whole", F.col("start") + 1, F.col("length"))).withColumn("raw", F.slice("raw_whole", F.col("start") + 1, F.col("length")))
-    rows = rows.where(2 * F.size(F.filter("template", _slot)) <= F.col("length")).drop("whole", "raw_whole").withColumn("hash", F.xxhash64("template"))
+    rows = rows.withColumn("exact", 2 * F.size(F.filter("template", _slot)) > F.col("length")).where(~F.col("exact") | (F.col("length") == size))
+    rows = rows.drop("whole", "raw_whole").withColumn("hash", F.xxhash64("template"))
     each = rows.select("item_id", "start", F.posexplode("template").alias("offset", "word")).where(~_slot(F.col("word")))
     often = each.groupBy("word").agg(F.count("*").alias("times"))
     rank = Window.partitionBy("item_id", "start").orderBy("times", F.desc(F.length("word")), "word", "offset")
@@ -96,11 +99,12 @@ def windows(benchmark: DataFrame, size: int, id_column: str = "item_id", text_co
 
 
 def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, size: int = 13, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Which documents hold which items: doc_id, text_key (SHA-1 of the text), item_id, n_windows, item_windows, reparameterised.
+    """Which documents hold which items: doc_id, text_key (SHA-1 of the text), item_id, n_windows, item_windows, reparameterised, n_exact.
 
     n_windows: of the item's ``item_windows`` windows those found in the best alignment whose placeholders agree, which are
-    at least those copied word for word; reparameterised: a value differs there. Whole texts are searched; null and empty texts hold nothing, and neither do
-    null or empty items. Rows with the same id and text count once; null ids are kept. Empty tables give no rows;
+    at least those copied word for word; reparameterised: a value differs there. n_exact: windows mostly of placeholders that
+    are copied word for word in one alignment; item_windows leaves them out, and they alone make a match too. Whole texts
+    are searched; null and empty texts hold nothing, and neither do null or empty items. Rows with the same id and text count once; null ids are kept. Empty tables give no rows;
     other columns are not read.
     """
     table = windows(benchmark, size, item_column, item_text)
@@ -122,12 +126,12 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, size:
     met = met.where(F.xxhash64(F.slice("near", F.greatest(F.lit(1), F.col("from") + 1), F.col("length"))) == F.col("hash")).where(F.slice("near", F.greatest(F.lit(1), F.col("from") + 1), F.col("length")) == F.col("template"))
     met = met.withColumn("raw_there", F.slice("raw_near", F.greatest(F.lit(1), F.col("from") + 1), F.col("length"))).withColumn("shift", F.col("at") - F.col("offset") - F.col("start"))
     pairs = F.filter(F.arrays_zip("template", "raw", "raw_there"), lambda s: _slot(s["template"]))
-    met = met.withColumn("pairs", F.transform(pairs, lambda s: F.struct(s["template"].alias("kind"), s["raw"].alias("a"), s["raw_there"].alias("b"))))
-    own = met.groupBy("doc_id", "text_key", "item_id", "shift").agg(F.collect_set(F.struct("start", "pairs")).alias("found"))
-    agree = own.select("doc_id", "text_key", "item_id", _largest(F.col("found")).alias("best")).where("best.n > 0")
-    total = table.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    best = agree.groupBy("doc_id", "text_key", "item_id").agg(F.max("best").alias("best")).select("doc_id", "text_key", "item_id", F.col("best.n").cast("long").alias("n_windows"), (~F.col("best.same")).alias("reparameterised"))
-    return best.join(F.broadcast(total) if count <= MOST_WINDOWS else total, "item_id").select("doc_id", "text_key", "item_id", "n_windows", "item_windows", "reparameterised")
+    met = met.withColumn("pairs", F.transform(pairs, lambda s: F.struct(s["template"].alias("kind"), s["raw"].alias("a"), s["raw_there"].alias("b")))).where(~F.col("exact") | ~_changed(F.col("pairs")))
+    own = met.groupBy("doc_id", "text_key", "item_id", "shift").agg(F.collect_set(F.when(~F.col("exact"), F.struct("start", "pairs"))).alias("found"), F.size(F.collect_set(F.when(F.col("exact"), F.col("start")))).cast("long").alias("n_exact"))
+    agree = own.select("doc_id", "text_key", "item_id", "n_exact", _largest(F.col("found")).alias("best")).where("best.n > 0 or n_exact > 0")
+    total = table.groupBy("item_id").agg(F.count_if(~F.col("exact")).alias("item_windows"))
+    best = agree.groupBy("doc_id", "text_key", "item_id").agg(F.max("best").alias("best"), F.max("n_exact").alias("n_exact")).select("doc_id", "text_key", "item_id", F.col("best.n").cast("long").alias("n_windows"), "n_exact", (~F.col("best.same")).alias("reparameterised"))
+    return best.join(F.broadcast(total) if count <= MOST_WINDOWS else total, "item_id").select("doc_id", "text_key", "item_id", "n_windows", "item_windows", "reparameterised", "n_exact")
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, size: int = 13, text_column: str = "text", **names: str) -> DataFrame:
@@ -141,4 +145,4 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, size: i
 
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return matches(spark, docs, benchmark, size=13).select("doc_id", "item_id", "n_windows", "item_windows", "reparameterised")
+    return matches(spark, docs, benchmark, size=13).select("doc_id", "item_id", "n_windows", "item_windows", "reparameterised", "n_exact")

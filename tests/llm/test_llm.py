@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quillon.llm import bestfit_packing, components, exchange, line_similarity_dedup, mil_quality, ngram_overlap_join, queries, robust_outliers, substring_sketch, template_decontamination, template_extraction, toxicity_lexicon, warc_dictionary, wordnum
@@ -479,6 +480,71 @@ def test_decontamination_equals_containment_and_both_ways_agree(spark, monkeypat
     assert sorted(map(tuple, template_decontamination.matches(spark, docs.limit(60), bench).collect())) == [r for r in rows if r[0] in {d["doc_id"] for d in docs.limit(60).collect()}]
 
 
+def template_of(text):
+    text = regex.sub(r"(?<=[\p{Ll}\p{N},;][ \t\n])\p{Lu}\p{Ll}[\p{L}'-]*", "⟨p⟩", text)
+    text = regex.sub(r"(?<![\p{L}\p{N}_.,:/⟨])[0-9]+(?:[.,:/][0-9]+)*(?![\p{L}\p{N}_])", "⟨n⟩", text)
+    text = regex.sub(rf"(?i)(?<=⟨n⟩[ \t\n])(?:{template_decontamination.UNITS})(?![\p{{L}}\p{{N}}])", "⟨u⟩", text)
+    return re.split("[ \t-\r]+", text.lower().strip(" \t\n\v\f\r"))
+
+
+def holds(docs, items, size):
+    """Which documents hold a window of an item whose placeholders agree, by looking at every window of every text."""
+    windows, found = collections.defaultdict(list), set()
+    for item, text in items:
+        t, r = template_of(text or ""), re.split("[ \t-\r]+", (text or "").strip(" \t\n\v\f\r"))
+        n = size if len(t) > size else max(1, len(t) - 1)
+        for k in range(len(t) - n + 1) if t[0] else ():
+            slots = sum("⟨" in w for w in t[k : k + n])
+            if slots < n and (2 * slots <= n or n == size):
+                windows[tuple(t[k : k + n])].append((item, r[k : k + n], 2 * slots > n))
+    for doc, text in docs:
+        t, r = template_of(text or ""), re.split("[ \t-\r]+", (text or "").strip(" \t\n\v\f\r"))
+        for n in {len(w) for w in windows}:
+            for k in range(len(t) - n + 1):
+                for item, raw, exact in windows.get(tuple(t[k : k + n]), ()):
+                    pairs = {(w, a, b) for w, a, b in zip(t[k : k + n], raw, r[k : k + n]) if "⟨" in w}
+                    one = len(pairs) == len({p[:2] for p in pairs}) == len({p[::2] for p in pairs})
+                    if one and not (exact and any(a != b for _, a, b in pairs)):
+                        found.add((doc, item))
+    return found
+
+
+def question(rng, vocabulary, values):
+    """A question of 20 to 40 words about numbers, units and a name that stand somewhere in it."""
+    body = [rng.choice(vocabulary) for _ in range(rng.randint(20, 40))]
+    for k, v in zip(sorted(rng.sample(range(1, len(body)), len(values)), reverse=True), values):
+        body.insert(k, v)
+    return " ".join(["What", *body])
+
+
+def test_reparameterised_questions_are_found(spark):
+    """Numbers, units and names changed as a whole: presence equals brute force, and most are found; other texts aren't."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    names, items, docs = ["Anna", "Boris", "Clara", "Dmitri", "Elena"], [], []
+    for i in range(120):
+        rng.seed(100 + i)
+        items.append((i, question(rng, vocabulary, [str(2 * i), f"{i + 500} km", rng.choice(names), rng.choice(names), f"{i}.5 hours"])))
+        rng.seed(100 + i)
+        changed = {n: f"{n}ya" for n in names}
+        text = question(rng, vocabulary, [str(2 * i + 3000), f"{i + 7000} miles", changed[rng.choice(names)], changed[rng.choice(names)], f"{i + 9000}.5 minutes"])
+        around = [" ".join(rng.choice(vocabulary) for _ in range(30)) for _ in range(2)]
+        docs += [(i, f"{around[0]}. {text} {around[1]}"), (1000 + i, f"{around[0]} {2 * i} km {around[1]}")]
+    items += [(900, "1 2 3 4 5 6 7 8 9 10 sum 12 13 14 15 16"), (901, "x 7 kg"), (902, None)]
+    docs += [(3000, "so 1 2 3 4 5 6 7 8 9 10 sum 12 13 14 end"), (3001, "so 1 2 3 4 5 6 7 8 9 10 sum 12 19 18 end"), (3002, "x 9 kg " * 5), (3003, None)]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in template_decontamination.matches(spark, *tables, size=13).collect()}
+    assert got == holds(docs, items, 13)
+    assert sum((i, i) in got for i in range(120)) >= 108 and not any(1000 <= d < 2000 for d, _ in got)
+    assert (3000, 900) in got and all((d, 900) not in got or d in (3000, 3001) for d, _ in got)
+
+
+def test_decontamination_equals_brute_force(spark):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {(r["doc_id"], r["item_id"]) for r in template_decontamination.matches(spark, docs, bench, size=13).collect()}
+    assert got == holds([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in bench.collect()], 13)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p><article>";</script></head><body><header><h2>Site</h2></header><nav><ul><li><a href=x>Menu</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><article><h1>Head {0}</h1><p>One&nbsp;&amp; <b>t</b>wo<br>three {0}<p>four<div class="share-box">Share</div><!-- <p>no</p> --><form><p>mail</p></form></article>
 <aside class=sidebar>Side</aside><section id="comments"><p>First!</p></section><footer>&copy; x</footer></body></html>"""
