@@ -189,10 +189,17 @@ def prior_entry(names: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def manual_review(rules: DataFrame, given: DataFrame, fields: DataFrame) -> DataFrame:
-    """item, status: given values (item, value) against every extracted value of the item's field (rules: item, field; fields: field, value, found)."""
-    rows = rules.join(given, "item", "left").join(fields, "field", "left") if "value" not in fields.columns else rules.join(given.withColumnRenamed("value", "given"), "item", "left").join(fields, "field", "left")
+    """item, status: given values (item, value) against every extracted value of the item's field (rules: item, field; fields: field, value, found).
+
+    Values are counted for each field and key, so that no item meets every value of its field.
+    """
     key = lambda c: F.coalesce(date_key(F.col(c)), squash(F.col(c)))
-    out = rows.groupBy("item").agg(F.max("given").alias("given"), F.count_if(F.col("found")).alias("n_found"), F.count_if(F.col("found") & (key("value") != key("given"))).alias("n_differ"))
+    met = fields.where("found").groupBy("field", key("value").alias("key")).agg(F.count("*").alias("n"))
+    total = met.groupBy("field").agg(F.sum("n").alias("n_found"), F.sum(F.when(F.col("key").isNotNull(), F.col("n"))).alias("n_keyed"))
+    rows = rules.join(given.select("item", F.col("value").alias("given")), "item", "left").withColumn("key", key("given"))
+    rows = rows.join(total, "field", "left").join(met.withColumnRenamed("n", "n_same"), ["field", "key"], "left")
+    differ = F.when(F.col("key").isNotNull(), F.col("n_keyed") - F.coalesce("n_same", F.lit(0)))
+    out = rows.groupBy("item").agg(F.max("given").alias("given"), F.coalesce(F.sum("n_found"), F.lit(0)).alias("n_found"), F.sum(differ).alias("n_differ"))
     return out.select("item", F.when(F.col("given").isNull(), "manual").when(F.col("n_found") == 0, "unreviewed").when(F.col("n_differ") > 0, "flagged").otherwise("clean").alias("status"))
 
 

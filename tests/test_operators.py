@@ -222,3 +222,25 @@ def test_findings_by_section(spark):
     frame = spark.createDataFrame(rows, "seq int, severity string, section string, unreviewed boolean")
     assert [r["seq"] for r in summary.shown(frame, ["info", "major"], by="section").collect()] == [3, 2, 1]
     assert [r["seq"] for r in summary.shown(frame, ["minor", "major"], unreviewed=False).collect()] == [2, 4]
+
+
+def joined_rows(plan):
+    """Rows that each join of an executed plan made."""
+    kind, children = plan.nodeName(), plan.children()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlan" else [plan.plan()] if kind.endswith("QueryStage") else [children.apply(i) for i in range(children.size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in kind else []
+    return sum(map(joined_rows, below), own)
+
+
+def test_manual_review_counts_values_instead_of_pairing_them(spark):
+    fields = [("f", "2024. 1. 2.", True), ("f", " 2024.01.02", True), ("f", "zz", False), ("g", None, True), ("h", "a b", True), ("h", "c", True), ("i", "x", False), ("j", "1", True), ("j", "1", None), (None, "q", True)]
+    given = [(1, "2024.1.2"), (2, "zz"), (3, "ab"), (4, "q"), (5, "x"), (6, "1"), (8, None), (9, "ab"), (9, "a b"), (10, "q"), (11, "k")]
+    wanted = [(1, "f"), (2, "f"), (3, "h"), (4, "g"), (5, "i"), (6, "j"), (7, "f"), (8, "f"), (9, "h"), (10, None), (11, "none"), (6, "i"), (1, "f"), (None, "f")]
+    frames = [(wanted, "item int, field string"), (given, "item int, value string"), (fields, "field string, value string, found boolean")]
+    got = {r["item"]: r["status"] for r in linking.manual_review(*[spark.createDataFrame(*x) for x in frames]).collect()}
+    assert got == {1: "clean", 2: "flagged", 3: "flagged", 4: "clean", 5: "unreviewed", 6: "clean", 7: "manual", 8: "manual", 9: "flagged", 10: "unreviewed", 11: "unreviewed", None: "manual"}
+
+    n = spark.range(300)
+    out = linking.manual_review(n.selectExpr("id AS item", "'f' AS field"), n.selectExpr("id AS item", "'v' || id % 2 AS value"), n.selectExpr("'f' AS field", "'v1' AS value", "true AS found"))
+    assert sorted((r["item"] % 2, r["status"]) for r in out.collect()) == [(0, "flagged")] * 150 + [(1, "clean")] * 150
+    assert max(joined_rows(out._jdf.queryExecution().executedPlan())) == 300
