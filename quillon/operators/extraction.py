@@ -39,11 +39,12 @@ def labelled_fields(cells: DataFrame, specs: DataFrame) -> DataFrame:
     fields = specs.select("field").distinct().agg(F.collect_list("field").alias("fields"))  # of one rule set
     docs = cells.select("doc_id").distinct().select("doc_id", F.explode(fields.scalar()).alias("field"))
     below = (F.col("at") == "below").cast("int")
-    heads = cells.withColumn("squashed", squash(F.col("cell"))).join(rules, "squashed")
+    heads = cells.withColumn("squashed", squash(F.col("cell"))).join(F.broadcast(rules), "squashed")  # specs are a short list
     heads = heads.select("doc_id", "field", "label", "table_no", (F.col("row_no") + below).alias("row_no"), (F.col("col_no") + 1 - below).alias("col_no"))
-    beside = heads.join(cells, ["doc_id", "table_no", "row_no", "col_no"])
+    # cells made from few columns or exploded are estimated far too small, so that without the hints they would be broadcast
+    beside = heads.join(cells.hint("merge"), ["doc_id", "table_no", "row_no", "col_no"])
     best = beside.groupBy("doc_id", "field").agg(F.min(F.struct((F.trim("cell") == "").alias("blank"), "table_no", "row_no", "col_no", F.col("cell").alias("value"), F.col("label").alias("matched_label"))).alias("best"))
-    return docs.join(best, ["doc_id", "field"], "left").select("doc_id", "field", "best.value", F.col("best").isNotNull().alias("found"), "best.matched_label")
+    return docs.join(best.hint("merge"), ["doc_id", "field"], "left").select("doc_id", "field", "best.value", F.col("best").isNotNull().alias("found"), "best.matched_label")
 
 
 def extract_fields(cells: DataFrame, specs: list[dict]) -> DataFrame:

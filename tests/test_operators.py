@@ -244,3 +244,22 @@ def test_manual_review_counts_values_instead_of_pairing_them(spark):
     out = linking.manual_review(n.selectExpr("id AS item", "'f' AS field"), n.selectExpr("id AS item", "'v' || id % 2 AS value"), n.selectExpr("'f' AS field", "'v1' AS value", "true AS found"))
     assert sorted((r["item"] % 2, r["status"]) for r in out.collect()) == [(0, "flagged")] * 150 + [(1, "clean")] * 150
     assert max(joined_rows(out._jdf.queryExecution().executedPlan())) == 300
+
+
+def broadcast_rows(plan):
+    """Rows of each broadcast of an executed plan."""
+    kind, children = plan.nodeName(), plan.children()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlan" else [plan.plan()] if kind.endswith("QueryStage") else [children.apply(i) for i in range(children.size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if kind == "BroadcastExchange" else []
+    return sum(map(broadcast_rows, below), own)
+
+
+def test_labelled_fields_broadcast_the_specs_only(spark, tmp_path):
+    spark.range(4000).write.parquet(str(tmp_path / "docs"))  # a file, so that the cells' size is estimated from it
+    grid = spark.read.parquet(str(tmp_path / "docs")).withColumnRenamed("id", "doc_id").withColumn("col_no", F.explode(F.array(F.lit(0), F.lit(1))))
+    cells = grid.select("doc_id", F.lit(1).alias("table_no"), F.lit(1).alias("row_no"), "col_no", F.when(F.col("col_no") == 0, "La bel").otherwise(F.col("doc_id").cast("string")).alias("cell"))
+    specs = spark.createDataFrame([("a", "Label", "right"), ("b", "Label", "below")], "field string, label string, at string")
+    out = extraction.labelled_fields(cells, specs)
+    got = {(r["doc_id"], r["field"]): (r["value"], r["found"], r["matched_label"]) for r in out.collect()}
+    assert got == {(i, f): (str(i), True, "Label") if f == "a" else (None, False, None) for i in range(4000) for f in "ab"}
+    assert max(broadcast_rows(out._jdf.queryExecution().executedPlan())) <= 2
