@@ -5,15 +5,16 @@ similarity of at least t share a word among their first n - ceil(t n) + 1. Posti
 word, under the length filter, the positional filter and a bound on the symmetric difference by parity sketches.
 
 One earlier line is enough to remove a line, so not all pairs are made. Where a word would make too many, as in large
-groups of near copies, each of its postings first meets only the earliest one of about its length; what finds a similar
-set there asks no more. Candidates are verified on their words, the closest of each set first.
+groups of near copies, each of its postings first meets only the earliest one of about its length, then some of the
+next earliest; what finds a similar set there asks no more. Candidates are verified on their words, the closest of each
+set first.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import exchange, scratch
@@ -21,7 +22,7 @@ from quillon.llm import exchange, scratch
 MOST_BITS = 25  # cells of the table of counts, as a power of two, one byte each: 32 MB at most
 COMMON = 8  # level from which a word may be dense: more than 128 words fall into its cell
 DENSE = 128  # a word is dense if more sets of about one size have it in their prefixes
-ROUNDS = 3  # rounds, at most, in which a posting of a dense word meets one earlier posting only
+PIVOTS = (1, 8, 16)  # how many of the earliest postings of its word a posting of a dense word meets in each round, others each time
 MOST_BROADCAST = 10_000  # pairs, or dense words, that are sent to every executor; more are joined by a shuffle
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -99,11 +100,11 @@ def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return both.selectExpr("a.id AS a", "b.id AS b", f"{DIFFER} AS differ")
 
 
-def pivot_pairs(open_: DataFrame, percent: int) -> DataFrame:
-    """Of each posting of a dense word the pair with the earliest of its word and band, if it passes the filters."""
-    first = open_.groupBy("token", "band").agg(F.expr("min(struct(place, id, n, i, low, high)) AS first"))
-    first = first.selectExpr("token", "band", *[f"first.{c} AS {c}" for c in ("id", "n", "i", "low", "high")])
-    both = open_.alias("a").join(first.alias("b"), F.expr(f"a.token = b.token AND a.band = b.band AND a.id <> b.id AND {near(percent)}"))
+def pivot_pairs(open_: DataFrame, every: DataFrame, first: int, last: int, percent: int) -> DataFrame:
+    """Of each open posting of a dense word the pairs with the first-th to last-th earliest of its word and band that pass the filters."""
+    rank = F.row_number().over(Window.partitionBy("token", "band").orderBy("place"))
+    pivots = every.withColumn("rank", rank).where(f"rank <= {last}").where(f"rank >= {first}").drop("rank")
+    both = open_.alias("a").join(pivots.alias("b"), F.expr(f"a.token = b.token AND a.band = b.band AND a.id <> b.id AND {near(percent)}"))
     return both.selectExpr("a.id AS a", "b.id AS b", f"{DIFFER} AS differ")
 
 
@@ -165,15 +166,15 @@ def similar_to_earlier(spark: SparkSession, table: DataFrame, sets: DataFrame, p
     sent = F.broadcast(dense) if words <= MOST_BROADCAST else dense
     every = scratch.written(spark, postings(sets, "place", band).join(sent, "token"), "dense-postings")
     open_, later = every, spark.createDataFrame([], "id long")
-    for _ in range(ROUNDS):
+    for i, n in enumerate(PIVOTS):
         sizes = every.groupBy("token", "band").agg(F.count("*").alias("every"))
         asking = open_.groupBy("token", "band").agg(F.count("*").alias("open"))
         pairs, rows = sizes.join(asking, ["token", "band"]).agg(F.expr("sum(every * open)"), F.sum("open")).head()
         if not rows or pairs <= DENSE * rows:
             break
-        found = later_ones(spark, table, sets, pivot_pairs(open_, percent), percent)
+        found = later_ones(spark, table, sets, pivot_pairs(open_, every, sum(PIVOTS[:i]) + 1, sum(PIVOTS[:i]) + n, percent), percent)
         if found.isEmpty():
-            break
+            continue
         later = scratch.written(spark, later.unionByName(found), "line-later")
         open_ = every.join(later, "id", "left_anti")
     rest = all_pairs(postings(sets).join(sent, "token", "left_anti"), percent)

@@ -204,6 +204,25 @@ def test_lines_of_common_words_lose_no_link(spark, monkeypatch, common, dense):
     assert collections.Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()) == lines_brute(rows)
 
 
+def test_lines_of_near_copies_after_outliers_are_not_all_paired(spark, monkeypatch):
+    """The earliest lines of each dense word are similar to none of the copies that follow."""
+    counts, earlier = [], line_similarity_dedup.earlier_pairs
+
+    def counted(*args):
+        frame = earlier(*args)
+        counts.append(frame.count())
+        return frame
+
+    monkeypatch.setattr(line_similarity_dedup, "earlier_pairs", counted)
+    base = [f"b{i}" for i in range(20)]
+    outliers = [" ".join(base[:i] + base[i + 4 :] + ["z1", "z2", "z3", "z4"]) for i in range(0, 20, 4)]
+    copies = [" ".join(base[: i % 20] + [f"u{i}"] + base[i % 20 + 1 :]) for i in range(400)]
+    rows = [(0, "\n".join(outliers), "en", 1, "x"), (1, "\n".join(copies), "en", 1, "x"), (2, "\n".join(["z1 z2 z3 z4"] * 1100), "en", 1, "x")]
+    got = line_similarity_dedup.dedup_lines(spark, spark.createDataFrame(rows, DOC))
+    assert {r["doc_id"]: (r["n_removed"], r["text"]) for r in got.collect()} == {0: (0, "\n".join(outliers)), 1: (399, copies[0]), 2: (1099, "z1 z2 z3 z4")}
+    assert len(counts) == 1 and counts[0] < 400
+
+
 def test_lines_with_text_ids_and_clashing_columns(spark):
     """Earlier is by id, null first, however the rows are dealt; further columns keep their names and values."""
     rows = [("b", "a b c d e", 1, "k"), (None, "e d c b a\n\nx", 2, None), ("a", None, 3, "g"), ("c", "", None, "l"), ("a2", "a b c d e f\nx x", 4, "z"), ("b", "a b c d e", 5, "k")]
