@@ -24,18 +24,35 @@ COMMON = 8  # level from which a word may be dense: more than 128 words fall int
 DENSE = 128  # a word is dense if more sets of about one size have it in their prefixes
 PIVOTS = (1, 8, 16)  # how many of the earliest postings of its word a posting of a dense word meets in each round, others each time
 MOST_BROADCAST = 10_000  # pairs, or dense words, that are sent to every executor; more are joined by a shuffle
+MOST_PIVOTS = 100_000  # postings of one round that are sent to every executor, some 60 bytes each
+SHORT = 40  # sets of at most so many words have 64 bits of parity sketch, others 128
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def cell(word: str, bits: int) -> str:
+    """SQL of a word's cell in the table of counts."""
+    return f"hash({word}) & {(1 << bits) - 1}"
+
+
+def lines_with_words(table: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, line and words (with repeats) of each line that has any."""
+    lines = table.select(*columns, F.posexplode(F.split("text", "\n")).alias("line", "said"))
+    lines = lines.select(*columns, "line", F.btrim("said", F.lit(" \t\n\x0b\x0c\r")).alias("said")).where("said <> ''")
+    odd = F.lit(False)  # a split at one space needs no regular expression
+    for x in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains("said", F.lit(x))
+    return lines.select(*columns, "line", F.when(odd, F.split("said", SPACE)).otherwise(F.split("said", " ")).alias("words"))
+
+
 def levels(texts: DataFrame, bits: int) -> DataFrame:
     """One row, ``levels``: of each of 2**bits cells the level of its count of words.
 
     Level 0 is a word that occurs once; up to 128 a level is a power of two, beyond that a power of four.
     """
     words = texts.select(F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''")
-    counts = words.selectExpr(f"shiftrightunsigned(xxhash64(word), {64 - bits}) AS cell").groupBy("cell").agg(F.count("*").alias("n"))
+    counts = words.selectExpr(f"{cell('word', bits)} AS cell").groupBy("cell").agg(F.count("*").alias("n"))
     level = "CASE WHEN n <= 128 THEN ceil(log2(n)) ELSE least(15, ceil(log2(n) / 2) + 4) END"
-    packed = counts.selectExpr("shiftright(cell, 4) AS at", f"shiftleft(CAST({level} AS bigint), CAST(4 * (cell & 15) AS int)) AS bits")
+    packed = counts.selectExpr("CAST(shiftright(cell, 4) AS bigint) AS at", f"shiftleft(CAST({level} AS bigint), 4 * (cell & 15)) AS bits")
     none = texts.sparkSession.range(1 << (bits - 4)).selectExpr("id AS at", "0L AS bits")  # so that no cell is missing
     longs = packed.unionByName(none).groupBy("at").agg(F.bit_or("bits").alias("bits"))
     parts = longs.groupBy(F.shiftright("at", 10).alias("part")).agg(F.sort_array(F.collect_list(F.struct("at", "bits")))["bits"].alias("longs"))
@@ -44,26 +61,25 @@ def levels(texts: DataFrame, bits: int) -> DataFrame:
 
 
 def line_sets(table: DataFrame, levels: DataFrame, bits: int, percent: int) -> DataFrame:
-    """The set of each line with words: doc_id, key, line, sid (MD5 of its words), n, parity sketch, prefix.
+    """The set of each line with words: doc_id, key, line, sid (128-bit hash of its words), n, parity sketch, prefix.
 
     ``prefix`` has tokens in order of rarity, four bits of level and 59 of hash, without those of words that occur once;
-    ``skip`` of these come before them. Sets to which none of another size can be similar have an empty prefix.
+    ``skip`` of these come before them. Sets to which none of another size can be similar have an empty prefix. The
+    lambdas over words are what this costs, so there are few; all else is compiled.
     """
-    words = F.transform(F.split("text", "\n"), lambda x: F.array_remove(F.array_distinct(F.split(x, SPACE)), ""))
-    # words is a column that a generator makes, so the optimizer moves the look-up of levels into the lambda below
-    rows = table.select("doc_id", "key", F.posexplode(words).alias("line", "words")).where("size(words) > 0")
-    rows = rows.select("*", levels.scalar().alias("levels"))
-    token = f"shiftleft(CAST(levels[CAST(shiftrightunsigned(h, {64 - bits}) AS int)] AS bigint), 59) | (h & {(1 << 59) - 1})"
-    sets = rows.selectExpr(
-        "doc_id", "key", "line", "size(words) AS n",
-        "unhex(md5(array_join(sort_array(words), ' '))) AS sid",
-        f"sort_array(transform(transform(words, w -> xxhash64(w)), h -> {token})) AS tokens",
-    )
+    rows = lines_with_words(table, "doc_id", "key").select("*", levels.scalar().alias("levels"))
+    token = f"shiftleft(CAST(coalesce(levels[{cell('w', bits)}], 0Y) AS bigint), 59) | (xxhash64(w) & {(1 << 59) - 1})"
+    sets = rows.selectExpr("doc_id", "key", "line", f"sort_array(array_distinct(transform(words, w -> {token}))) AS tokens")
     size = f"CASE WHEN 100 * n >= {percent} * (n + 1) THEN n - ({percent} * n + 99) div 100 + 1 ELSE 0 END"
-    low = "aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(shiftright(t, 6) & 1, CAST(t & 63 AS int)))"
     both = "aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, CAST(t & 63 AS int)))"
-    sets = sets.selectExpr("doc_id", "key", "line", "sid", "n", f"{low} AS low", f"{both} AS both", f"slice(tokens, 1, CAST({size} AS int)) AS every")
-    return sets.selectExpr("doc_id", "key", "line", "sid", "n", "low", "low ^ both AS high", f"filter(every, t -> t >= {1 << 59}) AS prefix", f"size(filter(every, t -> t < {1 << 59})) AS skip")
+    high = "aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(shiftright(t, 6) & 1, CAST(t & 63 AS int)))"
+    sets = sets.selectExpr(
+        "doc_id", "key", "line", "size(tokens) AS n", "struct(xxhash64(tokens) AS a, xxhash64(1, tokens) AS b) AS sid",
+        f"{both} AS both", f"CASE WHEN size(tokens) > {SHORT} THEN {high} ELSE 0L END AS high", "tokens",
+    )
+    sets = sets.selectExpr("doc_id", "key", "line", "sid", "n", "both", "high", f"slice(tokens, 1, CAST({size} AS int)) AS every")
+    sets = sets.selectExpr("doc_id", "key", "line", "sid", "n", "both ^ high AS low", "high", "every", f"filter(every, t -> t >= {1 << 59}) AS prefix")
+    return sets.selectExpr("doc_id", "key", "line", "sid", "n", "low", "high", "prefix", "size(every) - size(prefix) AS skip")
 
 
 def overlap(a: str, b: str, percent: int) -> str:
@@ -71,15 +87,16 @@ def overlap(a: str, b: str, percent: int) -> str:
     return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
 
 
-DIFFER = "bit_count(a.low ^ b.low) + bit_count(a.high ^ b.high)"
+# of words in one set only, at least so many; the sketch of a longer set is folded where it meets that of a short one
+DIFFER = f"if(a.n > {SHORT} AND b.n > {SHORT}, bit_count(a.low ^ b.low) + bit_count(a.high ^ b.high), bit_count(a.low ^ a.high ^ b.low ^ b.high))"
 
 
 def near(percent: int) -> str:
-    """SQL of the filters on postings a and b of one word: lengths, positions, sketches."""
+    """SQL of the filters on postings a and b of one word: lengths, positions of the first word they share, sketches."""
     least = overlap("a.n", "b.n", percent)
     return f"""100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
         AND {DIFFER} <= a.n + b.n - 2 * {least}
-        AND least(a.n - a.i, b.n - b.i) + least(a.i, b.i) >= {least}"""
+        AND least(a.n - a.i, b.n - b.i) >= {least}"""
 
 
 def postings(sets: DataFrame, *more: str) -> DataFrame:
@@ -100,10 +117,14 @@ def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return both.selectExpr("a.id AS a", "b.id AS b", f"{DIFFER} AS differ")
 
 
-def pivot_pairs(open_: DataFrame, every: DataFrame, first: int, last: int, percent: int) -> DataFrame:
-    """Of each open posting of a dense word the pairs with the first-th to last-th earliest of its word and band that pass the filters."""
+def earliest(every: DataFrame, first: int, last: int) -> DataFrame:
+    """The first-th to last-th earliest postings of each word and band."""
     rank = F.row_number().over(Window.partitionBy("token", "band").orderBy("place"))
-    pivots = every.withColumn("rank", rank).where(f"rank <= {last}").where(f"rank >= {first}").drop("rank")
+    return every.withColumn("rank", rank).where(f"rank <= {last}").where(f"rank >= {first}").drop("rank", "place")
+
+
+def pivot_pairs(open_: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each open posting of a dense word with the pivots of its word and band that pass the filters."""
     both = open_.alias("a").join(pivots.alias("b"), F.expr(f"a.token = b.token AND a.band = b.band AND a.id <> b.id AND {near(percent)}"))
     return both.selectExpr("a.id AS a", "b.id AS b", f"{DIFFER} AS differ")
 
@@ -165,14 +186,21 @@ def similar_to_earlier(spark: SparkSession, table: DataFrame, sets: DataFrame, p
         return later_ones(spark, table, sets, all_pairs(postings(sets), percent), percent)
     sent = F.broadcast(dense) if words <= MOST_BROADCAST else dense
     every = scratch.written(spark, postings(sets, "place", band).join(sent, "token"), "dense-postings")
+    # words and bands of no more postings need no pivots: all of them may meet
+    sizes = scratch.written(spark, every.groupBy("token", "band").agg(F.count("*").alias("every")).where(f"every > {DENSE}"), "dense-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes
     open_, later = every, spark.createDataFrame([], "id long")
     for i, n in enumerate(PIVOTS):
-        sizes = every.groupBy("token", "band").agg(F.count("*").alias("every"))
         asking = open_.groupBy("token", "band").agg(F.count("*").alias("open"))
-        pairs, rows = sizes.join(asking, ["token", "band"]).agg(F.expr("sum(every * open)"), F.sum("open")).head()
+        pairs, rows = asking.join(sizes, ["token", "band"]).agg(F.expr("sum(every * open)"), F.sum("open")).head()
         if not rows or pairs <= DENSE * rows:
             break
-        found = later_ones(spark, table, sets, pivot_pairs(open_, every, sum(PIVOTS[:i]) + 1, sum(PIVOTS[:i]) + n, percent), percent)
+        first = sum(PIVOTS[:i]) + 1
+        crowded = every.join(sizes, ["token", "band"], "left_semi")
+        pivots = scratch.written(spark, earliest(crowded, first, first + n - 1), "pivots")
+        few = pivots.count() <= MOST_PIVOTS
+        found = later_ones(spark, table, sets, pivot_pairs(open_, F.broadcast(pivots) if few else pivots, percent), percent)
+        scratch.forget(spark, pivots)
         if found.isEmpty():
             continue
         later = scratch.written(spark, later.unionByName(found), "line-later")
