@@ -35,12 +35,16 @@ class Unit:
     off: np.ndarray
 
 
-def keyed(spark: SparkSession, docs: DataFrame, id_column: str, text_column: str, whole_rows: bool = False) -> DataFrame:
-    """docs written to the shared folder as key, chunk, doc_id, text and, if asked, row: all columns but the text."""
+def keyed(spark: SparkSession, docs: DataFrame, id_column: str, text_column: str, whole_rows: bool = False, buckets: int = 0) -> DataFrame:
+    """docs written to the shared folder as key, chunk, doc_id, text and, if asked, row: all columns but the text.
+
+    In ``buckets`` by chunk, if asked: a join on the chunk then leaves the texts where they are.
+    """
     rest = [docs[f"`{c}`"] for c in docs.columns if c != text_column]
     row = [F.struct(*rest).alias("row")] if whole_rows else []
     frame = docs.select(docs[f"`{id_column}`"].alias("doc_id"), docs[f"`{text_column}`"].cast("string").alias("text"), *row).withColumn("key", F.monotonically_increasing_id())
-    return scratch.written(spark, frame.withColumn("chunk", F.shiftright("key", CHUNK_ROWS)), "keyed")
+    frame = frame.withColumn("chunk", F.shiftright("key", CHUNK_ROWS))
+    return scratch.bucketed(spark, frame, "keyed", "chunk", buckets) if buckets else scratch.written(spark, frame, "keyed")
 
 
 def join_units(parts: list[Unit]) -> Unit:

@@ -141,6 +141,15 @@ def lines_of(table: DataFrame) -> DataFrame:
     return table.select("*", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
 
 
+def beside(table: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """``table`` joined with ``rows`` of its keys (chunk, key and more) where the texts lie: only ``rows`` are shuffled.
+
+    The chunk alone is the key of the join, as it is that of the buckets; within a chunk keys are compared one by one.
+    """
+    rows = rows.withColumnsRenamed({"chunk": "of_chunk", "key": "of_key"})
+    return table.join(rows, F.expr("chunk = of_chunk AND key - of_key = 0"), how).drop("of_chunk", "of_key")
+
+
 def later_ones(spark: SparkSession, table: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int, known: DataFrame | None = None) -> DataFrame:
     """id of each set of ``pairs`` (a, b, differ), but those of ``known``, that is similar to an earlier one that it is paired with."""
     pairs = scratch.written(spark, pairs.distinct(), "line-pairs")
@@ -158,8 +167,9 @@ def later_ones(spark: SparkSession, table: DataFrame, sets: DataFrame, pairs: Da
 
     asked = close.select("late.*").union(close.select("early.*")).distinct()
     of_text = asked.groupBy("place.key").agg(F.collect_list(F.struct("id", "n", "place.line")).alias("asked"))  # of one document
+    of_text = of_text.withColumn("chunk", F.shiftright("key", exchange.CHUNK_ROWS))
     words = "array_remove(array_distinct(split(lines[x.line], '[\\\\x20\\\\x09-\\\\x0D]+')), '')"
-    found = lines_of(table.select("key", "text").join(sent(of_text), "key"))
+    found = lines_of(beside(table.select("chunk", "key", "text"), sent(of_text), "inner"))
     found = scratch.written(spark, found.selectExpr(f"inline(transform(asked, x -> struct(x.id, x.n, {words} AS words)))"), "line-words")
 
     def similar(candidates: DataFrame) -> DataFrame:
@@ -219,7 +229,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_c
     empty table stays empty.
     """
     docs = docs.drop("n_lines", "n_removed")
-    table = exchange.keyed(spark, docs, id_column, text_column, whole_rows=True)
+    table = exchange.keyed(spark, docs, id_column, text_column, whole_rows=True, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
     bytes_in = table.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     bits = min(MOST_BITS, max(14, (bytes_in // 100).bit_length()))
     counted = scratch.written(spark, levels(table, bits), "line-levels")
@@ -232,11 +242,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, percent: int = 80, id_c
     later = similar_to_earlier(spark, table, sets, percent).withColumn("later", F.lit(True))
     judged = sets.select("id", "sid", "place").join(later, "id", "left").selectExpr("sid", "place.key AS first_key", "place.line AS first_line", "later")
     gone = of_lines.join(judged, "sid").where("later OR key <> first_key OR line <> first_line")
-    gone = scratch.written(spark, gone.groupBy("key").agg(F.collect_list("line").alias("gone")), "lines-gone")
+    gone = gone.groupBy("key").agg(F.collect_list("line").alias("gone")).withColumn("chunk", F.shiftright("key", exchange.CHUNK_ROWS))
+    gone = scratch.written(spark, gone, "lines-gone")
     for x in (sets, of_lines):
         scratch.forget(spark, x)
     kept = "array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\\n')"
-    done = lines_of(table.join(gone, "key", "left")).selectExpr("row", f"CASE WHEN gone IS NULL THEN text ELSE {kept} END AS text", "CAST(coalesce(size(lines), 0) AS bigint) AS n_lines", "CAST(coalesce(size(gone), 0) AS bigint) AS n_removed")
+    done = lines_of(beside(table, gone, "left")).selectExpr("row", f"CASE WHEN gone IS NULL THEN text ELSE {kept} END AS text", "CAST(coalesce(size(lines), 0) AS bigint) AS n_lines", "CAST(coalesce(size(gone), 0) AS bigint) AS n_removed")
     return done.select(*[F.col("text").alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns], "n_lines", "n_removed")
 
 

@@ -241,6 +241,23 @@ def test_line_stage_runs_no_python(spark, docs):
     assert not re.search("mapIn|applyIn|udf|[.]rdd|numpy|pyarrow", source)
 
 
+def test_texts_of_lines_stay_where_they_lie(spark):
+    """Only what is found travels to the texts; the catalog keeps no table."""
+    was = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    rows = corpus(40)
+    try:
+        for c, x in zip(was, ("false", "-1"), strict=True):
+            spark.conf.set(c, x)
+        got = line_similarity_dedup.dedup_lines(spark, spark.createDataFrame(rows, DOC).repartition(3))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+        assert collections.Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()) == lines_brute(rows)
+    finally:
+        for c, x in was.items():
+            spark.conf.set(c, x)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quillon")]
+
+
 def best_fit(lengths, size):
     rooms, used = [], []
     for n in sorted(lengths, reverse=True):
